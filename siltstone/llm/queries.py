@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fair_mix, hilbert_shards
+from . import bpe_automaton, exact_dedup, fair_mix, hilbert_shards, token_store
 from .common import table
 
 
@@ -13,14 +14,22 @@ def op1_fair_mix(spark, sf_dir):
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_token_store(spark, sf_dir):
+    return token_store.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_hilbert_shards(spark, sf_dir):
     return hilbert_shards.shards(table(spark, sf_dir, "documents")).drop("curve")
 
 
+def op6_bpe_automaton(spark, sf_dir):
+    return bpe_automaton.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fair_mix, op4_hilbert_shards, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fair_mix, op3_token_store, op4_hilbert_shards, op6_bpe_automaton, op10_exact_dedup)}
 
 ORACLES = {"op1_fair_mix": fair_mix.SQL, "op10_exact_dedup": exact_dedup.SQL}
