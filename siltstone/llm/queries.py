@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, exact_dedup, fair_mix, hilbert_shards, token_store
+from . import bpe_automaton, exact_dedup, fair_mix, hilbert_shards, quality, token_store, toxicity
 from .common import table
 
 
@@ -22,14 +22,22 @@ def op4_hilbert_shards(spark, sf_dir):
     return hilbert_shards.shards(table(spark, sf_dir, "documents")).drop("curve")
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe_automaton(spark, sf_dir):
     return bpe_automaton.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fair_mix, op3_token_store, op4_hilbert_shards, op6_bpe_automaton, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fair_mix, op3_token_store, op4_hilbert_shards, op5_toxicity, op6_bpe_automaton, op9_quality, op10_exact_dedup)}
 
 ORACLES = {"op1_fair_mix": fair_mix.SQL, "op10_exact_dedup": exact_dedup.SQL}

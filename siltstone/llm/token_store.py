@@ -103,7 +103,7 @@ class UnitEncoder:
     character which is no white space, so texts are cut there, and equal cuts are encoded once.
     """
 
-    ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+    ODD = re.compile(r"[^\S \n]")
     SAFE = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
