@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, exact_dedup, fair_mix, hilbert_shards, quality, token_store, toxicity
+from . import bpe_automaton, exact_dedup, fair_mix, hilbert_shards, quality, token_store, toxicity, url_graph, vector_search
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_fair_mix(spark, sf_dir):
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op2_url_graph(spark, sf_dir):
+    return url_graph.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_token_store(spark, sf_dir):
     return token_store.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -30,6 +34,10 @@ def op6_bpe_automaton(spark, sf_dir):
     return bpe_automaton.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_vector_search(spark, sf_dir):
+    return vector_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +46,6 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fair_mix, op3_token_store, op4_hilbert_shards, op5_toxicity, op6_bpe_automaton, op9_quality, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fair_mix, op2_url_graph, op3_token_store, op4_hilbert_shards, op5_toxicity, op6_bpe_automaton, op7_vector_search, op9_quality, op10_exact_dedup)}
 
 ORACLES = {"op1_fair_mix": fair_mix.SQL, "op10_exact_dedup": exact_dedup.SQL}
