@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, exact_dedup, fair_mix, hilbert_shards, quality, token_store, toxicity, url_graph, vector_search
+from . import bpe_automaton, exact_dedup, fair_mix, hilbert_shards, near_dedup, quality, token_store, toxicity, url_graph, vector_search
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op7_vector_search(spark, sf_dir):
     return vector_search.search(table(spark, sf_dir, "embeddings"))
 
 
+def op8_near_dedup(spark, sf_dir):
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,6 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fair_mix, op2_url_graph, op3_token_store, op4_hilbert_shards, op5_toxicity, op6_bpe_automaton, op7_vector_search, op9_quality, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fair_mix, op2_url_graph, op3_token_store, op4_hilbert_shards, op5_toxicity, op6_bpe_automaton, op7_vector_search, op8_near_dedup, op9_quality, op10_exact_dedup)}
 
 ORACLES = {"op1_fair_mix": fair_mix.SQL, "op10_exact_dedup": exact_dedup.SQL}

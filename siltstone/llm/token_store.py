@@ -3,7 +3,8 @@
 Files, all under one folder that every executor sees:
 
 - `ids-<shard>-<attempt>.bin`: the ids of the shard's documents, one after the other, as little-endian
-  unsigned 32-bit integers and nothing else; `.len` beside it: the number of ids of each document.
+  unsigned integers and nothing else, of 16 bits where the vocabulary has at most 65,536 ids, else of
+  32; `.len` beside it: the number of ids of each document, of 32 bits each.
 - `index-<bucket>-<attempt>.npz`: for the keys that hash to the bucket, a minimal perfect hash
   (levels of bit sets: a key's slot is the rank of the first bit that it has to itself) and, by
   slot, the key's fingerprint and the place of its first document: shard, row, offset.
@@ -106,17 +107,34 @@ class UnitEncoder:
     ODD = re.compile(r"[^\S \n]")
     SAFE = re.compile(r"(?<=\S) (?=\S)")
 
+    PLAIN = re.compile(r"( ?[a-zA-Z]+)([.,;:!?]*)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
+        self.library = library = Tokenizer.from_file(path)
         library.no_truncation()
         library.no_padding()
-
-        def code(text: str) -> bytes:
-            return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-        self.first, self.rest = WordCache(code, 20_000), WordCache(lambda unit: code(" " + unit))
+        self.split, self.piece = library.pre_tokenizer.pre_tokenize_str, library.model.tokenize
+        self.special = [x.content for x in library.get_added_tokens_decoder().values()]
+        self.whole = library.normalizer is not None or library.post_processor is not None
+        self.width = 2 if library.get_vocab_size() <= 1 << 16 else 4
+        self.blank = self.split(" a")[0][0][0]
+        # Where the file splits plain ASCII words as this pattern does, they needn't go through its pre-splitter.
+        probes = [" abc", "AbC", " zz.", "Q,,", " it;:", "Ab!?"]
+        self.plain = all([w.replace(self.blank, " ") for w, _ in self.split(p)] == [g for g in self.PLAIN.fullmatch(p).groups() if g] for p in probes)
+        self.words = WordCache(lambda piece: np.array([t.id for t in self.piece(piece)], "<u4").tobytes(), 150_000)
+        self.first, self.rest = WordCache(self._code, 20_000), WordCache(lambda unit: self._code(" " + unit))
+
+    def _code(self, text: str) -> bytes:
+        """The library's ids; its own model runs on each piece that its own pre-splitter makes."""
+        if self.whole or any(x in text for x in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.plain and (found := self.PLAIN.fullmatch(text)):
+            word, mark = found.groups()
+            word = self.words[word.replace(" ", self.blank)]
+            return word + self.words[mark] if mark else word
+        return b"".join([self.words[piece] for piece, _ in self.split(text)])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -148,6 +166,7 @@ class TokenStore:
     shards: list[tuple[str, int, int]]  #: file, documents, ids before it
     buckets: dict[int, str]
     n_buckets: int
+    width: int  #: bytes of an id
     manifest: DataFrame
 
 
@@ -157,13 +176,14 @@ def write(docs: DataFrame, path: str, root: str | None = None) -> TokenStore:
     where, base = _open(root)
     where.create_dir(base, recursive=True)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    width = encoder(path).width
     ranged = docs.select("doc_id", "text").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
 
     def run(batches):
         own, shard, name = encoder(path), TaskContext.get().partitionId(), ""
         fs, at = _open(root)
         row = offset = 0
-        lengths, out, end = [], None, np.array([END_ID], "<u4").tobytes()
+        lengths, out, end, kind = [], None, np.array([END_ID], f"<u{width}").tobytes(), f"<u{width}"
         for batch in batches:
             if out is None and batch.num_rows:
                 name = f"ids-{shard:06d}-{uuid.uuid4().hex}"
@@ -171,7 +191,7 @@ def write(docs: DataFrame, path: str, root: str | None = None) -> TokenStore:
             sizes = np.zeros(batch.num_rows, np.int64)
             for i, text in enumerate(batch.column("text").to_pylist()):
                 payload = own.encode(text)
-                out.write(payload + end)
+                out.write((payload if width == 4 else np.frombuffer(payload, "<u4").astype(kind).tobytes()) + end)
                 sizes[i] = len(payload) // 4 + 1
             if batch.num_rows:
                 starts = offset + np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -197,7 +217,7 @@ def write(docs: DataFrame, path: str, root: str | None = None) -> TokenStore:
     n_docs = sum(s[1] for s in shards)
     n_buckets = max(partitions(spark), -(-n_docs // KEYS_A_BUCKET))
     buckets = _index(manifest, root, renumber, n_buckets)
-    return TokenStore(root, shards, buckets, n_buckets, manifest)
+    return TokenStore(root, shards, buckets, n_buckets, width, manifest)
 
 
 def _index(manifest: DataFrame, root: str, renumber: dict[int, int], n_buckets: int) -> dict[int, str]:
@@ -268,7 +288,7 @@ def lookup(store: TokenStore, keys: DataFrame) -> DataFrame:
 
 def read(store: TokenStore, places: DataFrame, digest: bool = False) -> DataFrame:
     """The documents at the places that lookup() gives: doc_id, start, n_tokens, and ids array<long> or their ids_crc32."""
-    root, shards = store.root, store.shards
+    root, shards, width = store.root, store.shards, store.width
 
     def run(batches):
         fs, at = _open(root)
@@ -283,8 +303,8 @@ def read(store: TokenStore, places: DataFrame, digest: bool = False) -> DataFram
                     with fs.open_input_file(f"{at}/{shards[shard][0]}.len") as f:
                         lengths = np.frombuffer(f.read(), "<u4")
                 for n in lengths[row : row + docs].tolist():
-                    payload = data.read_at(n * 4, offset * 4)
-                    out.append((key, shards[shard][2] + offset, n, zlib.crc32(payload) if digest else np.frombuffer(payload, "<u4").astype(np.int64)))
+                    ids = np.frombuffer(data.read_at(n * width, offset * width), f"<u{width}")
+                    out.append((key, shards[shard][2] + offset, n, zlib.crc32(ids.astype("<u4").tobytes()) if digest else ids.astype(np.int64)))
                     offset += n
             columns = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64() if digest else pa.list_(pa.int64())))], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
