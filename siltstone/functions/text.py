@@ -62,10 +62,19 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once: inside a lambda an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def ngrams(items: Column, n: int) -> Column:
     """The set of runs of n items, joined by spaces; empty if there are fewer (a sequence down to 1 would run backwards)."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(items) - (n - 1)), lambda i: F.array_join(F.slice(items, i, n), " "))
-    return F.when(F.size(items) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(a):
+        found = F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.slice(a, i, n), " "))
+        return F.when(F.size(a) >= n, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    return bound(items, runs)
 
 
 def pairs(items: Column) -> Column:
@@ -75,7 +84,10 @@ def pairs(items: Column) -> Column:
 
 def char_grams(word: Column, n: int) -> Column:
     """All runs of n characters of a padded word."""
-    padded = F.concat(F.lit("^"), word, F.lit("$"))
+    return bound(F.concat(F.lit("^"), word, F.lit("$")), lambda padded: _runs(padded, n))
+
+
+def _runs(padded: Column, n: int) -> Column:
     return F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substring(padded, i, n))).otherwise(F.array().cast("array<string>"))
 
 
