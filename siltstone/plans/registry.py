@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import retrieval_queries  # noqa: F401
+from . import quality_queries, report_queries, retrieval_queries, scoring_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
