@@ -2,10 +2,11 @@
 
 Vectors are turned by one random rotation, so that any block of columns is a fair sample of all.
 They are dealt to lists by their nearest centre (fitted on a bounded sample); a list is cut into
-pieces of at most PIECE vectors.  A query goes to all pieces of its best lists.  In a piece the scan
+pieces of at most PIECE vectors.  A query first meets one piece of its best list, whose k-th
+best product is its floor, and then all pieces of its best lists.  In a piece the scan
 adds one block of columns at a time to the inner products; after each block a hypothesis test
-abandons the candidates whose estimated product is significantly below the query's k-th best so far,
-by the error bound (SIGMAS) of a sample of columns of a random rotation.  Only survivors are scored,
+abandons the candidates whose distance, estimated from the columns so far, is significantly above
+the floor's (EPSILON is the test's error bound for columns of a random rotation).  Only survivors are scored,
 in double precision on the original vectors, and each piece gives its k best; the k best of all
 pieces are the result.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,9 @@ GOAL = 0.97
 PIECE = 2048
 ASKED = 4096  #: queries that meet a piece in one group
 BLOCK = 16
-SIGMAS = 3.0
+SPARSE = 0.05  #: share of living pairs below which blocks are added pair by pair
+ROUNDING = 1e-5
+EPSILON = 2.1  #: of the test: how many times 1/sqrt(columns) a scaled distance may err
 MOST_LISTS = 4096
 PAIRS = 1 << 19  #: query and candidate pairs that are scanned at once
 
@@ -74,7 +78,7 @@ def fit(vectors: DataFrame) -> dict | None:
         return None
     sizes, counts = np.unique(got.column("size").to_numpy(), return_counts=True)
     size = int(sizes[counts.argmax()])
-    held = got.filter(pa.compute.equal(got.column("size"), size))
+    held = got.filter(pc.equal(got.column("size"), size))
     x = held.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, size)
     total = rows.count()
     lists = int(min(MOST_LISTS, max(1, np.sqrt(total) / 2), max(1, len(x) // 8)))
@@ -94,28 +98,44 @@ def fit(vectors: DataFrame) -> dict | None:
     return {"size": size, "turn": turn, "centres": c, "probes": min(lists, probes)}
 
 
-def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, query_ids: np.ndarray, q: np.ndarray, q_turned: np.ndarray, k: int):
-    """Of one piece, the k best for each query: arrays of query_id, vec_id and score."""
+def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, query_ids: np.ndarray, q: np.ndarray, q_turned: np.ndarray, floor: np.ndarray, k: int):
+    """Of one piece, the k best for each query, of those that may reach its floor: arrays of query_id, vec_id and score.
+
+    While most pairs live a block is one product of matrices; once few do, it is added for those only.
+    """
     size, n = x.shape[1], len(x)
-    rest = _tail_norms(turned)
-    edges = [*range(0, size, BLOCK), size]
+    turned, q_turned = turned.astype(np.float32), q_turned.astype(np.float32)
+    squares = _head_squares(turned)
     out = []
     step = max(1, PAIRS // max(1, n))
     for at in range(0, len(q), step):
         own, mine = query_ids[at : at + step], q_turned[at : at + step]
-        q_rest = _tail_norms(mine)
-        qi, vi = np.nonzero(own[:, None] != ids[None])
-        part = np.zeros(len(qi))
-        for a, b in zip(edges, edges[1:]):
-            if a == 0:
-                part += (mine[:, :b] @ turned[:, :b].T)[qi, vi]
+        q_squares = _head_squares(mine)
+        slack = ROUNDING * np.sqrt(q_squares[:, -1] * squares[:, -1].max())  # single precision
+        least = floor[at : at + step].astype(np.float32) - slack
+        alive = own[:, None] != ids[None]
+        part, pairs = np.zeros(alive.shape, np.float32), None
+        for a in range(0, size, BLOCK):
+            b = min(size, a + BLOCK)
+            # The distance over b of `size` columns, scaled up, is significantly above the floor's distance
+            # if the partial product is below the sum of these two, one of the query and one of the candidate.
+            f = 1.0 if b == size else b / size * (1 + EPSILON / np.sqrt(b)) ** 2
+            of_q = (q_squares[:, b] - f * (q_squares[:, -1] - 2 * least)) / 2
+            of_x = (squares[:, b] - f * squares[:, -1]) / 2
+            if pairs is None:
+                part += mine[:, a:b] @ turned[:, a:b].T
+                alive &= part >= of_q[:, None] + of_x[None]
+                if b == size or alive.mean() < SPARSE:
+                    pairs = np.nonzero(alive)
+                    part = part[pairs]
             else:
+                qi, vi = pairs
                 part = part + np.einsum("ij,ij->i", turned[vi, a:b], mine[qi, a:b])
-            if b < size and len(qi) > k * len(own):
-                # What is left is a random direction's share: zero on average, of this deviation.
-                left = SIGMAS * rest[vi, b] * q_rest[qi, b] / np.sqrt(size - b)
-                keep = part + left >= _kth(qi, part - left, len(own), k)[qi]
-                qi, vi, part = qi[keep], vi[keep], part[keep]
+                keep = part >= of_q[qi] + of_x[vi]
+                pairs, part = (qi[keep], vi[keep]), part[keep]
+        qi, vi = pairs
+        keep = part + 2 * slack[qi] >= _kth(qi, part, len(own), k)[qi]
+        qi, vi = qi[keep], vi[keep]
         exact = (x[vi] * q[at : at + step][qi]).sum(axis=1)
         order = np.lexsort((ids[vi], -exact, qi))
         first = np.searchsorted(qi[order], qi[order])
@@ -124,9 +144,11 @@ def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, query_ids: np.ndarr
     return [np.concatenate(column) for column in zip(*out)]
 
 
-def _tail_norms(x: np.ndarray) -> np.ndarray:
-    """The norm of each row's columns from i on."""
-    return np.sqrt((x**2)[:, ::-1].cumsum(axis=1)[:, ::-1])
+def _head_squares(x: np.ndarray) -> np.ndarray:
+    """The squared norm of each row's first i columns, for all i from 0 to their number."""
+    out = np.zeros((len(x), x.shape[1] + 1), x.dtype)
+    np.cumsum(x**2, axis=1, out=out[:, 1:])
+    return out
 
 
 def _kth(group: np.ndarray, value: np.ndarray, groups: int, k: int) -> np.ndarray:
@@ -164,33 +186,51 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, k: int = K, index: dict
     # A hot list is dealt over pieces by a hash of the vector's id.
     stored = dealt.join(sizes, "list").withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int")).select("list", "piece", "vec_id", "embedding")
 
-    def route(batches):
+    def route(batches, probes):
         c = shared.value["centres"] @ shared.value["turn"].T
-        probes = shared.value["probes"]
         for batch in batches:
             n = batch.num_rows
-            q = batch.column("embedding").flatten().to_numpy().reshape(-1, size)
+            q = batch.column("q").flatten().to_numpy().reshape(-1, size)
             best = np.argsort(-(q @ c.T), axis=1, kind="stable")[:, :probes]
             again = pa.array(np.repeat(np.arange(n), probes))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(again), batch.column("embedding").take(again), pa.array(best.ravel().astype(np.int32))], ["query_id", "q", "list"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(again) for i in range(3)), pa.array(best.ravel().astype(np.int32))], ["query_id", "q", "floor", "list"])
 
-    asked = dealt.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").mapInArrow(route, "query_id long, q array<double>, list int")
-    # Queries of one list are dealt over chunks in the same way, so that no group grows with the table.
-    loads = F.broadcast(cut(asked.groupBy("list").agg(F.ceil(F.count("*") / F.lit(ASKED)).cast("int").alias("chunks")), "ann-loads"))
-    stored = stored.join(loads, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    asked = asked.join(loads, "list").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
-    asked = asked.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "chunk", "query_id", "q")
+    def scanned(left: pa.Table, right: pa.Table):
+        if not len(left) or not len(right):
+            return [[]] * 3
+        turn = shared.value["turn"]
+        x = left.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, size)
+        q = right.column("q").combine_chunks().flatten().to_numpy().reshape(-1, size)
+        return scan(left.column("vec_id").to_numpy(), x, x @ turn, right.column("query_id").to_numpy(), q, q @ turn, right.column("floor").to_numpy(), k)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = [[]] * 3
-        if len(left) and len(right):
-            turn = shared.value["turn"]
-            x = left.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, size)
-            q = right.column("q").combine_chunks().flatten().to_numpy().reshape(-1, size)
-            columns = scan(left.column("vec_id").to_numpy(), x, x @ turn, right.column("query_id").to_numpy(), q, q @ turn, k)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
-    found = stored.groupBy("list", "piece", "chunk").cogroup(asked.groupBy("list", "piece", "chunk")).applyInArrow(run, "query_id long, vec_id long, score double")
+        return pa.table([pa.array(c, t) for c, t in zip(scanned(left, right), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+    def floors(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, _, score = scanned(left, right)
+        who, at, n = np.unique(ids, return_index=True, return_counts=True)
+        full = n >= k  # scores descend within a query
+        return pa.table([pa.array(who[full], pa.int64()), pa.array(np.asarray(score)[at[full] + k - 1], pa.float64())], names=["query_id", "floor"])
+
+    def asked(queries: DataFrame, probes: int) -> DataFrame:
+        rows = queries.mapInArrow(lambda batches: route(batches, probes), "query_id long, q array<double>, floor double, list int")
+        return rows.join(sizes, "list")
+
+    def met(stored: DataFrame, rows: DataFrame, f, schema: str) -> DataFrame:
+        """Queries of one list and piece are dealt over chunks in the same way, so that no group grows with the table."""
+        loads = F.broadcast(cut(rows.groupBy("list").agg(F.ceil(F.count("*") / F.lit(ASKED)).cast("int").alias("chunks")), "ann-loads"))  # a row for each list
+        kept = stored.join(loads, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+        rows = rows.join(loads, "list").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
+        keys = ["list", "piece", "chunk"]
+        return kept.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(f, schema)
+
+    queries = dealt.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.lit(float("-inf")).alias("floor"))
+    # The k-th best of one piece of a query's best list is a floor that all other pieces are held against.
+    one = asked(queries, 1).withColumn("piece", F.pmod(F.xxhash64("query_id"), F.col("pieces")).cast("int")).drop("pieces")
+    floor = cut(met(stored, one, floors, "query_id long, floor double").groupBy("query_id").agg(F.max("floor").alias("low")), "ann-floors")
+    queries = queries.join(floor, "query_id", "left").select("query_id", "q", F.coalesce("low", "floor").alias("floor"))
+    rows = asked(queries, index["probes"]).select("query_id", "q", "floor", "list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    found = met(stored, rows, run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
