@@ -54,9 +54,13 @@ class Automaton:
         self.cells: dict[int, bool] = {}
         # All labels in one scanner: it gives the tokens that end at each position of a word.
         self.scanner = ahocorasick.Automaton()
+        lives = [True] * len(labels)
         for i, label in enumerate(labels):
-            # A gadget whose arc b was gone when it came never gets an arc.
-            if self.born[i] < 0 or self._replay(self.left[i], self.right[i], self.born[i]):
+            if self.born[i] >= 0:
+                # A gadget whose arc b was gone when it came, or one of whose tokens has no arc, never gets one.
+                a, b = self.left[i], self.right[i]
+                lives[i] = lives[a] and lives[b] and self._replay(a, b, self.born[i])
+            if lives[i]:
                 key = label.removesuffix(end) + END if end and label.endswith(end) else label
                 self.scanner.add_word(key, (i, len(key)))
         self.scanner.make_automaton()
