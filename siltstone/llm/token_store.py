@@ -26,6 +26,7 @@ import io
 import re
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -97,6 +98,13 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (mixed(keys, 1 << 20) >> U64(32)).astype(np.uint32)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter of each byte in byte-level vocabularies: printable Latin-1 as it is, the others from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class UnitEncoder:
     """The tokenizers library behind a memo of what lies between spaces.
 
@@ -107,8 +115,6 @@ class UnitEncoder:
     ODD = re.compile(r"[^\S \n]")
     SAFE = re.compile(r"(?<=\S) (?=\S)")
 
-    PLAIN = re.compile(r"( ?[a-zA-Z]+)([.,;:!?]*)")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -119,22 +125,38 @@ class UnitEncoder:
         self.special = [x.content for x in library.get_added_tokens_decoder().values()]
         self.whole = library.normalizer is not None or library.post_processor is not None
         self.width = 2 if library.get_vocab_size() <= 1 << 16 else 4
-        self.blank = self.split(" a")[0][0][0]
-        # Where the file splits plain ASCII words as this pattern does, they needn't go through its pre-splitter.
-        probes = [" abc", "AbC", " zz.", "Q,,", " it;:", "Ab!?"]
-        self.plain = all([w.replace(self.blank, " ") for w, _ in self.split(p)] == [g for g in self.PLAIN.fullmatch(p).groups() if g] for p in probes)
-        self.words = WordCache(lambda piece: np.array([t.id for t in self.piece(piece)], "<u4").tobytes(), 150_000)
-        self.first, self.rest = WordCache(self._code, 20_000), WordCache(lambda unit: self._code(" " + unit))
-
-    def _code(self, text: str) -> bytes:
+        self.bytes = _byte_letters()
+        # Where the file splits words of Latin letters as `_parts` does, they needn't go through its pre-splitter.
+        probes = [" abc", "AbC", " zz.", "Q,,", " it;:", "Ab!?", " é", "Žluť.", " ŉœ:!"]
+        parts = [self._parts(p.removeprefix(" "), " " * p.startswith(" ")) for p in probes]
+        self.plain = all([w for w, _ in self.split(p)] == [self._piece(x) for x in found] for p, found in zip(probes, parts))
+        self.first, self.rest = WordCache(lambda unit: self._code(unit, "", self.first), 20_000), WordCache(lambda unit: self._code(unit, " ", self.rest), 500_000)
+        self.marks = WordCache(self._ids, 1000)
+
+    def _ids(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.piece(piece)]).tobytes()
+
+    def _piece(self, word: str) -> str:
+        return word.encode().decode("latin-1").translate(self.bytes)
+
+    @staticmethod
+    def _parts(unit: str, lead: str) -> list[str] | None:
+        """A word and the marks behind it, if the unit is that and no more."""
+        word = unit.rstrip(".,;:!?")
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            return [lead + word, unit[len(word) :]] if len(word) < len(unit) else [lead + word]
+        return None
+
+    def _code(self, unit: str, lead: str, known: WordCache) -> bytes:
         """The library's ids; its own model runs on each piece that its own pre-splitter makes."""
-        if self.whole or any(x in text for x in self.special):
+        if self.plain and (parts := self._parts(unit, lead)):
+            if len(parts) > 1:
+                return known[parts[0].removeprefix(lead)] + self.marks[parts[1]]
+            return self._ids(self._piece(parts[0]))
+        text = lead + unit
+        if self.whole or any(content in text for content in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.plain and (found := self.PLAIN.fullmatch(text)):
-            word, mark = found.groups()
-            word = self.words[word.replace(" ", self.blank)]
-            return word + self.words[mark] if mark else word
-        return b"".join([self.words[piece] for piece, _ in self.split(text)])
+        return b"".join([self._ids(piece) for piece, _ in self.split(text)])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -222,14 +244,10 @@ def write(docs: DataFrame, path: str, root: str | None = None) -> TokenStore:
 
 def _index(manifest: DataFrame, root: str, renumber: dict[int, int], n_buckets: int) -> dict[int, str]:
     places = manifest.groupBy("doc_id").agg(F.min(F.struct("shard", "row", "offset")).alias("at"), F.count("*").alias("docs"))
-    places = places.select("doc_id", "at.shard", "at.row", "at.offset", "docs").repartition(n_buckets, "doc_id")
+    places = places.select(_bucket(n_buckets), "doc_id", "at.shard", "at.row", "at.offset", "docs")
+    places = places.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
 
-    def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        fs, at = _open(root)
-        t = pa.Table.from_batches(held)
+    def build(t: pa.Table, fs, at: str) -> tuple[int, str]:
         has = np.asarray(t.column("doc_id").is_valid())
         keys = t.column("doc_id").fill_null(0).to_numpy().astype(np.int64).view(U64)
         rest = {k: t.column(k).to_numpy() for k in ("row", "offset", "docs")}
@@ -238,52 +256,77 @@ def _index(manifest: DataFrame, root: str, renumber: dict[int, int], n_buckets:
         slots = PerfectHash(stored).slots(keys[has])
         place = np.empty(int(has.sum()), np.int64)
         place[slots] = np.flatnonzero(has)
-        name = f"index-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.npz"
+        bucket = t.column("bucket")[0].as_py()
+        name = f"index-{bucket:06d}-{uuid.uuid4().hex}.npz"
         data = io.BytesIO()
         np.savez(data, **stored, mark=fingerprints(keys[place]), **{k: v[place] for k, v in rest.items()}, **{f"null_{k}": v[~has] for k, v in rest.items()})
         with fs.open_output_stream(f"{at}/{name}") as f:
             f.write(data.getvalue())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name], pa.string())], ["bucket", "file"])
+        return bucket, name
+
+    def run(batches):
+        fs, at = _open(root)
+        made = [build(t, fs, at) for t in _by_bucket(batches)]
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int32()), pa.array([n for _, n in made], pa.string())], ["bucket", "file"])
 
     # One row for each bucket, of up to some 200,000 keys.
     return {r["bucket"]: r["file"] for r in cut(places.mapInArrow(run, "bucket int, file string"), "tokens-index").collect()}
 
 
+def _bucket(n_buckets: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)).cast("int").alias("bucket")
+
+
+def _by_bucket(batches):
+    """Tables of one bucket each, from batches that are in order of buckets."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        at = np.asarray(batch.column("bucket"))
+        edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                if held and held[-1].column("bucket")[0].as_py() != int(at[a]):
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def lookup(store: TokenStore, keys: DataFrame) -> DataFrame:
     """keys: doc_id.  Where each key's documents are: doc_id, shard, row, offset, docs; a row for each shard, none for absent keys."""
     root, buckets, shards = store.root, store.buckets, [(s[1], s[2]) for s in store.shards]
 
-    def run(batches):
-        index = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if index is None:
-                name = buckets.get(TaskContext.get().partitionId())
-                if name is None:
-                    return
-                fs, at = _open(root)
-                with fs.open_input_file(f"{at}/{name}") as f:
-                    index = dict(np.load(io.BytesIO(f.read())))
-                hashed = PerfectHash(index)
-            ids = batch.column("doc_id")
+    def find(t: pa.Table, fs, at: str) -> pa.RecordBatch:
+        name, out = buckets.get(t.column("bucket")[0].as_py()), []
+        if name is not None:
+            with fs.open_input_file(f"{at}/{name}") as f:
+                index = dict(np.load(io.BytesIO(f.read())))
+            ids = t.column("doc_id").combine_chunks()
             has = np.asarray(ids.is_valid())
             wanted = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            slots = hashed.slots(wanted.view(U64))
+            slots = PerfectHash(index).slots(wanted.view(U64))
             good = has & (slots >= 0)
             good[good] = index["mark"][slots[good]] == fingerprints(wanted.view(U64)[good])
-            hits = [(int(wanted[i]), *(int(index[k][slots[i]]) for k in ("shard", "row", "offset", "docs"))) for i in np.flatnonzero(good)]
-            hits += [(None, *(int(index[f"null_{k}"][0]) for k in ("shard", "row", "offset", "docs"))) for i in np.flatnonzero(~has) if len(index["null_docs"])]
-            out = []
+            fields = ("shard", "row", "offset", "docs")
+            hits = [(int(wanted[i]), *(int(index[k][slots[i]]) for k in fields)) for i in np.flatnonzero(good)]
+            if len(index["null_docs"]):
+                hits += [(None, *(int(index[f"null_{k}"][0]) for k in fields)) for _ in np.flatnonzero(~has)]
             for key, shard, row, offset, docs in hits:
                 while docs > 0:
                     here = min(docs, shards[shard][0] - row)
                     out.append((key, shard, row, offset, here))
                     docs, shard, row, offset = docs - here, shard + 1, 0, 0
-            columns = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "shard", "row", "offset", "docs"])
+        columns = list(zip(*out)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "shard", "row", "offset", "docs"])
+
+    def run(batches):
+        fs, at = _open(root)
+        for t in _by_bucket(batches):
+            yield find(t, fs, at)
 
-    return keys.select("doc_id").repartition(store.n_buckets, "doc_id").mapInArrow(run, "doc_id long, shard int, row long, offset long, docs long")
+    asked = keys.select(_bucket(store.n_buckets), "doc_id").repartition(store.n_buckets, "bucket").sortWithinPartitions("bucket")
+    return asked.mapInArrow(run, "doc_id long, shard int, row long, offset long, docs long")
 
 
 def read(store: TokenStore, places: DataFrame, digest: bool = False) -> DataFrame:
