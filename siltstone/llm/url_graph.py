@@ -1,7 +1,7 @@
 """URL filters: rules by host and path, and for what no rule decides, trust and distrust over links.
 
 Rules give seeds: a host is trusted by the share of its pages that a rule allows, and distrusted by
-the share that a rule blocks.  Links between hosts form a weighted graph.  Trust flows along links
+the share that a rule blocks, if that is most of them: a rule for one path doesn't condemn a host.  Links between hosts form a weighted graph.  Trust flows along links
 (personalised PageRank from the trusted hosts), distrust against them, from the blocked hosts to
 those that link to them.  A host whose distrust is above BLOCK_AT of the sum of both is blocked.
 
@@ -32,6 +32,7 @@ RULES = (
 ROUNDS = 10
 DAMPING = 0.85
 BLOCK_AT = 0.5
+SEED_AT = 0.5
 #: Of a url: all between the first `://` and the next `/`, `?`, `#`; then all up to `?` or `#`.
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Links out of the page's own site: those with a host.
@@ -94,8 +95,42 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     named = named.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"))
     share = {v: F.count_if(F.col("ruled") == v) / F.count("*") for v in ("allow", "block")}
     seeds = named.where("host <> ''").groupBy("host").agg(share["allow"].alias("trust"), share["block"].alias("distrust"))
+    seeds = seeds.withColumn("distrust", F.when(F.col("distrust") > SEED_AT, F.col("distrust")).otherwise(0.0))
     scores = cut(propagate(cut(links(pages), "links"), cut(seeds, "links-seeds")), "links-scores")
     rows = named.join(small(scores), "host", "left")
     bad = F.coalesce(F.col("distrust") > BLOCK_AT * (F.col("trust") + F.col("distrust")), F.lit(False))
     verdict = F.coalesce("ruled", F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+
+
+def _sql(rules=RULES, rounds: int = ROUNDS) -> str:
+    """The same, with a table for each round."""
+    parts = PARTS.replace("'", "''")
+
+    def host_of(x: str) -> str:
+        return f"coalesce(translate(regexp_extract({x}, '{parts}', 1), '{_UPPER}', '{_UPPER.lower()}'), '')"
+
+    longest = sorted(rules, key=lambda r: -len(r[0] + r[1]))
+    fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN " for h, p, _ in longest]
+    rule = "CASE " + " ".join(f"{f}'{h}{p}'" for f, (h, p, _) in zip(fits, longest)) + " END"
+    ruled_ = "CASE " + " ".join(f"{f}'{v}'" for f, (_, _, v) in zip(fits, longest)) + " END"
+    link = LINK.replace("'", "''")
+    out = [
+        f"n AS (SELECT page_id, html, {host_of('url')} AS host, coalesce(regexp_extract(url, '{parts}', 2), '') AS path FROM pages)",
+        f"j AS (SELECT *, {rule} AS rule, {ruled_} AS ruled FROM n)",
+        f"l AS (SELECT host AS src, {host_of("CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM n))",
+        "e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL)",
+        "b AS (SELECT 0 AS kind, src AS host, dst AS too, n FROM e UNION ALL SELECT 1, dst, src, n FROM e)",
+        "s AS (SELECT kind, host, too, n / sum(n) OVER (PARTITION BY kind, host) AS share FROM b)",
+        "d AS (SELECT host, count(*) FILTER (ruled = 'allow') / count(*) AS trust, count(*) FILTER (ruled = 'block') / count(*) AS distrust FROM j WHERE host <> '' GROUP BY host)",
+        f"w AS (SELECT 0 AS kind, host, trust AS score FROM d UNION ALL SELECT 1, host, CASE WHEN distrust > {SEED_AT} THEN distrust ELSE 0 END FROM d)",
+        "r0 AS (SELECT kind, host, score / sum(score) OVER (PARTITION BY kind) AS score FROM w WHERE score > 0)",
+    ]
+    for i in range(1, rounds + 1):
+        out.append(f"r{i} AS (SELECT kind, host, sum(score) AS score FROM (SELECT kind, host, score * {1 - DAMPING:.2f} AS score FROM r0 UNION ALL SELECT s.kind, s.too, r.score * s.share * {DAMPING} FROM r{i - 1} r JOIN s ON r.kind = s.kind AND r.host = s.host) GROUP BY kind, host)")
+    out.append(f"v AS (SELECT host, sum(score) FILTER (kind = 0) AS trust, sum(score) FILTER (kind = 1) AS distrust FROM r{rounds} GROUP BY host)")
+    bad = f"coalesce(distrust, 0) > {BLOCK_AT} * (coalesce(trust, 0) + coalesce(distrust, 0))"
+    return "WITH " + ",\n".join(out) + f"\nSELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN {bad} THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN v ON j.host = v.host"
+
+
+SQL = _sql()
