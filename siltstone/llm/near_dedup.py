@@ -10,9 +10,12 @@ some hundredths of what idf takes note of, at any size of the corpus.
    similarity as their probability); the samples of a band make its bucket.
 3. Each bucket's nodes are paired with its first node, never with each other; the weighted
    Jaccard similarity of each pair is computed from the texts, and pairs of AT_LEAST are links.
-4. Connected components of links are classes.  Buckets whose nodes are in several components go
-   through further rounds: one node is drawn for each component and meets REACH others, until a round
-   finds no link.
+4. Connected components of links are classes.  The nodes of buckets that hold several components
+   are open.  They are joined on prefixes, in an order of all shingles that has those rare among open
+   nodes first: a pair of AT_LEAST has a shingle that is in the part of each text that begins its
+   order and outweighs what the pair may lack.  Rounds in which one node of each component meets one
+   other at a shingle merge components first; then every pair of open nodes that are still in two
+   components is compared, unless the weights that follow the shared shingle prove it below AT_LEAST.
 
 Large buckets meet only aggregates and shuffle joins, whose hot keys AQE splits.  Texts are shuffled
 only for candidates.  Intermediate tables are written to the shared folder.
@@ -31,7 +34,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small
@@ -40,8 +43,9 @@ WORDS = 5
 AT_LEAST = 0.8
 BANDS, ROWS = 9, 3
 OLDEST = 6  #: bands whose buckets have the smallest doc_id as their first node
-LEAST_ROUNDS = 2
-REACH = 6  #: nodes of other components that a node meets in a bucket, in each further round
+TURNS = 8  #: a merging round takes the shingles of one of so many parts; all pairs are compared after it, whatever it finds
+RANKS = 1 << 20  #: hashed cells in which shingles of open nodes are counted, for their order
+SLACK = 1e-6  #: of the weights, for rounding
 CELLS = 1 << 16
 RARE = 20
 BLOCK = 1024  #: shingles that are sampled at once
@@ -279,6 +283,80 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(old.union(fresh), "near-labels")
 
 
+def prefix(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the shingles that a pair of AT_LEAST may have as its first in common, and the weight from each one on.
+
+    counts orders the shingles, rare ones first, and ties by hash.  What two texts of weights v <= w
+    share weighs AT_LEAST * w and AT_LEAST / (1 + AT_LEAST) * (v + w) at least, and none of it comes
+    before its first shingle.
+    """
+    order = np.lexsort((hashes, counts))
+    rest = np.cumsum(weights[order][::-1])[::-1]
+    n = int((rest >= (AT_LEAST - SLACK) * rest[0]).sum())
+    return order[:n], rest[:n]
+
+
+def _may_link(x: str, y: str) -> Column:
+    """Whether what follows a shared shingle can hold what a pair of AT_LEAST shares."""
+    least = AT_LEAST / (1 + AT_LEAST) - SLACK
+    return F.least(f"{x}.rest", f"{y}.rest") >= least * (F.col(f"{x}.weight") + F.col(f"{y}.weight"))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return cut(met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "near-pairs")
+
+
+def _rank_cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - RANKS.bit_length() + 1)).astype(np.int64)
+
+
+def _postings(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """shingle, key, weight (of the whole text), rest (from this shingle on), inner: prefixes of the texts.
+
+    inner: whether a text that is not heavier than its partner can have it as the first in common.
+    Shingles alone in their cell of RANKS are in one text only and left out.
+    """
+
+    def count(batches):
+        n = np.zeros(RANKS, np.int64)
+        for batch in batches:
+            for text in batch.column("words").to_pylist():
+                n[np.unique(_rank_cell(shingles(text.split(" "))[0]))] += 1
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[seen], pa.int64())], ["cell", "n"])
+
+    found = texts.select("words").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # RANKS rows at most
+    counts = np.zeros(RANKS, np.int64)
+    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast((counts, idf))
+    least = 2 * AT_LEAST / (1 + AT_LEAST) - SLACK
+
+    def run(batches):
+        counts, idf = shared.value
+        for batch in batches:
+            found = []
+            for text in batch.column("words").to_pylist():
+                h, n = shingles(text.split(" "))
+                seen = counts[_rank_cell(h)]
+                at, rest = prefix(h, weigh(h, n, idf), seen)
+                known = seen[at] > 1
+                found.append((h[at[known]].view(np.int64), rest[known], rest[0]))
+            sizes = [len(h) for h, _, _ in found]
+            keys = batch.column("key").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            whole = np.repeat(np.array([x for _, _, x in found], float), sizes)
+            h, rest = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, kind) for i, kind in ((0, np.int64), (1, float)))
+            yield pa.RecordBatch.from_arrays([pa.array(h), keys, pa.array(whole), pa.array(rest), pa.array(rest >= least * whole)], ["shingle", "key", "weight", "rest", "inner"])
+
+    return cut(texts.select("key", "words").mapInArrow(run, "shingle long, key binary, weight double, rest double, inner boolean"), "near-postings")
+
+
+def _of_several(posted: DataFrame, labels: DataFrame) -> DataFrame:
+    """posted with label, of the shingles that nodes of several components have."""
+    named = posted.join(small(labels.withColumnRenamed("key", "k")), F.col("key") == F.col("k"), "left").withColumn("label", F.coalesce("label", "key")).drop("k")
+    several = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
+    return named.join(several, "shingle", "left_semi")
+
+
 def classes_by_key(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """key, label: nodes that are linked to others."""
     signed = _signatures(docs, idf)
@@ -292,25 +370,30 @@ def classes_by_key(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     texts = _texts(docs, cut(members.select("key", "rep").distinct(), "near-nodes"))
     pairs = members.where("key <> first").select(F.least("key", "first").alias("a"), F.greatest("key", "first").alias("b")).distinct()
     labels = components(_links(pairs, texts, idf))
-    members, turn = members.select("bucket", "key"), 0
+    named = members.join(small(labels), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
+    several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    open_ = cut(members.join(several, "bucket", "left_semi").select("key").distinct(), "near-open")
+    posted = _postings(cut(texts.join(open_, "key", "left_semi"), "near-open-texts"), idf)
+    turn = 0
     while True:
-        turn += 1
-        # Of each component in a bucket one node, drawn anew in each bucket and round, meets the REACH nodes before it.
-        named = members.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
-        draw = F.min(F.struct(F.xxhash64("key", "bucket", F.lit(turn)).alias("o"), "key"))
-        some = named.groupBy("bucket", "label").agg(draw.alias("it"))
-        order = Window.partitionBy("bucket").orderBy("it")
-        met = some.select("it", *[F.lag("it", i + 1).over(order).alias(f"back{i}") for i in range(REACH)])
-        met = met.select(F.col("it.key").alias("key"), F.explode(F.array(*[F.col(f"back{i}.key") for i in range(REACH)])).alias("other")).where("other is not null")
-        pairs = met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
-        pairs = cut(pairs.distinct(), "near-pairs")
-        if pairs.isEmpty():
-            return labels
-        found = _links(pairs, texts, idf)
-        if not found.isEmpty():
-            labels = merged(labels, found)
-        elif turn >= LEAST_ROUNDS:
-            return labels
+        # One node of each component meets one other at each shingle of this round's part.
+        mine = _of_several(posted.where(F.pmod(F.xxhash64("shingle"), F.lit(TURNS)) == turn % TURNS), labels)
+        node = F.struct(F.xxhash64("key", "shingle", F.lit(turn)).alias("o"), "key", "weight", "rest")
+        one = mine.groupBy("shingle", "label").agg(F.min(node).alias("it"))
+        centre = one.groupBy("shingle").agg(F.min("it").alias("other"))
+        met = one.join(centre, "shingle").where((F.col("it.key") != F.col("other.key")) & _may_link("it", "other"))
+        found = _links(_pairs(met.select(F.col("it.key").alias("key"), F.col("other.key").alias("other"))), texts, idf)
+        if found.isEmpty():
+            break
+        labels, turn = merged(labels, found), turn + 1
+    # All pairs of nodes that are still in two components.
+    mine = cut(_of_several(posted, labels), "near-several")
+    node = F.struct("weight", "key", "rest", "label")
+    light = mine.where("inner").select("shingle", node.alias("x"))
+    heavy = mine.select("shingle", node.alias("y"))
+    both = light.join(heavy, (light["shingle"] == heavy["shingle"]) & (F.col("x.label") != F.col("y.label")) & (F.struct("x.weight", "x.key") < F.struct("y.weight", "y.key")) & _may_link("x", "y"))
+    found = _links(_pairs(both.select(F.col("x.key").alias("key"), F.col("y.key").alias("other"))), texts, idf)
+    return labels if found.isEmpty() else merged(labels, found)
 
 
 def _decided(docs: DataFrame) -> DataFrame:

@@ -290,6 +290,26 @@ def test_near_by_force(spark):
     assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == classes_by_force(table)
 
 
+def near_rows(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_near_in_a_bucket_that_a_passage_fills(spark):
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(150)]
+    texts = []
+    for i in range(150):
+        own = [f"x{i}-{k}" for k in range(30)]
+        texts.append(" ".join(passage + own))
+        if i < 60:
+            at = rng.randrange(5, 15)
+            texts.append(" ".join(passage + own[:at] + ["changed", f"y{i}"] + own[at + 2 :]))
+    rng.shuffle(texts)
+    table = near_rows(spark, texts)
+    got = near_dedup.classes(table).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == classes_by_force(table)
+
+
 def test_samples_estimate_similarity():
     pick = np.random.default_rng(2)
     h = np.unique(pick.integers(0, 1 << 62, 400).astype(np.uint64))
