@@ -43,7 +43,7 @@ WORDS = 5
 AT_LEAST = 0.8
 BANDS, ROWS = 9, 3
 OLDEST = 6  #: bands whose buckets have the smallest doc_id as their first node
-TURNS = 8  #: a merging round takes the shingles of one of so many parts; all pairs are compared after it, whatever it finds
+TURNS = 2  #: merging rounds, each on its part of the shingles; whatever they find, all remaining pairs are compared after them
 RANKS = 1 << 20  #: hashed cells in which shingles of open nodes are counted, for their order
 SLACK = 1e-6  #: of the weights, for rounding
 CELLS = 1 << 16
@@ -374,18 +374,16 @@ def classes_by_key(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     open_ = cut(members.join(several, "bucket", "left_semi").select("key").distinct(), "near-open")
     posted = _postings(cut(texts.join(open_, "key", "left_semi"), "near-open-texts"), idf)
-    turn = 0
-    while True:
+    for turn in range(TURNS):
         # One node of each component meets one other at each shingle of this round's part.
-        mine = _of_several(posted.where(F.pmod(F.xxhash64("shingle"), F.lit(TURNS)) == turn % TURNS), labels)
+        mine = _of_several(posted.where(F.pmod(F.xxhash64("shingle"), F.lit(TURNS)) == turn), labels)
         node = F.struct(F.xxhash64("key", "shingle", F.lit(turn)).alias("o"), "key", "weight", "rest")
         one = mine.groupBy("shingle", "label").agg(F.min(node).alias("it"))
         centre = one.groupBy("shingle").agg(F.min("it").alias("other"))
         met = one.join(centre, "shingle").where((F.col("it.key") != F.col("other.key")) & _may_link("it", "other"))
         found = _links(_pairs(met.select(F.col("it.key").alias("key"), F.col("other.key").alias("other"))), texts, idf)
-        if found.isEmpty():
-            break
-        labels, turn = merged(labels, found), turn + 1
+        if not found.isEmpty():
+            labels = merged(labels, found)
     # All pairs of nodes that are still in two components.
     mine = cut(_of_several(posted, labels), "near-several")
     node = F.struct("weight", "key", "rest", "label")

@@ -295,21 +295,33 @@ def near_rows(spark, texts):
 
 
 def test_near_in_a_bucket_that_a_passage_fills(spark):
-    rng = random.Random(3)
     passage = [f"p{i}" for i in range(150)]
     texts = []
-    for i in range(150):
-        own = [f"x{i}-{k}" for k in range(30)]
+    for i in range(500):
+        own = [f"x{i}-{k}" for k in range(10)]
         texts.append(" ".join(passage + own))
-        if i < 60:
-            at = rng.randrange(5, 15)
-            texts.append(" ".join(passage + own[:at] + ["changed", f"y{i}"] + own[at + 2 :]))
-    rng.shuffle(texts)
+        if i % 5 == 4:
+            texts.append(" ".join(passage + own[:4] + [f"y{i}"] + own[5:]))
+    random.Random(3).shuffle(texts)
     table = near_rows(spark, texts)
     got = near_dedup.classes(table).collect()
     assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == classes_by_force(table)
 
 
+def test_near_components_that_one_pair_joins(spark):
+    texts, last = [], []
+    for f in range(16):
+        for start in (0, 8):
+            base = [f"f{f}w{i}" for i in range(start, start + 110)]
+            texts += [" ".join(base[: 30 + 6 * k] + [f"e{f}-{start}-{k}"] + base[31 + 6 * k :]) for k in range(8)]
+            last.append(" ".join(base))
+    table = near_rows(spark, texts + last)
+    want = classes_by_force(table)
+    assert {size for _, _, size in want} == {18}
+    got = near_dedup.classes(table).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == want
+
+
 def test_samples_estimate_similarity():
     pick = np.random.default_rng(2)
     h = np.unique(pick.integers(0, 1 << 62, 400).astype(np.uint64))
