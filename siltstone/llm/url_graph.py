@@ -1,17 +1,23 @@
 """URL filters: rules by host and path, and for what no rule decides, trust and distrust over links.
 
 Rules give seeds: a host is trusted by the share of its pages that a rule allows, and distrusted by
-the share that a rule blocks, if that is most of them: a rule for one path doesn't condemn a host.  Links between hosts form a weighted graph.  Trust flows along links
+the share that a rule blocks.  Links between hosts form a weighted graph.  Trust flows along links
 (personalised PageRank from the trusted hosts), distrust against them, from the blocked hosts to
-those that link to them.  A host whose distrust is above BLOCK_AT of the sum of both is blocked.
+those that link to them; what reaches a host without further links returns to the seeds, so that each
+of the two sums to 1.  Pages without a rule are judged by what their host receives over links,
+without its own share of the seeds, so that a rule for one path doesn't condemn a host: it is blocked
+if of what it receives more than BLOCK_AT is distrust.
 
 Edges are summed by pair of hosts before anything is joined, so a host with a third of all pages
 has no more rows than it has neighbours; each round is a join and a partial aggregation, and AQE
-splits a hub's rows.  Every second round is written to the shared folder.
+splits a hub's rows.  Rounds go on until they move less than TOLERANCE of the flow.  Every few
+rounds are written to the shared folder.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, fits no rule and is
-allowed; null html has no links; links within a host, and those without a host, are left out; hosts
-that are only linked to take part in the flow; repeated pages count each; no pages give no rows.
+allowed; null html has no links, and html is read whole, however long; links within a host, and those
+without a host, are left out; hosts that are only linked to take part in the flow; repeated pages
+count each; equal trust and distrust (to SHARE_DIGITS digits) allow; no pages give no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +35,11 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-ROUNDS = 10
 DAMPING = 0.85
 BLOCK_AT = 0.5
-SEED_AT = 0.5
+SHARE_DIGITS = 4  #: of a host's share of distrust
+TOLERANCE = 1e-7  #: summed change of a round, of a flow of 1
+TOGETHER = 4  #: rounds that are written together
 #: Of a url: all between the first `://` and the next `/`, `?`, `#`; then all up to `?` or `#`.
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Links out of the page's own site: those with a host.
@@ -64,29 +71,40 @@ def links(pages: DataFrame) -> DataFrame:
     return found.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust.  seeds: host, trust, distrust.
+def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """host, trust, distrust, trust_in, distrust_in (the parts that came over links).  seeds: host, trust, distrust.
 
-    kind 0 carries trust along links, kind 1 distrust against them; what a host without links out
-    holds stays with it.
+    kind 0 carries trust along links, kind 1 distrust against them.  Returning what hosts without
+    links hold to the seeds only adds to the seeds' own inflow, and the flow is linear in that: so
+    it is iterated without the return, and each kind is then scaled to a sum of 1.
     """
     both = edges.select(F.lit(0).alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").unionByName(edges.select(F.lit(1).alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "n"))
     out = both.groupBy("kind", "host").agg(F.sum("n").alias("all"))
     step = cut(both.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("all")).alias("share")), "links-step")
     start = seeds.select("host", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("trust").alias("score")), F.struct(F.lit(1).alias("kind"), F.col("distrust").alias("score")))).alias("s"))
     start = start.select("s.kind", "host", "s.score").where("score > 0")
-    sums = {r["kind"]: r["s"] for r in start.groupBy("kind").agg(F.sum("score").alias("s")).collect()}
+    sums = {r["kind"]: r["s"] for r in start.groupBy("kind").agg(F.sum("score").alias("s")).collect()}  # two rows
     weight = F.when(F.col("kind") == 0, F.lit(float(sums.get(0) or 1))).otherwise(F.lit(float(sums.get(1) or 1)))
     start = cut(start.withColumn("score", F.col("score") / weight), "links-start")
-    now = start
-    if not step.isEmpty():
-        base = start.withColumn("score", F.col("score") * (1 - DAMPING))
-        for i in range(rounds):
-            moved = now.join(step, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * DAMPING).alias("score"))
-            now = base.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-            if i % 2:
-                now = cut(now, "links-now")
-    return now.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(name) for k, name in enumerate(("trust", "distrust"))])
+    base = start.withColumn("score", F.col("score") * (1 - DAMPING))
+    none = F.lit(0.0)
+    now, moving, written = base.withColumn("before", none), not step.isEmpty(), None
+    while moving:
+        for _ in range(TOGETHER):
+            moved = now.join(step, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * DAMPING).alias("score"), none.alias("before"))
+            # The score of the round before travels along, for the change.
+            now = base.withColumn("before", none).unionByName(moved).unionByName(now.select("kind", "host", none.alias("score"), F.col("score").alias("before")))
+            now = now.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("before").alias("before"))
+        now = written = cut(now, "links-now", written)
+        moving = (now.groupBy("kind").agg((F.sum(F.abs(F.col("score") - F.col("before"))) / F.sum("score")).alias("d")).agg(F.max("d")).first()[0] or 0) > TOLERANCE
+    own = base.select("kind", "host", none.alias("score"), F.col("score").alias("own"))
+    now = now.select("kind", "host", "score", none.alias("own")).unionByName(own).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("own").alias("own"))
+    total = {r["kind"]: r["s"] for r in now.groupBy("kind").agg(F.sum("score").alias("s")).collect()}  # two rows
+    columns = []
+    for kind, name in enumerate(("trust", "distrust")):
+        for value, suffix in ((F.col("score"), ""), (F.greatest(F.col("score") - F.col("own"), none), "_in")):
+            columns.append(F.coalesce(F.sum(F.when(F.col("kind") == kind, value / F.lit(float(total.get(kind) or 1)))), none).alias(name + suffix))
+    return now.groupBy("host").agg(*columns).select("host", "trust", "distrust", "trust_in", "distrust_in")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -95,16 +113,19 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     named = named.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"))
     share = {v: F.count_if(F.col("ruled") == v) / F.count("*") for v in ("allow", "block")}
     seeds = named.where("host <> ''").groupBy("host").agg(share["allow"].alias("trust"), share["block"].alias("distrust"))
-    seeds = seeds.withColumn("distrust", F.when(F.col("distrust") > SEED_AT, F.col("distrust")).otherwise(0.0))
     scores = cut(propagate(cut(links(pages), "links"), cut(seeds, "links-seeds")), "links-scores")
     rows = named.join(small(scores), "host", "left")
-    bad = F.coalesce(F.col("distrust") > BLOCK_AT * (F.col("trust") + F.col("distrust")), F.lit(False))
+    received = F.col("trust_in") + F.col("distrust_in")
+    bad = F.coalesce((received > 0) & (F.round(F.col("distrust_in") / received, SHARE_DIGITS) > BLOCK_AT), F.lit(False))
     verdict = F.coalesce("ruled", F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
-def _sql(rules=RULES, rounds: int = ROUNDS) -> str:
-    """The same, with a table for each round."""
+def _sql(rules=RULES, rounds: int = 85) -> str:
+    """By definition: in each round a part of DAMPING moves over links, and all that didn't is dealt to the seeds.
+
+    After 85 rounds 0.85^85, a millionth of the flow, may still move.
+    """
     parts = PARTS.replace("'", "''")
 
     def host_of(x: str) -> str:
@@ -121,16 +142,18 @@ def _sql(rules=RULES, rounds: int = ROUNDS) -> str:
         f"l AS (SELECT host AS src, {host_of("CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM n))",
         "e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL)",
         "b AS (SELECT 0 AS kind, src AS host, dst AS too, n FROM e UNION ALL SELECT 1, dst, src, n FROM e)",
-        "s AS (SELECT kind, host, too, n / sum(n) OVER (PARTITION BY kind, host) AS share FROM b)",
+        "s AS MATERIALIZED (SELECT kind, host, too, n / sum(n) OVER (PARTITION BY kind, host) AS share FROM b)",
         "d AS (SELECT host, count(*) FILTER (ruled = 'allow') / count(*) AS trust, count(*) FILTER (ruled = 'block') / count(*) AS distrust FROM j WHERE host <> '' GROUP BY host)",
-        f"w AS (SELECT 0 AS kind, host, trust AS score FROM d UNION ALL SELECT 1, host, CASE WHEN distrust > {SEED_AT} THEN distrust ELSE 0 END FROM d)",
-        "r0 AS (SELECT kind, host, score / sum(score) OVER (PARTITION BY kind) AS score FROM w WHERE score > 0)",
+        "w AS (SELECT 0 AS kind, host, trust AS score FROM d UNION ALL SELECT 1, host, distrust FROM d)",
+        "r0 AS MATERIALIZED (SELECT kind, host, score / sum(score) OVER (PARTITION BY kind) AS score FROM w WHERE score > 0)",
     ]
     for i in range(1, rounds + 1):
-        out.append(f"r{i} AS (SELECT kind, host, sum(score) AS score FROM (SELECT kind, host, score * {1 - DAMPING:.2f} AS score FROM r0 UNION ALL SELECT s.kind, s.too, r.score * s.share * {DAMPING} FROM r{i - 1} r JOIN s ON r.kind = s.kind AND r.host = s.host) GROUP BY kind, host)")
-    out.append(f"v AS (SELECT host, sum(score) FILTER (kind = 0) AS trust, sum(score) FILTER (kind = 1) AS distrust FROM r{rounds} GROUP BY host)")
-    bad = f"coalesce(distrust, 0) > {BLOCK_AT} * (coalesce(trust, 0) + coalesce(distrust, 0))"
-    return "WITH " + ",\n".join(out) + f"\nSELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN {bad} THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN v ON j.host = v.host"
+        out.append(f"m{i} AS MATERIALIZED (SELECT s.kind, s.too AS host, sum(r.score * s.share) * {DAMPING} AS score FROM r{i - 1} r JOIN s ON r.kind = s.kind AND r.host = s.host GROUP BY ALL)")
+        rest = f"SELECT r0.kind, host, score * (1 - coalesce(t, 0)) AS score FROM r0 LEFT JOIN (SELECT kind, sum(score) AS t FROM m{i} GROUP BY kind) k ON r0.kind = k.kind"
+        out.append(f"r{i} AS MATERIALIZED (SELECT kind, host, sum(score) AS score FROM (FROM m{i} UNION ALL {rest}) GROUP BY kind, host)")
+    out.append(f"v AS (SELECT host, coalesce(sum(score) FILTER (kind = 0), 0) AS good, coalesce(sum(score) FILTER (kind = 1), 0) AS bad FROM m{rounds} GROUP BY host)")
+    verdict = f"CASE WHEN good + bad > 0 AND round(bad / (good + bad), {SHARE_DIGITS}) > {BLOCK_AT} THEN 'block' ELSE 'allow' END"
+    return "WITH " + ",\n".join(out) + f"\nSELECT page_id, j.host, path, rule, coalesce(ruled, {verdict}) AS verdict FROM j LEFT JOIN v ON j.host = v.host"
 
 
 SQL = _sql()
