@@ -16,8 +16,9 @@ result against brute force.
 
 Defined cases: vectors that are null, zero, of another length than most of the sample's, or hold
 null or non-finite components take no part; ties in score go to the smaller vec_id, and a null
-vec_id takes no part either; rows that repeat a vec_id are candidates each; fewer candidates than
-k give all of them; an empty table gives no rows; other columns are ignored.
+vec_id takes no part either; rows that repeat a vec_id are candidates each, for each other too, and
+queries each, with a result of their own; fewer candidates than k give all of them; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,16 +33,17 @@ from .common import cut, small
 
 K = 20
 QUERY_EVERY = 20
-SAMPLE = 20_000  #: vectors on which the centres are fitted
+SAMPLE_A_LIST = 8  #: vectors for each list on which the centres are fitted,
+SAMPLE = 20_000  #: and at least so many
 TRIALS = 200  #: queries on which the number of probes is measured
 GOAL = 0.97
 PIECE = 2048
-ASKED = 4096  #: queries that meet a piece in one group
+ASKED = 16_384  #: queries that meet a piece in one group; a piece is copied once for each so many
 BLOCK = 16
 SPARSE = 0.05  #: share of living pairs below which blocks are added pair by pair
 ROUNDING = 1e-5
 EPSILON = 2.1  #: of the test: how many times 1/sqrt(columns) a scaled distance may err
-MOST_LISTS = 4096
+MOST_LISTS = 16_384  #: lists grow with the root of the table's rows, up to a billion rows; it bounds the sample too
 PAIRS = 1 << 19  #: query and candidate pairs that are scanned at once
 
 
@@ -57,12 +59,17 @@ def rotation(size: int) -> np.ndarray:
     return turn * np.sign(np.diag(r))
 
 
+def nearest(x: np.ndarray, c: np.ndarray, rows: int = 2048) -> np.ndarray:
+    """The centre with the largest product, for some rows at a time."""
+    return np.concatenate([(x[at : at + rows] @ c.T).argmax(axis=1) for at in range(0, len(x), rows)]) if len(x) else np.zeros(0, np.int64)
+
+
 def centres(x: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means: unit centres."""
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     c = unit[np.random.default_rng(31).choice(len(unit), lists, replace=False)].copy()
     for _ in range(rounds):
-        near = (unit @ c.T).argmax(axis=1)
+        near = nearest(unit, c)
         total = np.zeros_like(c)
         np.add.at(total, near, unit)
         size = np.linalg.norm(total, axis=1, keepdims=True)
@@ -73,20 +80,21 @@ def centres(x: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
 def fit(vectors: DataFrame) -> dict | None:
     """The rotation, the centres and the number of lists to probe."""
     rows = usable(vectors)
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    total = rows.count()
+    lists = int(min(MOST_LISTS, max(1, np.sqrt(total) / 2)))
+    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, SAMPLE_A_LIST * lists)).toArrow()
     if not len(got):
         return None
     sizes, counts = np.unique(got.column("size").to_numpy(), return_counts=True)
     size = int(sizes[counts.argmax()])
     held = got.filter(pc.equal(got.column("size"), size))
     x = held.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, size)
-    total = rows.count()
-    lists = int(min(MOST_LISTS, max(1, np.sqrt(total) / 2), max(1, len(x) // 8)))
+    lists = min(lists, max(1, len(x) // SAMPLE_A_LIST))
     turn = rotation(size)
     x = x @ turn
     c = centres(x, lists)
     trial = x[: min(TRIALS, len(x))]
-    near = (x @ c.T / np.linalg.norm(x, axis=1, keepdims=True)).argmax(axis=1)
+    near = nearest(x, c)
     k = min(K, len(x) - 1)
     # A sample has fewer neighbours as near as the whole table has, so that its need of probes is above the table's.
     rank = np.argsort(np.argsort(-(trial @ c.T), axis=1), axis=1)
@@ -98,8 +106,10 @@ def fit(vectors: DataFrame) -> dict | None:
     return {"size": size, "turn": turn, "centres": c, "probes": min(lists, probes)}
 
 
-def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, query_ids: np.ndarray, q: np.ndarray, q_turned: np.ndarray, floor: np.ndarray, k: int):
-    """Of one piece, the k best for each query, of those that may reach its floor: arrays of query_id, vec_id and score.
+def scan(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, turned: np.ndarray, asking: np.ndarray, q: np.ndarray, q_turned: np.ndarray, floor: np.ndarray, k: int):
+    """Of one piece, the k best for each query, of those that may reach its floor: arrays of asking, vec_id and score.
+
+    rows tells the piece's rows apart, ids has their vec_id, asking is the query's own row, which is no candidate.
 
     While most pairs live a block is one product of matrices; once few do, it is added for those only.
     """
@@ -109,11 +119,11 @@ def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, query_ids: np.ndarr
     out = []
     step = max(1, PAIRS // max(1, n))
     for at in range(0, len(q), step):
-        own, mine = query_ids[at : at + step], q_turned[at : at + step]
+        own, mine = asking[at : at + step], q_turned[at : at + step]
         q_squares = _head_squares(mine)
         slack = ROUNDING * np.sqrt(q_squares[:, -1] * squares[:, -1].max())  # single precision
         least = floor[at : at + step].astype(np.float32) - slack
-        alive = own[:, None] != ids[None]
+        alive = own[:, None] != rows[None]
         part, pairs = np.zeros(alive.shape, np.float32), None
         for a in range(0, size, BLOCK):
             b = min(size, a + BLOCK)
@@ -176,15 +186,16 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, k: int = K, index: dict
         c = shared.value["centres"] @ shared.value["turn"].T
         for batch in batches:
             x = batch.column("embedding").flatten().to_numpy().reshape(-1, size)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array((x @ c.T).argmax(axis=1).astype(np.int32))], ["vec_id", "embedding", "list"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), batch.column("embedding"), pa.array(nearest(x, c).astype(np.int32))], ["row", "vec_id", "embedding", "list"])
 
-    rows = usable(vectors).where(F.col("size") == size).select("vec_id", "embedding")
-    dealt = cut(rows.mapInArrow(assign, "vec_id long, embedding array<double>, list int"), "ann-lists")
+    # row: a number of each row; it is fixed once the table is written.
+    rows = usable(vectors).where(F.col("size") == size).select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding")
+    dealt = cut(rows.mapInArrow(assign, "row long, vec_id long, embedding array<double>, list int"), "ann-lists")
     # One row for each list: at most MOST_LISTS.
     sizes = dealt.groupBy("list").agg(F.ceil(F.count("*") / F.lit(PIECE)).cast("int").alias("pieces"))
     sizes = F.broadcast(cut(sizes, "ann-sizes"))
-    # A hot list is dealt over pieces by a hash of the vector's id.
-    stored = dealt.join(sizes, "list").withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int")).select("list", "piece", "vec_id", "embedding")
+    # A hot list is dealt over pieces by a hash of the row's number.
+    stored = dealt.join(sizes, "list").withColumn("piece", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int")).select("list", "piece", "row", "vec_id", "embedding")
 
     def route(batches, probes):
         c = shared.value["centres"] @ shared.value["turn"].T
@@ -193,7 +204,7 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, k: int = K, index: dict
             q = batch.column("q").flatten().to_numpy().reshape(-1, size)
             best = np.argsort(-(q @ c.T), axis=1, kind="stable")[:, :probes]
             again = pa.array(np.repeat(np.arange(n), probes))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(again) for i in range(3)), pa.array(best.ravel().astype(np.int32))], ["query_id", "q", "floor", "list"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(again) for i in range(3)), pa.array(best.ravel().astype(np.int32))], ["asking", "q", "floor", "list"])
 
     def scanned(left: pa.Table, right: pa.Table):
         if not len(left) or not len(right):
@@ -201,51 +212,64 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, k: int = K, index: dict
         turn = shared.value["turn"]
         x = left.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, size)
         q = right.column("q").combine_chunks().flatten().to_numpy().reshape(-1, size)
-        return scan(left.column("vec_id").to_numpy(), x, x @ turn, right.column("query_id").to_numpy(), q, q @ turn, right.column("floor").to_numpy(), k)
+        return scan(left.column("row").to_numpy(), left.column("vec_id").to_numpy(), x, x @ turn, right.column("asking").to_numpy(), q, q @ turn, right.column("floor").to_numpy(), k)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.table([pa.array(c, t) for c, t in zip(scanned(left, right), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+        return pa.table([pa.array(c, t) for c, t in zip(scanned(left, right), (pa.int64(), pa.int64(), pa.float64()))], names=["asking", "vec_id", "score"])
 
     def floors(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, _, score = scanned(left, right)
         who, at, n = np.unique(ids, return_index=True, return_counts=True)
         full = n >= k  # scores descend within a query
-        return pa.table([pa.array(who[full], pa.int64()), pa.array(np.asarray(score)[at[full] + k - 1], pa.float64())], names=["query_id", "floor"])
+        return pa.table([pa.array(who[full], pa.int64()), pa.array(np.asarray(score)[at[full] + k - 1], pa.float64())], names=["asking", "floor"])
 
     def asked(queries: DataFrame, probes: int) -> DataFrame:
-        rows = queries.mapInArrow(lambda batches: route(batches, probes), "query_id long, q array<double>, floor double, list int")
+        rows = queries.mapInArrow(lambda batches: route(batches, probes), "asking long, q array<double>, floor double, list int")
         return rows.join(sizes, "list")
 
     def met(stored: DataFrame, rows: DataFrame, f, schema: str) -> DataFrame:
         """Queries of one list and piece are dealt over chunks in the same way, so that no group grows with the table."""
         loads = F.broadcast(cut(rows.groupBy("list").agg(F.ceil(F.count("*") / F.lit(ASKED)).cast("int").alias("chunks")), "ann-loads"))  # a row for each list
         kept = stored.join(loads, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-        rows = rows.join(loads, "list").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
+        rows = rows.join(loads, "list").withColumn("chunk", F.pmod(F.xxhash64("asking"), F.col("chunks")).cast("int"))
         keys = ["list", "piece", "chunk"]
         return kept.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(f, schema)
 
-    queries = dealt.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.lit(float("-inf")).alias("floor"))
+    named = dealt.where(F.col("vec_id") % every == 0)
+    queries = named.select(F.col("row").alias("asking"), F.col("embedding").alias("q"), F.lit(float("-inf")).alias("floor"))
     # The k-th best of one piece of a query's best list is a floor that all other pieces are held against.
-    one = asked(queries, 1).withColumn("piece", F.pmod(F.xxhash64("query_id"), F.col("pieces")).cast("int")).drop("pieces")
-    floor = cut(met(stored, one, floors, "query_id long, floor double").groupBy("query_id").agg(F.max("floor").alias("low")), "ann-floors")
-    queries = queries.join(floor, "query_id", "left").select("query_id", "q", F.coalesce("low", "floor").alias("floor"))
-    rows = asked(queries, index["probes"]).select("query_id", "q", "floor", "list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-    found = met(stored, rows, run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def recall(vectors: DataFrame, found: DataFrame, every: int = QUERY_EVERY, k: int = K) -> float:
-    """The share of the true neighbours that were found, by brute force on the driver: for tables of test size."""
-    rows = usable(vectors).toPandas()
-    x, ids = np.stack(rows["embedding"]), rows["vec_id"].to_numpy()
-    got: dict[int, set] = {}
-    for r in found.select("query_id", "vec_id").collect():
-        got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    hit = total = 0
-    for i in np.flatnonzero(ids % every == 0):
-        score = (x * x[i]).sum(axis=1)
-        score[ids == ids[i]] = -np.inf
-        true = ids[np.lexsort((ids, -score))[: min(k, int(np.isfinite(score).sum()))]]
-        hit, total = hit + len(got.get(ids[i], set()) & set(true.tolist())), total + len(true)
-    return hit / max(1, total)
+    one = asked(queries, 1).withColumn("piece", F.pmod(F.xxhash64("asking"), F.col("pieces")).cast("int")).drop("pieces")
+    floor = cut(met(stored, one, floors, "asking long, floor double").groupBy("asking").agg(F.max("floor").alias("low")), "ann-floors")
+    queries = queries.join(floor, "asking", "left").select("asking", "q", F.coalesce("low", "floor").alias("floor"))
+    rows = asked(queries, index["probes"]).select("asking", "q", "floor", "list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    found = met(stored, rows, run, "asking long, vec_id long, score double")
+    order = Window.partitionBy("asking").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.join(named.select(F.col("row").alias("asking"), F.col("vec_id").alias("query_id")), "asking").select("query_id", "rank", "vec_id", "score")
+
+
+def recall(vectors: DataFrame, found: DataFrame, every: int = QUERY_EVERY, k: int = K, trials: int = TRIALS) -> float:
+    """The share of the true neighbours that were found, for `trials` queries at most, each held against all rows.
+
+    A hit is a result that scores no less than the true k-th neighbour, so that ties count alike.
+    """
+    rows = usable(vectors).select("vec_id", "embedding").dropDuplicates(["vec_id"])
+    asked = rows.where(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id")).limit(trials).toPandas()
+    if asked.empty:
+        return 1.0
+    ids, q = asked["vec_id"].to_numpy(), np.stack(asked["embedding"])
+
+    def best(batches):
+        for batch in batches:
+            got = batch.column("vec_id").to_numpy()
+            x = batch.column("embedding").flatten().to_numpy().reshape(-1, q.shape[1])
+            score = np.where(ids[:, None] == got[None], -np.inf, q @ x.T)
+            top = -np.sort(-score, axis=1)[:, :k]
+            who, at = np.nonzero(np.isfinite(top))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(top[who, at])], ["query_id", "score"])
+
+    true = rows.mapInArrow(best, "query_id long, score double")
+    true = true.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("r") <= k)
+    true = true.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    hits = found.dropDuplicates(["query_id", "rank"]).join(F.broadcast(true), "query_id").where(F.col("score") >= F.col("least") - 1e-9)  # at most `trials` rows
+    return hits.count() / max(1, true.agg(F.sum("n")).first()[0] or 0)
