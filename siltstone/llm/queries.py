@@ -52,4 +52,4 @@ def op10_exact_dedup(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_fair_mix, op2_url_graph, op3_token_store, op4_hilbert_shards, op5_toxicity, op6_bpe_automaton, op7_vector_search, op8_near_dedup, op9_quality, op10_exact_dedup)}
 
-ORACLES = {"op1_fair_mix": fair_mix.SQL, "op2_url_graph": url_graph.SQL, "op10_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op1_fair_mix": fair_mix.SQL, "op2_url_graph": url_graph.SQL, "op4_hilbert_shards": hilbert_shards.SQL, "op10_exact_dedup": exact_dedup.SQL}
