@@ -20,12 +20,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
-    """text, label: the training sample, as a table of a few tasks."""
+    """doc_id, text, label: the training sample, as a table of a few tasks.
+
+    Of several labels of one document the largest counts; of several texts of one doc_id, the one
+    whose hash is lowest.  Labels without a document take no part.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label")).join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labels")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most `rows` ids
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `rows` ids
+    found = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "t.text", "label")
     return cut(found.select("doc_id", "text", "label").repartition(TRAIN_TASKS), "sample")
 
 

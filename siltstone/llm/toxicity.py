@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .labelled import held_out, logistic, sample, sigmoid
 
@@ -101,35 +103,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """docs with a last column `_score`."""
-    spark, (weights, bias) = docs.sparkSession, model
-    shared = spark.sparkContext.broadcast(weights)  # 2**BITS numbers
+    """row (a struct of all columns of docs, whatever their names) and score."""
+    weights, bias = model
+    shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS numbers
 
     def run(batches):
         w = shared.value
         on = w != 0
         for batch in batches:
+            row = batch.column("row")
             out = []
-            for text in batch.column("text").to_pylist():
+            for text in pc.struct_field(row, "text").to_pylist():
                 found = grams(text) if text else ()
                 out.append(float(sigmoid(w[np.unique(found[on[found]])].sum(dtype=np.float64) + bias)) if len(found) else float(sigmoid(bias)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([row, pa.array(out, pa.float64())], ["row", "score"])
 
-    return docs.mapInArrow(run, _with_score(docs))
-
-
-def _with_score(docs: DataFrame):
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return StructType([*docs.schema.fields, StructField("_score", DoubleType())])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return packed.mapInArrow(run, StructType([packed.schema["row"], StructField("score", DoubleType())]))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= TOXIC_AT).cast("int").alias("predicted"))
+    scored = score(docs.select("doc_id", "text"), fit(docs, labels)).select("row.doc_id", "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't toxic, with all their columns."""
-    return score(docs, fit(docs, labels)).where(F.col("_score") < TOXIC_AT).drop("_score")
+    return score(docs, fit(docs, labels)).where(F.col("score") < TOXIC_AT).select("row.*")
