@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages, each written as Parquet and reread as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and reread as the next one's documents.
+
+Defined cases, in every stage: a null text counts as empty (it isn't toxic, equals the empty text, has
+no words and thus isn't mixed); a null doc_id or source is a value like any other, except that a
+labelled document needs an id; texts are read whole; rows that repeat a doc_id are documents each, but
+queue as one in the mix; other columns, whatever their names, are carried up to the last stage; an
+empty table, or one without labels, goes through.
+"""
 
 from __future__ import annotations
 
@@ -48,6 +55,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}", docs if i else None)
     return STAGES[-1][1](spark, docs, sf_dir)
