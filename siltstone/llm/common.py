@@ -25,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = getattr(spark.sparkContext, "_siltstone_dir", None)
         if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="siltstone-")
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            found = "file://" + tempfile.mkdtemp(prefix="siltstone-")  # one machine, as in tests
             spark.sparkContext._siltstone_dir = found
     return found.rstrip("/")
 
@@ -48,11 +50,18 @@ def release(spark: SparkSession, path: str) -> None:
         return
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: its lineage ends there, and lost executors cost no recomputation."""
+def cut(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: its lineage ends there, and lost executors cost no recomputation.
+
+    instead_of is an earlier such table that nothing reads from now on; it is deleted.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        release(df.sparkSession, instead_of._siltstone_path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._siltstone_path = path
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
@@ -69,8 +78,3 @@ def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; null counts as empty.  ASCII texts take the faster built-in."""
     text = F.coalesce(text, F.lit(""))
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
-
-
-def fold(value: int) -> int:
-    """An unsigned 64-bit value as Spark's signed long."""
-    return value - (1 << 64) if value >= 1 << 63 else value

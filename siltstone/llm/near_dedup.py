@@ -3,13 +3,16 @@
 Texts are compared as weighted sets of five-word shingles.  A shingle weighs (1 + ln tf) * idf, with
 idf = 1 + min(1, ln(N/df) / ln(RARE)): 2 for whatever less than one document in RARE holds, falling to
 1 for what all hold.  df is counted over all documents into CELLS hashed cells; a cell's noise is
-some hundredths of what idf takes note of, at any size of the corpus.
+some hundredths of what idf takes note of, at any size of the corpus.  idf has a ceiling on purpose: a
+group of near copies that holds a third of all rows makes its own shingles common, and with ln(N/df)
+alone they would weigh a tenth of a copy's few own shingles, so that true copies fell below AT_LEAST.
 
 1. One pass counts df and gives texts with equal words one key (md5 of the words): a node.
 2. Each node gets BANDS x ROWS samples (Ioffe's scheme: equal samples have the weighted Jaccard
    similarity as their probability); the samples of a band make its bucket.
-3. Each bucket's nodes are paired with its first node, never with each other; the weighted
-   Jaccard similarity of each pair is computed from the texts, and pairs of AT_LEAST are links.
+3. Each bucket's nodes are paired with its first node, never with each other.  A pair's similarity is
+   bounded from above by the nodes' weights in BINS parts of the hash space; what the bound doesn't exclude is
+   computed from the nodes' stored shingles, and pairs of AT_LEAST are links.  No pair is compared twice.
 4. Connected components of links are classes.  The nodes of buckets that hold several components
    are open.  They are joined on prefixes, in an order of all shingles that has those rare among open
    nodes first: a pair of AT_LEAST has a shingle that is in the part of each text that begins its
@@ -17,13 +20,15 @@ some hundredths of what idf takes note of, at any size of the corpus.
    other at a shingle merge components first; then every pair of open nodes that are still in two
    components is compared, unless the weights that follow the shared shingle prove it below AT_LEAST.
 
-Large buckets meet only aggregates and shuffle joins, whose hot keys AQE splits.  Texts are shuffled
-only for candidates.  Intermediate tables are written to the shared folder.
+Large buckets meet only aggregates and shuffle joins, whose hot keys AQE splits.  Texts are read twice
+and never shuffled; of candidates the shingles are, once for each pair that the bound leaves open.
+Intermediate tables are written to the shared folder.
 
 Defined cases: null texts and texts without words are one class; texts of fewer than five words have one
 shingle, all their words; rows that share a doc_id may be in different classes; of a class the row
-with the smallest doc_id stays (null last), and of repeats of that row, one; other columns are
-ignored by `classes` and carried along by `keep_one`; every text is read whole, in blocks.
+with the smallest doc_id stays (null last), and of repeats of that row, one; an empty table gives no
+rows; other columns, whatever their names, are ignored by `classes` and carried along by `keep_one`;
+every text is read whole, in blocks.
 """
 
 from __future__ import annotations
@@ -46,6 +51,8 @@ OLDEST = 6  #: bands whose buckets have the smallest doc_id as their first node
 TURNS = 2  #: merging rounds, each on its part of the shingles; whatever they find, all remaining pairs are compared after them
 RANKS = 1 << 20  #: hashed cells in which shingles of open nodes are counted, for their order
 SLACK = 1e-6  #: of the weights, for rounding
+BINS = 64  #: parts of the hash space whose weights bound a pair's similarity
+MEMO_WORDS = 50_000  #: words whose hashes a worker keeps
 CELLS = 1 << 16
 RARE = 20
 BLOCK = 1024  #: shingles that are sampled at once
@@ -66,12 +73,14 @@ def _spread(x: np.ndarray) -> np.ndarray:
 
 
 class _Memo(dict):
-    """word -> 64-bit hash, emptied when it has grown large."""
+    """word -> 64-bit hash, emptied when it has grown large; some 10 MB."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= 32:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -216,43 +225,68 @@ def _signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return cut(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets")), "near-signed")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """key, words of the nodes (key, rep): of each the text of its first row."""
+def _bin(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+
+
+def _lists(columns: list[np.ndarray], kind) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, columns)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(columns) if columns else np.zeros(0), kind))
+
+
+def _slices(column: pa.ListArray) -> list[np.ndarray]:
+    """The numbers of each list."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+def _features(docs: DataFrame, nodes: DataFrame, idf: np.ndarray) -> DataFrame:
+    """key, hashes, counts, weight, bins (weight by part of the hash space) of the nodes (key, rep): of each those of its first row."""
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
         for batch in batches:
-            split = [words(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(map(_digest, split), pa.binary()), pa.array([" ".join(x) for x in split], pa.string())], ["key", "words"])
+            keys, hashes, counts, weight, bins = [], [], [], [], []
+            for text in batch.column("text").to_pylist():
+                split = words(text)
+                h, n = shingles(split)
+                w = weigh(h, n, shared.value)
+                keys.append(_digest(split))
+                hashes.append(h.view(np.int64))
+                counts.append(n.astype(np.int32))
+                weight.append(float(w.sum()))
+                bins.append(np.bincount(_bin(h), w, BINS))
+            columns = [pa.array(keys, pa.binary()), _lists(hashes, pa.int64()), _lists(counts, pa.int32()), pa.array(weight, pa.float64()), _lists(bins, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "hashes", "counts", "weight", "bins"])
 
     wanted = small(cut(nodes.select("rep").distinct(), "near-reps"))
     rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    rows = rows.mapInArrow(run, "key binary, words string").dropDuplicates(["key"])
-    return cut(rows.join(nodes.select("key"), "key", "left_semi"), "near-texts")
+    rows = rows.mapInArrow(run, "key binary, hashes array<long>, counts array<int>, weight double, bins array<double>")
+    return cut(rows.join(nodes.select("key"), "key", "left_semi").dropDuplicates(["key"]), "near-features")
 
 
-def _links(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """The pairs (a, b) of keys whose texts are similar."""
+def _links(pairs: DataFrame, features: DataFrame, idf: np.ndarray) -> DataFrame:
+    """The pairs (a, b) of keys that are similar."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
-    both = pairs.join(texts.withColumnRenamed("key", "b").withColumnRenamed("words", "words_b"), "b")
-    both = both.join(texts.withColumnRenamed("key", "a").withColumnRenamed("words", "words_a"), "a").select("a", "b", "words_a", "words_b")
 
-    def weighed(text: str):
-        h, n = shingles(text.split(" "))
-        return h, weigh(h, n, shared.value)
+    def with_both(pairs: DataFrame, *columns: str) -> DataFrame:
+        for side in ("b", "a"):
+            pairs = pairs.join(features.select(F.col("key").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+        return pairs
+
+    most = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0.0), lambda sum_, x: sum_ + x)
+    least = F.lit(AT_LEAST / (1 + AT_LEAST) - SLACK) * (F.col("weight_a") + F.col("weight_b"))
+    open_ = cut(with_both(pairs, "weight", "bins").where(most >= least).select("a", "b"), "near-unsettled")
 
     def run(batches):
-        last, mine = None, None
         for batch in batches:
-            a, b, first, second = (batch.column(c).to_pylist() for c in ("a", "b", "words_a", "words_b"))
-            good = []
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, mine = a[i], weighed(first[i])
-                if similarity(mine, weighed(second[i])) >= AT_LEAST:
-                    good.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.binary()), pa.array([b[i] for i in good], pa.binary())], ["a", "b"])
+            h = {x: _slices(batch.column(f"hashes_{x}")) for x in "ab"}
+            n = {x: _slices(batch.column(f"counts_{x}")) for x in "ab"}
+            sides = [[(y.view(np.uint64), weigh(y.view(np.uint64), z, shared.value)) for y, z in zip(h[x], n[x])] for x in "ab"]
+            good = pa.array([similarity(x, y) >= AT_LEAST for x, y in zip(*sides)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(good)
 
-    return cut(both.mapInArrow(run, "a binary, b binary"), "near-links")
+    return cut(with_both(open_, "hashes", "counts").mapInArrow(run, "a binary, b binary"), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -262,10 +296,9 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         sent = sides.join(labels, "key").select(F.col("to").alias("key"), "label")
-        labels = labels.union(sent).groupBy("key").agg(F.min("label").alias("label"))
-        labels = cut(labels, "near-labels")
+        labels = cut(labels.union(sent).groupBy("key").agg(F.min("label").alias("label")), "near-labels", labels)
         jump = labels.select(F.col("key").alias("label"), F.col("label").alias("far"))
-        labels = cut(labels.join(jump, "label").select("key", F.col("far").alias("label")), "near-labels")
+        labels = cut(labels.join(jump, "label").select("key", F.col("far").alias("label")), "near-labels", labels)
         now = labels.agg(F.bit_xor(F.xxhash64("key", "label"))).first()[0]
         if now == before:
             return labels
@@ -280,7 +313,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     found = components(cut(ends.distinct(), "near-ends")).toDF("l", "new")
     old = labels.join(found, F.col("label") == F.col("l"), "left").select("key", F.coalesce("new", "label").alias("label"))
     fresh = found.select(F.col("l").alias("key"), F.col("new").alias("label")).join(labels.select("key"), "key", "left_anti")
-    return cut(old.union(fresh), "near-labels")
+    return cut(old.union(fresh), "near-labels", labels)
 
 
 def prefix(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,15 +335,17 @@ def _may_link(x: str, y: str) -> Column:
     return F.least(f"{x}.rest", f"{y}.rest") >= least * (F.col(f"{x}.weight") + F.col(f"{y}.weight"))
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    return cut(met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "near-pairs")
+def _pairs(met: DataFrame, compared: DataFrame | None = None) -> DataFrame:
+    """The distinct pairs (a, b) of met (key, other), without those compared before."""
+    pairs = met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+    return cut(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "near-pairs")
 
 
 def _rank_cell(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - RANKS.bit_length() + 1)).astype(np.int64)
 
 
-def _postings(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+def _postings(features: DataFrame, idf: np.ndarray) -> DataFrame:
     """shingle, key, weight (of the whole text), rest (from this shingle on), inner: prefixes of the texts.
 
     inner: whether a text that is not heavier than its partner can have it as the first in common.
@@ -320,23 +355,23 @@ def _postings(texts: DataFrame, idf: np.ndarray) -> DataFrame:
     def count(batches):
         n = np.zeros(RANKS, np.int64)
         for batch in batches:
-            for text in batch.column("words").to_pylist():
-                n[np.unique(_rank_cell(shingles(text.split(" "))[0]))] += 1
+            for h in _slices(batch.column("hashes")):
+                n[np.unique(_rank_cell(h.view(np.uint64)))] += 1
         seen = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[seen], pa.int64())], ["cell", "n"])
 
-    found = texts.select("words").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # RANKS rows at most
+    found = features.select("hashes").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # RANKS rows at most
     counts = np.zeros(RANKS, np.int64)
     counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    shared = texts.sparkSession.sparkContext.broadcast((counts, idf))
+    shared = features.sparkSession.sparkContext.broadcast((counts, idf))
     least = 2 * AT_LEAST / (1 + AT_LEAST) - SLACK
 
     def run(batches):
         counts, idf = shared.value
         for batch in batches:
             found = []
-            for text in batch.column("words").to_pylist():
-                h, n = shingles(text.split(" "))
+            for h, n in zip(_slices(batch.column("hashes")), _slices(batch.column("counts"))):
+                h = h.view(np.uint64)
                 seen = counts[_rank_cell(h)]
                 at, rest = prefix(h, weigh(h, n, idf), seen)
                 known = seen[at] > 1
@@ -347,7 +382,7 @@ def _postings(texts: DataFrame, idf: np.ndarray) -> DataFrame:
             h, rest = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, kind) for i, kind in ((0, np.int64), (1, float)))
             yield pa.RecordBatch.from_arrays([pa.array(h), keys, pa.array(whole), pa.array(rest), pa.array(rest >= least * whole)], ["shingle", "key", "weight", "rest", "inner"])
 
-    return cut(texts.select("key", "words").mapInArrow(run, "shingle long, key binary, weight double, rest double, inner boolean"), "near-postings")
+    return cut(features.select("key", "hashes", "counts").mapInArrow(run, "shingle long, key binary, weight double, rest double, inner boolean"), "near-postings")
 
 
 def _of_several(posted: DataFrame, labels: DataFrame) -> DataFrame:
@@ -357,8 +392,8 @@ def _of_several(posted: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(several, "shingle", "left_semi")
 
 
-def classes_by_key(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """key, label: nodes that are linked to others."""
+def classes_by_key(docs: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Of the nodes that are linked to others: key, label; and key, links (with how many nodes each was found to be similar)."""
     signed = _signatures(docs, idf)
     rows = signed.select("key", "rep", F.posexplode("buckets").alias("band", "bucket"))
     # First nodes: mostly the oldest text, of which others are copies; in some bands any, for chains of copies.
@@ -366,14 +401,15 @@ def classes_by_key(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     rows = rows.select("key", "rep", "bucket", F.struct(place.alias("o"), "key").alias("place"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
     shared = cut(shared.select("bucket", F.col("first.key").alias("first")), "near-buckets")
-    members = cut(rows.drop("place").join(shared, "bucket"), "near-members")
-    texts = _texts(docs, cut(members.select("key", "rep").distinct(), "near-nodes"))
-    pairs = members.where("key <> first").select(F.least("key", "first").alias("a"), F.greatest("key", "first").alias("b")).distinct()
-    labels = components(_links(pairs, texts, idf))
+    members = cut(rows.drop("place").join(shared, "bucket"), "near-members", signed)
+    features = _features(docs, cut(members.select("key", "rep").distinct(), "near-nodes"), idf)
+    compared = _pairs(members.where("key <> first").select("key", F.col("first").alias("other")))
+    links = _links(compared, features, idf)
+    labels = components(links)
     named = members.join(small(labels), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
     several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     open_ = cut(members.join(several, "bucket", "left_semi").select("key").distinct(), "near-open")
-    posted = _postings(cut(texts.join(open_, "key", "left_semi"), "near-open-texts"), idf)
+    posted = _postings(features.join(open_, "key", "left_semi"), idf)
     for turn in range(TURNS):
         # One node of each component meets one other at each shingle of this round's part.
         mine = _of_several(posted.where(F.pmod(F.xxhash64("shingle"), F.lit(TURNS)) == turn), labels)
@@ -381,7 +417,9 @@ def classes_by_key(docs: DataFrame, idf: np.ndarray) -> DataFrame:
         one = mine.groupBy("shingle", "label").agg(F.min(node).alias("it"))
         centre = one.groupBy("shingle").agg(F.min("it").alias("other"))
         met = one.join(centre, "shingle").where((F.col("it.key") != F.col("other.key")) & _may_link("it", "other"))
-        found = _links(_pairs(met.select(F.col("it.key").alias("key"), F.col("other.key").alias("other"))), texts, idf)
+        pairs = _pairs(met.select(F.col("it.key").alias("key"), F.col("other.key").alias("other")), compared)
+        compared, found = compared.union(pairs), _links(pairs, features, idf)
+        links = links.union(found)
         if not found.isEmpty():
             labels = merged(labels, found)
     # All pairs of nodes that are still in two components.
@@ -390,22 +428,24 @@ def classes_by_key(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     light = mine.where("inner").select("shingle", node.alias("x"))
     heavy = mine.select("shingle", node.alias("y"))
     both = light.join(heavy, (light["shingle"] == heavy["shingle"]) & (F.col("x.label") != F.col("y.label")) & (F.struct("x.weight", "x.key") < F.struct("y.weight", "y.key")) & _may_link("x", "y"))
-    found = _links(_pairs(both.select(F.col("x.key").alias("key"), F.col("y.key").alias("other"))), texts, idf)
-    return labels if found.isEmpty() else merged(labels, found)
+    found = _links(_pairs(both.select(F.col("x.key").alias("key"), F.col("y.key").alias("other")), compared), features, idf)
+    degrees = cut(links.union(found).select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links")), "near-degrees")
+    return labels if found.isEmpty() else merged(labels, found), degrees
 
 
 def _decided(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, rows, class_id, class_size, own, repeats: what shares a class with other rows."""
+    """_id, _hash, class_id, class_size, links, own, repeats: what shares a class with other rows."""
     thin, idf = read(docs)
-    labels = classes_by_key(docs, idf)
+    labels, degrees = classes_by_key(docs, idf)
     rows = thin.groupBy("doc_id", "text_hash", "key").agg(F.count("*").alias("rows"))
-    rows = cut(rows.join(small(labels), "key", "left").withColumn("label", F.coalesce("label", "key")).drop("key"), "near-rows")
+    rows = rows.join(small(labels.join(degrees, "key")), "key", "left").withColumn("label", F.coalesce("label", "key")).drop("key")
+    rows = cut(rows.withColumn("links", F.coalesce("links", F.lit(0).cast("long"))), "near-rows")
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash", "rows")
     table = rows.groupBy("label").agg(F.min(order).alias("first"), F.sum("rows").alias("class_size")).where("class_size > 1")
     table = cut(table, "near-classes")
     found = rows.join(small(table), "label")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    return cut(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("first.doc_id").alias("class_id"), "class_size", own.alias("own"), F.col("first.rows").alias("repeats")), "near-decided")
+    return cut(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("first.doc_id").alias("class_id"), "class_size", "links", own.alias("own"), F.col("first.rows").alias("repeats")), "near-decided", rows)
 
 
 def _with_class(rows: DataFrame, decided: DataFrame) -> DataFrame:
@@ -414,17 +454,20 @@ def _with_class(rows: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (the class's smallest doc_id), class_size, kept.
+    """One row per document: doc_id, class_id (the class's smallest doc_id), class_size, links, kept.
 
+    links: with how many other texts its text was compared and found similar; what a class holds
+    already needs no further comparison, so that it is not the number of all similar texts.
     Repeats of the row that stays count as kept only once.
     """
     decided = _decided(docs)
     rows = _with_class(docs.select("doc_id", text_hash()), decided)
     alone = F.col("class_size").isNull()
     tied = F.coalesce(F.col("own") & (F.col("repeats") > 1), F.lit(False))
-    plain = rows.where(~tied).select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), (alone | F.col("own")).alias("kept"))
-    again = decided.where("own and repeats > 1").select("class_id", "class_size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))).alias("i"))
-    again = again.select(F.col("class_id").alias("doc_id"), "class_id", "class_size", (F.col("i") == 1).alias("kept"))
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    plain = rows.where(~tied).select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", one).alias("class_size"), F.coalesce("links", none).alias("links"), (alone | F.col("own")).alias("kept"))
+    again = decided.where("own and repeats > 1").select("class_id", "class_size", "links", F.explode(F.sequence(one, F.col("repeats"))).alias("i"))
+    again = again.select(F.col("class_id").alias("doc_id"), "class_id", "class_size", "links", (F.col("i") == 1).alias("kept"))
     return plain.unionByName(again)
 
 
