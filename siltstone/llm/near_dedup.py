@@ -7,7 +7,7 @@ some hundredths of what idf takes note of, at any size of the corpus.  idf has a
 group of near copies that holds a third of all rows makes its own shingles common, and with ln(N/df)
 alone they would weigh a tenth of a copy's few own shingles, so that true copies fell below AT_LEAST.
 
-1. One pass counts df and gives texts with equal words one key (md5 of the words): a node.
+1. One pass counts df and gives texts with equal words one key (a 128-bit hash of the words' 64-bit hashes): a node.
 2. Each node gets BANDS x ROWS samples (Ioffe's scheme: equal samples have the weighted Jaccard
    similarity as their probability); the samples of a band make its bucket.
 3. Each bucket's nodes are paired with its first node, never with each other.  A pair's similarity is
@@ -16,9 +16,9 @@ alone they would weigh a tenth of a copy's few own shingles, so that true copies
 4. Connected components of links are classes.  The nodes of buckets that hold several components
    are open.  They are joined on prefixes, in an order of all shingles that has those rare among open
    nodes first: a pair of AT_LEAST has a shingle that is in the part of each text that begins its
-   order and outweighs what the pair may lack.  Rounds in which one node of each component meets one
-   other at a shingle merge components first; then every pair of open nodes that are still in two
-   components is compared, unless the weights that follow the shared shingle prove it below AT_LEAST.
+   order and outweighs what the pair may lack.  Rounds in which one node of each component meets some
+   of the largest at each shingle merge components first; then every pair of open nodes that are still in
+   two components is compared, unless the weights that follow the shared shingle prove it below AT_LEAST.
 
 Large buckets meet only aggregates and shuffle joins, whose hot keys AQE splits.  Texts are read twice
 and never shuffled; of candidates the shingles are, once for each pair that the bound leaves open.
@@ -33,8 +33,9 @@ every text is read whole, in blocks.
 
 from __future__ import annotations
 
-import hashlib
 import re
+import sys
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,21 +43,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, pieces, small
 
 WORDS = 5
 AT_LEAST = 0.8
 BANDS, ROWS = 9, 3
+BASE = 0x5851F42D4C957F2D
 OLDEST = 6  #: bands whose buckets have the smallest doc_id as their first node
-TURNS = 2  #: merging rounds, each on its part of the shingles; whatever they find, all remaining pairs are compared after them
+MET = 16  #: nodes of the largest component that a node of another one meets at a shingle of a merging round
+TURNS = 2  #: merging rounds; whatever they find, all remaining pairs are compared after them
 RANKS = 1 << 20  #: hashed cells in which shingles of open nodes are counted, for their order
 SLACK = 1e-6  #: of the weights, for rounding
 BINS = 64  #: parts of the hash space whose weights bound a pair's similarity
-MEMO_WORDS = 50_000  #: words whose hashes a worker keeps
+PIECE = 1 << 16  #: characters that are hashed at once, but for longer words
 CELLS = 1 << 16
 RARE = 20
 BLOCK = 1024  #: shingles that are sampled at once
-_MASK = (1 << 64) - 1
 _WORD = re.compile(r"\w+")
 
 
@@ -72,26 +74,53 @@ def _spread(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-class _Memo(dict):
-    """word -> 64-bit hash, emptied when it has grown large; some 10 MB."""
+@lru_cache(maxsize=1)
+def _is_word() -> np.ndarray:
+    """Of each code point, whether it belongs to a word."""
+    return np.fromiter((chr(i).isalnum() or i == ord("_") for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
-    def __missing__(self, word: str) -> int:
-        found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(word) <= 32:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = found
-        return found
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**0 to BASE**n modulo 2**64, and their inverses."""
+    steps = [np.full(n + 1, x, np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64))]
+    for x in steps:
+        x[0] = 1
+        np.cumprod(x, out=x)
+    return steps[0], steps[1]
 
-_memo = _Memo()
 
+_piece_powers = lru_cache(maxsize=1)(lambda: _powers(PIECE))
 
-def shingles(split: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of a list of words, in ascending order, and their counts."""
-    if not split:
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order: of each the polynomial in BASE of its characters.
+
+    Sums of all characters' terms up to each place give each word's polynomial as a difference.
+    """
+    chars = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4") if text else np.zeros(0, np.uint32)
+    inside = _is_word()[chars]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, end = edges[::2], edges[1::2]
+    out, first = [], 0
+    while first < len(start):
+        at = start[first]
+        last = max(first + 1, int(np.searchsorted(end, at + PIECE, side="right")))
+        n = end[last - 1] - at
+        up, down = _piece_powers() if n <= PIECE else _powers(int(n))
+        with np.errstate(over="ignore"):
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum((chars[at : at + n] + np.uint32(1)) * up[:n], out=sums[1:])
+            a, b = start[first:last] - at, end[first:last] - at
+            out.append(_spread((sums[b] - sums[a]) * down[a]))
+        first = last
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingles(split: list[str] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of a list of words, or of their hashes, in ascending order, and their counts."""
+    h = split if isinstance(split, np.ndarray) else word_hashes(" ".join(split))
+    if not len(h):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter(map(_memo.__getitem__, split), np.uint64, len(split))
     n = min(WORDS, len(h))
     out = np.zeros(len(h) - n + 1, np.uint64)
     with np.errstate(over="ignore"):
@@ -131,12 +160,11 @@ def samples(hashes: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
             log_w = np.log(weights[at : at + BLOCK, None]).astype(np.float32)
             x = _spread32(low ^ seeds)
             y = _spread32(high + x)
-            z = _spread32(low + y)
-            u = _spread32(high ^ z)
-            # r and c are Gamma(2, 1), beta is uniform; of r 16 bits a factor are enough.
+            z = x * np.uint32(0x9E3779B1) ^ y * np.uint32(0x85EBCA6B)
+            # r and c are Gamma(2, 1), of two factors of 16 bits each; beta is uniform.
             r = -np.log(_uniform(x & np.uint32(0xFFFF0000)) * _uniform(x << np.uint32(16)))
-            beta = _uniform(y)
-            c = -np.log(_uniform(z)) - np.log(_uniform(u))
+            c = -np.log(_uniform(y & np.uint32(0xFFFF0000)) * _uniform(y << np.uint32(16)))
+            beta = _uniform(z)
             t = np.floor(log_w / r + beta)
             a = np.log(c) - r * (t - beta + 1)
             first = a.argmin(axis=0)
@@ -156,8 +184,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(shared / max(a[1].sum() + b[1].sum() - shared, 1e-300))
 
 
-def _digest(split: list[str]) -> bytes:
-    return hashlib.md5(" ".join(split).encode("utf-8", "surrogatepass")).digest()
+def _digest(split: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(split.tobytes())
 
 
 def _read(batches):
@@ -165,10 +193,10 @@ def _read(batches):
     counts, rows = np.zeros(CELLS, np.int64), 0
     names = ["doc_id", "text_hash", "key", "cell", "n"]
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
-    for batch in batches:
+    for batch in pieces(batches):
         keys = []
         for text in batch.column("text").to_pylist():
-            split = words(text)
+            split = word_hashes(text)
             keys.append(_digest(split))
             cells = _cell(shingles(split)[0])  # ascending, as the hashes are
             counts[cells[np.flatnonzero(np.diff(cells, prepend=-1))]] += 1
@@ -202,11 +230,11 @@ def _signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     bands = np.arange(BANDS, dtype=np.uint64)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             keys, ids, out = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                split = words(text)
-                if not split:
+                split = word_hashes(text)
+                if not len(split):
                     continue
                 h, n = shingles(split)
                 s = samples(h, weigh(h, n, shared.value), BANDS * ROWS).reshape(BANDS, ROWS)
@@ -245,10 +273,10 @@ def _features(docs: DataFrame, nodes: DataFrame, idf: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             keys, hashes, counts, weight, bins = [], [], [], [], []
             for text in batch.column("text").to_pylist():
-                split = words(text)
+                split = word_hashes(text)
                 h, n = shingles(split)
                 w = weigh(h, n, shared.value)
                 keys.append(_digest(split))
@@ -279,7 +307,7 @@ def _links(pairs: DataFrame, features: DataFrame, idf: np.ndarray) -> DataFrame:
     open_ = cut(with_both(pairs, "weight", "bins").where(most >= least).select("a", "b"), "near-unsettled")
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             h = {x: _slices(batch.column(f"hashes_{x}")) for x in "ab"}
             n = {x: _slices(batch.column(f"counts_{x}")) for x in "ab"}
             sides = [[(y.view(np.uint64), weigh(y.view(np.uint64), z, shared.value)) for y, z in zip(h[x], n[x])] for x in "ab"]
@@ -354,7 +382,7 @@ def _postings(features: DataFrame, idf: np.ndarray) -> DataFrame:
 
     def count(batches):
         n = np.zeros(RANKS, np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             for h in _slices(batch.column("hashes")):
                 n[np.unique(_rank_cell(h.view(np.uint64)))] += 1
         seen = np.flatnonzero(n)
@@ -368,7 +396,7 @@ def _postings(features: DataFrame, idf: np.ndarray) -> DataFrame:
 
     def run(batches):
         counts, idf = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             found = []
             for h, n in zip(_slices(batch.column("hashes")), _slices(batch.column("counts"))):
                 h = h.view(np.uint64)
@@ -386,8 +414,10 @@ def _postings(features: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def _of_several(posted: DataFrame, labels: DataFrame) -> DataFrame:
-    """posted with label, of the shingles that nodes of several components have."""
-    named = posted.join(small(labels.withColumnRenamed("key", "k")), F.col("key") == F.col("k"), "left").withColumn("label", F.coalesce("label", "key")).drop("k")
+    """posted with label and size of its component, of the shingles that nodes of several components have."""
+    sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label").withColumnRenamed("key", "k")
+    named = posted.join(small(sized), F.col("key") == F.col("k"), "left").drop("k")
+    named = named.withColumn("label", F.coalesce("label", "key")).withColumn("size", F.coalesce("size", F.lit(1)))
     several = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
     return named.join(several, "shingle", "left_semi")
 
@@ -411,12 +441,14 @@ def classes_by_key(docs: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFra
     open_ = cut(members.join(several, "bucket", "left_semi").select("key").distinct(), "near-open")
     posted = _postings(features.join(open_, "key", "left_semi"), idf)
     for turn in range(TURNS):
-        # One node of each component meets one other at each shingle of this round's part.
-        mine = _of_several(posted.where(F.pmod(F.xxhash64("shingle"), F.lit(TURNS)) == turn), labels)
-        node = F.struct(F.xxhash64("key", "shingle", F.lit(turn)).alias("o"), "key", "weight", "rest")
-        one = mine.groupBy("shingle", "label").agg(F.min(node).alias("it"))
-        centre = one.groupBy("shingle").agg(F.min("it").alias("other"))
-        met = one.join(centre, "shingle").where((F.col("it.key") != F.col("other.key")) & _may_link("it", "other"))
+        # At each shingle one node of each component meets up to MET nodes of the largest one there.
+        mine = cut(_of_several(posted, labels).withColumn("o", F.xxhash64("key", "shingle", F.lit(turn))), "near-mine")
+        node = F.struct("o", "key", "weight", "rest")
+        one = mine.groupBy("shingle", "label").agg(F.min(node).alias("it"), F.max("size").alias("size"))
+        largest = cut(one.groupBy("shingle").agg(F.max_by("label", F.struct("size", "label")).alias("label")), "near-largest")
+        centres = mine.join(largest, ["shingle", "label"]).groupBy("shingle", "label", F.pmod("o", F.lit(MET)).alias("slot")).agg(F.min(node).alias("other"))
+        centres = centres.select("shingle", F.col("label").alias("of"), "other")
+        met = one.join(centres, "shingle").where((F.col("label") != F.col("of")) & _may_link("it", "other"))
         pairs = _pairs(met.select(F.col("it.key").alias("key"), F.col("other.key").alias("other")), compared)
         compared, found = compared.union(pairs), _links(pairs, features, idf)
         links = links.union(found)
