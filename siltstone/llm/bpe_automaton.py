@@ -34,11 +34,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import pieces
 from .word_cache import WordCache
 
 PLAIN = re.compile(r"([a-z]+)([.,;:!?]*)")
 END = "\ue000"  #: stands for the end of a word; byte-level symbols never hold it
-TABLE_CELLS = 1_000_000  #: memo of the transition table
+TABLE_CELLS = 400_000  #: memo of the transition table
 
 
 class Automaton:
@@ -141,8 +142,8 @@ class Codec:
         # Where the file treats plain ASCII words as this pattern does, they needn't go through the library.
         probes = ["abc", "AbC", "zz.", "Q,,", "it;:", "don'", "x-y", "a1", "Ab!?"]
         self.plain = PLAIN if all([w for w, _ in self.split(self.normalise(p))] == [g for g in m.groups() if g] for p in probes if (m := PLAIN.fullmatch(p.lower()))) else None
-        self.words = WordCache(lambda w: array("I", self.automaton.encode(w)).tobytes(), 150_000)
-        self.units = WordCache(self._unit)
+        self.words = WordCache(lambda w: array("I", self.automaton.encode(w)).tobytes(), 100_000)
+        self.units = WordCache(self._unit, 60_000)
         self.units[""] = b""
         size = max([len(labels), *(i + 1 for i in self.special.values())])
         names = labels + [""] * (size - len(labels))
@@ -180,7 +181,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         own = codec(path)
-        for batch in batches:
+        for batch in pieces(batches):
             coded = [np.frombuffer(own.encode(t), "<u4") for t in batch.column("text").to_pylist()]
             offsets = np.cumsum([0, *map(len, coded)], dtype=np.int32)
             flat = np.concatenate(coded).astype(np.int32) if coded else np.zeros(0, np.int32)
@@ -194,7 +195,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         own = codec(path)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [own.decode(x or []).decode() for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -206,7 +207,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         own = codec(path)
-        for batch in batches:
+        for batch in pieces(batches):
             count, first, second = [], [], []
             for text in batch.column("text").to_pylist():
                 ids = np.frombuffer(own.encode(text), "<u4").tolist()

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +68,24 @@ def cut(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFr
     return out
 
 
+def pieces(batches, rows: int = 256):
+    """Arrow batches in pieces of some rows, so that no more texts than these are Python strings at once.
+
+    At a task's end memory that the worker no longer needs goes back to the system: the worker lives on.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
+@lru_cache(maxsize=1)
+def _libc() -> ctypes.CDLL:
+    return ctypes.CDLL(None)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import pieces
 from .labelled import held_out, logistic, sample, sigmoid
 
 SIZES = (3, 4, 5, 6)
@@ -45,7 +46,7 @@ def grams(text: str) -> np.ndarray:
 
 def _counts(batches):
     toxic, clean = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
-    for batch in batches:
+    for batch in pieces(batches):
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
             (toxic if label else clean)[np.unique(grams(text))] += 1
     seen = np.flatnonzero(toxic + clean)
@@ -78,7 +79,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     place[kept] = np.arange(len(kept))
 
     def features(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found = [np.unique(x[x >= 0]) for x in (place[grams(t)] for t in batch.column("text").to_pylist())]
             offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
             flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
@@ -110,7 +111,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     def run(batches):
         w = shared.value
         on = w != 0
-        for batch in batches:
+        for batch in pieces(batches):
             row = batch.column("row")
             out = []
             for text in pc.struct_field(row, "text").to_pylist():
