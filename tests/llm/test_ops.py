@@ -247,6 +247,14 @@ def test_vector_search_odd_rows(spark):
     assert vector_search.search(vectors.limit(0)).count() == 0
 
 
+def test_vector_search_repeated_ids_and_other_columns(spark):
+    rows = [(0, [1.0, 0.0], 1, 2), (0, [1.0, 0.0], 1, 2), (1, [0.5, 0.1], 1, 2), (2, [0.2, 0.0], 1, 2)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, row int, list int")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in vector_search.search(vectors).collect())
+    one = [(0, 1, 0, 1.0), (0, 2, 1, 0.5), (0, 3, 2, 0.2)]
+    assert got == sorted(one * 2)
+
+
 def classes_by_force(table) -> dict:
     idf = near_dedup.read(table)[1]
     rows = [{"doc_id": r["doc_id"], "w": near_dedup.words(r["text"])} for r in table.collect()]
@@ -284,8 +292,16 @@ def test_near(spark, docs, none):
     assert near_dedup.classes(none).count() == 0
 
 
-def test_near_by_force(spark):
-    table = spark.read.parquet(f"{DIR}/documents.parquet")
+def test_word_hashes():
+    for text in ("", "a", "Naïve café_1 İstanbul, ΣΑΣ\n日本 x-y", "x" * 200_000 + " " + " ".join(f"w{i % 997}é" for i in range(50_000)), LONG):
+        found = near_dedup.words(text)
+        assert near_dedup.word_hashes(text).tolist() == [int(near_dedup.word_hashes(w)[0]) for w in found]
+        assert len({int(near_dedup.word_hashes(w)[0]) for w in set(found)}) == len(set(found))
+
+
+@pytest.mark.parametrize("sf_dir", (DIR, "/root/testdata/sf0.01"))
+def test_near_by_force(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = near_dedup.classes(table).collect()
     assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == classes_by_force(table)
 
@@ -353,7 +369,7 @@ def test_propagation_by_force(spark):
     edges = {k: n for k, n in edges.items() if k[0] != k[1]}
     seeds = [("h0", 1.0, 0.0), ("h1", 0.5, 0.5), ("h2", 0.0, 1.0)]
     found = url_graph.propagate(spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n int"), spark.createDataFrame(seeds, "host string, trust double, distrust double"))
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in found.collect()}
+    got = {r["host"]: tuple(r)[1:] for r in found.collect()}
     for kind in (0, 1):
         arcs = {(b, a) if kind else (a, b): n for (a, b), n in edges.items()}
         out = Counter()
@@ -362,9 +378,21 @@ def test_propagation_by_force(spark):
         total = sum(s[1 + kind] for s in seeds)
         start = {s[0]: s[1 + kind] / total for s in seeds}
         now = dict(start)
-        for _ in range(url_graph.ROUNDS):
-            new = Counter({h: v * (1 - url_graph.DAMPING) for h, v in start.items()})
+        for _ in range(300):
+            new = Counter()
             for (a, b), n in arcs.items():
                 new[b] += now.get(a, 0) * n / out[a] * url_graph.DAMPING
+            rest = 1 - sum(new.values())
+            received = dict(new)
+            for h, v in start.items():
+                new[h] += rest * v
             now = new
-        assert all(abs(got.get(h, (0, 0))[kind] - v) < 1e-9 for h, v in now.items())
+        assert abs(sum(now.values()) - 1) < 1e-9
+        assert all(abs(got[h][kind] - v) < 1e-6 for h, v in now.items() if v > 1e-9)
+        assert all(abs(got[h][2 + kind] - v) < 1e-6 for h, v in received.items() if h not in start)
+
+
+def test_flow_returns_from_hosts_without_links(spark):
+    found = url_graph.propagate(spark.createDataFrame([("a", "b", 1)], "src string, dst string, n int"), spark.createDataFrame([("a", 1.0, 0.0)], "host string, trust double, distrust double"))
+    got = {r["host"]: r["trust"] for r in found.collect()}
+    assert abs(got["a"] + got["b"] - 1) < 1e-9 and abs(got["b"] / got["a"] - 0.85) < 1e-9
