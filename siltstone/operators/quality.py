@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .joins import small
+
+#: Held-out n-grams that are broadcast at most, at 24 bytes each; beyond that the runs are shuffled.
+HELD_GRAMS = 2_000_000
 
 
 def contamination(records: DataFrame, held: DataFrame, n: int = 8, above: float = 0.10) -> DataFrame:
@@ -14,12 +18,18 @@ def contamination(records: DataFrame, held: DataFrame, n: int = 8, above: float
     Records of fewer than n words have no n-grams and are never contaminated.
     """
     def grams(text):
-        return T.ngrams(F.filter(F.split(T.key(text), " "), lambda w: w != ""), n)
+        ws = F.filter(F.split(T.key(text), " "), lambda w: w != "")
+
+        def runs(a):
+            found = F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(a, i, n), " ")))
+            return F.when(F.size(a) >= n, F.array_distinct(found)).otherwise(F.array().cast("array<bigint>"))
+
+        return T.bound(ws, runs)
 
-    mine = records.select("doc_id", grams(F.col("text")).alias("g"))
-    known = held.select(F.explode(grams(F.col("text"))).alias("gram")).distinct()
-    hits = mine.select("doc_id", F.explode("g").alias("gram")).join(known, "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
-    out = mine.select("doc_id", F.size("g").cast("long").alias("grams")).join(hits, "doc_id", "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))
+    # 64-bit hashes of the runs meet the held-out ones on the spot; what is shuffled is a count or two for each record.
+    known = small(held.select(F.explode(grams(F.col("text"))).alias("gram")).distinct().withColumn("known", F.lit(1)), HELD_GRAMS)
+    mine = records.select("doc_id", F.explode_outer(grams(F.col("text"))).alias("gram")).join(known, "gram", "left")
+    out = mine.groupBy("doc_id").agg(F.count("gram").alias("grams"), F.count("known").alias("shared"))
     share = F.when(F.col("grams") > 0, F.round(F.col("shared") / F.col("grams"), 6)).otherwise(0.0)
     return out.select("doc_id", "grams", "shared", share.alias("contained"), (share > above).alias("contaminated"))
 

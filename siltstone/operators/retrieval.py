@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .joins import small
 
 
 @dataclass(frozen=True)
@@ -50,6 +51,31 @@ def query_terms(queries: DataFrame, rule: Ranking = Ranking()) -> DataFrame:
     return split.select("item_id", "prompt", F.explode("all").alias("term")).select("item_id", "term", F.when(F.array_contains("prompt", F.col("term")), rule.prompt_weight).otherwise(1.0).alias("weight"))
 
 
+#: Stands for a document itself among its terms; no token is empty.
+_ITSELF = ""
+
+
+def _asked_postings(docs: DataFrame, asked: DataFrame, keep: list[str], places: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the terms that are asked for: postings (doc_id, keep, len, a flag for each place, term, tf), df by term; and a row n, avg_len.
+
+    Only postings of asked terms are grouped, by narrow keys, and one shuffle of them serves all three:
+    each document has a posting of its own, for counts that all documents take part in.
+    """
+    base = docs.select("doc_id", *keep, T.tokens(F.col("text")).alias("tokens"), *[F.array_distinct(T.tokens(text)).alias(f"_{name}") for name, text in places.items()])
+    terms = asked.select("term").union(docs.sparkSession.createDataFrame([(_ITSELF,)], "term string")).distinct()
+    rows = base.select("doc_id", *keep, F.size("tokens").alias("len"), *[f"_{name}" for name in places], F.explode(F.concat("tokens", F.array(F.lit(_ITSELF)))).alias("term"))
+    rows = rows.join(small(terms), "term", "left_semi")
+    flags = [F.array_contains(f"_{name}", F.col("term")).alias(name) for name in places]
+    posted = rows.select("doc_id", *keep, "len", *flags, "term").groupBy("doc_id", *keep, "len", *places, "term").agg(F.count("*").alias("tf"))
+    # Sums over tf and len, though known to be 1 a row, keep the shuffle the same in every branch.
+    once = F.sum(F.when(F.col("tf") > 0, 1))
+    df = posted.groupBy("term").agg(once.alias("df"))
+    # Filters on the term would be pushed below the shuffle and split it: conditions inside the sums aren't.
+    own = F.when(F.col("term") == _ITSELF, F.col("tf"))
+    itself = posted.agg(F.coalesce(F.sum(own), F.lit(0)).alias("n"), (F.sum((F.col("len") * own).cast("double")) / F.sum(own)).alias("avg_len"))
+    return posted, df, itself
+
+
 def bm25(queries: DataFrame, docs: DataFrame, rule: Ranking = Ranking(), broad=()) -> DataFrame:
     """item_id, rank, doc_id, source, score, n_terms, in_title: at most k passages for a query, or none.
 
@@ -57,16 +83,14 @@ def bm25(queries: DataFrame, docs: DataFrame, rule: Ranking = Ranking(), broad=(
     on all terms that they share, and kept if it reaches `relative` of the query's best; at most
     `per_source` documents come from one source.
     """
-    base = docs.select("doc_id", "source", T.tokens(F.col("text")).alias("tokens"), F.array_distinct(T.tokens(T.title(F.col("text")))).alias("title"))
     asked = query_terms(queries, rule)
-    stats = F.broadcast(base.agg(F.count("*").alias("n"), F.avg(F.size("tokens").cast("double")).alias("avg_len")))  # one row
-    posted = base.select("doc_id", "source", F.size("tokens").alias("len"), "title", F.explode("tokens").alias("term")).groupBy("doc_id", "source", "len", "title", "term").agg(F.count("*").alias("tf"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
+    posted, df, stats = _asked_postings(docs, asked, ["source"], {"named": T.title(F.col("text"))})
+    stats = F.broadcast(stats)  # one row
     known = asked.join(df, "term").crossJoin(stats)
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     informative = ~F.col("term").rlike("^[0-9]+$") & ~F.col("term").isin(*(broad or ("",))) & (F.col("df") / F.col("n") < rule.common)
     known = known.select("item_id", "term", (F.col("weight") * idf).alias("worth"), informative.alias("informative"), "avg_len")
-    hit = posted.join(known, "term").withColumn("named", F.array_contains("title", F.col("term")))
+    hit = posted.join(small(known, bound=asked), "term")
     tf = F.col("tf") * (rule.k1 + 1) / (F.col("tf") + rule.k1 * (1 - rule.b + rule.b * F.col("len") / F.col("avg_len")))
     scored = hit.groupBy("item_id", "doc_id", "source").agg(
         F.round(F.sum(F.col("worth") * (tf + F.when(F.col("named"), rule.title_bonus).otherwise(0.0))), rule.places).alias("score"),
@@ -86,24 +110,46 @@ def diversified(scored: DataFrame, rule: Ranking = Ranking()) -> DataFrame:
     return ranked.select("item_id", "rank", "doc_id", "source", "score", "n_terms", "in_title")
 
 
+def _bag(texts: DataFrame, id_col: str) -> DataFrame:
+    """id, f, tf: features as 64-bit hashes, the last bit of which is set for character runs.
+
+    Texts are dealt by their id, so that words and then features are counted without a further
+    shuffle; a word's character runs are made once for a text, however often it has the word.
+    """
+    ws = F.filter(F.split(T.key(F.col("text")), " "), lambda w: w != "")
+    words = texts.select(id_col, "text").repartition(id_col).select(id_col, F.explode(ws).alias("w")).groupBy(id_col, "w").agg(F.count("*").alias("n"))
+    size = F.length("w")
+    # Place 0 is the word; then come the runs of 3 of the padded word, size of them, and the runs of 4.
+    words = words.select(id_col, "w", "n", F.explode(F.sequence(F.lit(0), F.when(size >= 3, size * 2 - 1).otherwise(0))).alias("at"))
+    padded = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
+    run = F.when(F.col("at") <= size, F.substring(padded, F.col("at"), F.lit(3))).otherwise(F.substring(padded, F.col("at") - size, F.lit(4)))
+    f = F.when(F.col("at") == 0, F.xxhash64("w").bitwiseAND(-2)).otherwise(F.xxhash64(run).bitwiseOR(1))
+    return words.select(id_col, f.alias("f"), "n").groupBy(id_col, "f").agg(F.sum("n").alias("tf"))
+
+
 def tfidf(queries: DataFrame, records: DataFrame, char_weight: float = 0.25, places: int = 6) -> DataFrame:
     """item_id, doc_id, score: cosine of (1 + ln tf)(1 + ln((N + 1)/(df + 1))), character runs weighing less.
 
     Query features that no record has count in the query's norm, with a document frequency of 0.
+    Norms and products of a record are summed in one pass over its features, of which those that no
+    query has add to the norm only.
     """
-    bag = records.select("doc_id", F.explode(T.features(F.col("text"))).alias("f")).groupBy("doc_id", "f").agg(F.count("*").alias("tf"))
-    asked = queries.select("item_id", F.explode(T.features(F.col("text"))).alias("f")).groupBy("item_id", "f").agg(F.count("*").alias("tf"))
+    bag = _bag(records, "doc_id")
+    asked = _bag(queries, "item_id")
     df = bag.groupBy("f").agg(F.count("*").alias("df"))
     n = F.broadcast(records.agg(F.count("*").alias("n")))  # one row
     idf = F.lit(1.0) + F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + F.lit(1.0)))
-    worth = (F.lit(1.0) + F.log("tf")) * idf * F.when(F.startswith(F.col("f"), F.lit("c:")), char_weight).otherwise(1.0)
+    worth = (F.lit(1.0) + F.log("tf")) * idf * F.when(F.col("f").bitwiseAND(1) == 1, char_weight).otherwise(1.0)
     left = asked.join(df, "f", "left").crossJoin(n).select("item_id", "f", worth.alias("w"))
     right = bag.join(df, "f").crossJoin(n).select("doc_id", "f", worth.alias("v"))
     norm_q = left.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_q"))
-    norm_d = right.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm_d"))
-    dot = left.join(right, "f").groupBy("item_id", "doc_id").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    wanted = left.groupBy("f").agg(F.collect_list(F.struct("item_id", "w")).alias("by"))  # no more than the queries in a list
+    own = F.array(F.struct(F.lit(None).cast(left.schema["item_id"].dataType).alias("item_id"), F.col("v").alias("w")))
+    parts = right.join(small(wanted, bound=asked), "f", "left").select("doc_id", "v", F.explode(F.concat(own, F.coalesce("by", F.array().cast("array<struct<item_id:bigint,w:double>>")))).alias("p"))
+    sums = parts.groupBy("doc_id", F.col("p.item_id").alias("item_id")).agg(F.sum(F.col("v") * F.col("p.w")).alias("dot"))
+    norm_d = sums.where("item_id is null").select("doc_id", F.sqrt("dot").alias("norm_d"))
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("dot") / (F.col("norm_q") * F.col("norm_d"))))
-    return dot.join(norm_q, "item_id").join(norm_d, "doc_id").select("item_id", "doc_id", F.round(score, places).alias("score"))
+    return sums.where("item_id is not null").join(norm_q, "item_id").join(norm_d, "doc_id").select("item_id", "doc_id", F.round(score, places).alias("score"))
 
 
 def decide(scored: DataFrame, least: float, margin: float = 0.03) -> DataFrame:
@@ -116,6 +162,10 @@ def decide(scored: DataFrame, least: float, margin: float = 0.03) -> DataFrame:
     return top.select("item_id", F.when(F.col("status") == "matched", F.col("doc_id")).alias("doc_id"), "score", "status")
 
 
+#: Queries that meet all records together in `dense`.
+QUERY_BLOCK = 1024
+
+
 def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -130,7 +180,11 @@ def dense(queries: DataFrame, records: DataFrame, places: int = 6) -> DataFrame:
     q = queries.select(F.col("vec_id").alias("item_id"), unit(F.col("embedding")).alias("q"))
     r = records.select(F.col("vec_id").alias("doc_id"), unit(F.col("embedding")).alias("r"))
     score = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(F.col("q"), F.col("r"))))
-    return r.join(F.broadcast(q), F.col("item_id") != F.col("doc_id")).select("item_id", "doc_id", F.round(score, places).alias("score"))
+    # Queries in blocks of a counted size, each block one broadcast row that every record meets.
+    blocks = q.select("item_id", "q", F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-q.count() // QUERY_BLOCK)))).alias("block"))
+    blocks = blocks.groupBy("block").agg(F.collect_list(F.struct("item_id", "q")).alias("asked"))
+    met = r.crossJoin(small(blocks.select("asked"), 64)).select("doc_id", "r", F.explode("asked").alias("a")).where(F.col("a.item_id") != F.col("doc_id"))
+    return met.select(F.col("a.item_id").alias("item_id"), "doc_id", "r", F.col("a.q").alias("q")).select("item_id", "doc_id", F.round(score, places).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -146,19 +200,18 @@ def bank_scores(topics: DataFrame, entries: DataFrame, places: int = 6) -> DataF
     the topic's adjacent pairs that the title or head has, and .3 of the share of its subject (its first
     three stems) in the title.
     """
-    e = entries.select("doc_id", T.tokens(F.col("text")).alias("body"), T.tokens(T.title(F.col("text"))).alias("title"), T.tokens(F.substring_index(F.substring_index("text", "\n", 2), "\n", -1)).alias("head"))
-    bag = e.select("doc_id", F.explode("body").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = bag.groupBy("term").agg(F.count("*").alias("df"))
-    n = F.broadcast(entries.agg(F.count("*").alias("n")))  # one row
+    second = F.substring_index(F.substring_index("text", "\n", 2), "\n", -1)
     t = topics.select("item_id", T.tokens(F.col("text")).alias("tokens")).withColumn("subject", F.array_distinct(F.slice("tokens", 1, 3))).withColumn("pairs", T.pairs(F.col("tokens")))
-    terms = t.select("item_id", F.explode(F.array_distinct("tokens")).alias("term")).join(df, "term").crossJoin(n)
+    asked = t.select("item_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    posted, df, stats = _asked_postings(entries, asked, [], {"in_title": T.title(F.col("text")), "in_head": second})
+    terms = asked.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     terms = terms.select("item_id", "term", F.log(F.lit(1.0) + F.col("n") / F.col("df")).alias("idf"))
     whole = terms.groupBy("item_id").agg(F.sum("idf").alias("whole"))
-    place = e.select("doc_id", F.array_distinct("title").alias("title"), F.array_distinct("head").alias("head"))
-    found = bag.join(terms, "term").join(place, "doc_id")
-    part = F.when(F.array_contains("title", F.col("term")), 1.0).when(F.array_contains("head", F.col("term")), 0.9).otherwise(F.lit(0.7) * F.least(F.col("tf"), F.lit(4)) / 4)
-    base = found.groupBy("item_id", "doc_id").agg(F.sum(F.col("idf") * part).alias("sum")).join(whole, "item_id")
-    looks = e.select("doc_id", F.concat(T.pairs(F.col("title")), T.pairs(F.col("head"))).alias("entry_pairs"), F.col("title").alias("entry_title"))
+    part = F.when(F.col("in_title"), 1.0).when(F.col("in_head"), 0.9).otherwise(F.lit(0.7) * F.least(F.col("tf"), F.lit(4)) / 4)
+    base = posted.join(small(terms, bound=asked), "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("idf") * part).alias("sum")).join(whole, "item_id")
+    title, head = T.tokens(T.title(F.col("text"))), T.tokens(second)
+    looks = entries.select("doc_id", title.alias("entry_title"), head.alias("entry_head"))
+    looks = looks.select("doc_id", "entry_title", F.concat(T.pairs(F.col("entry_title")), T.pairs(F.col("entry_head"))).alias("entry_pairs"))
     base = base.join(t.select("item_id", "subject", "pairs"), "item_id").join(looks, "doc_id")
 
     def share(wanted, there):
