@@ -42,15 +42,6 @@ def paired(now: DataFrame, before: DataFrame, group: str) -> DataFrame:
     return both.groupBy(group).agg(F.count_if(graded).alias("common"), F.coalesce(F.sum(F.when(graded, F.col("max_points"))), F.lit(0)).cast("long").alias("common_max"), F.coalesce(delta, F.lit(0)).cast("long").alias("delta"), F.when(F.bool_and(graded), delta).cast("long").alias("full_delta"))
 
 
-def format_failure(prediction: Column, raw: Column, error: Column) -> Column:
-    """A prediction without a text answer, or none although the model spoke and JSON didn't parse."""
-    return F.coalesce((prediction.isNotNull() & (F.trim(prediction) == "")) | (prediction.isNull() & (F.size(raw) > 0) & (error == "JSONDecodeError")), F.lit(False))
-
-
-def truncated(raw: Column) -> Column:
-    return F.coalesce(F.exists(raw, lambda r: r == "length"), F.lit(False))
-
-
 def suite(papers: DataFrame) -> DataFrame:
     """One row: totals, bounds, and a percentage only if every paper is complete.  papers: lower, upper, whole, pending."""
     done = F.bool_and(F.col("pending") == 0)

@@ -111,13 +111,6 @@ def non_essay_view(t):
     return rows.join(t("orders"), "o_orderkey", "left_semi").where("essays = 1")
 
 
-@query("""SELECT event_type, CASE WHEN event_type IN ('click', 'view') THEN 'comparable' ELSE 'incomparable' END AS status, CASE WHEN event_type IN ('click', 'view') THEN count(*) END AS n FROM events GROUP BY event_type""")
-def comparable_runs(t):
-    same = F.col("event_type").isin("click", "view")
-    rows = t("events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return rows.select("event_type", F.when(same, "comparable").otherwise("incomparable").alias("status"), F.when(same, F.col("n")).alias("n"))
-
-
 @query("""SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role FROM conversations WHERE role <> 'system') c ANTI JOIN (SELECT DISTINCT label AS k FROM embeddings) r ON c.turn = r.k""")
 def unregistered_parts(t):
     used = t("conversations").where("role <> 'system'").withColumn("k", F.col("turn").cast("int"))

@@ -66,15 +66,6 @@ def paired_delta(t):
     return P.paired(now, before, "event_type")
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN true ELSE false END AS bad_format, event_id % 2 = 1 AS truncated FROM events""")
-def format_check(t):
-    i = F.col("event_id") % 4
-    prediction = F.when(i == 0, " ").when(i == 2, "x")
-    raw = F.when(i % 2 == 1, F.array(F.lit("stop"), F.lit("length"))).otherwise(F.array(F.lit("stop")))
-    error = F.when(i == 1, "JSONDecodeError").when(i == 3, "Timeout")
-    return t("events").select("event_id", P.format_failure(prediction, raw, error).alias("bad_format"), P.truncated(raw).alias("truncated"))
-
-
 @query("SELECT count(*) AS tasks, count(*) FILTER (quality = 1) AS ready, coalesce(sum(quality), 0)::BIGINT AS points, count(*) FILTER (quality IS NULL) AS unknown FROM documents LEFT JOIN labels USING (doc_id)")
 def dataset_summary(t):
     rows = t("documents").join(t("labels"), "doc_id", "left")
