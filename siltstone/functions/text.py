@@ -113,25 +113,42 @@ def years(text: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\b([0-9]{3,4})\b"), 1), lambda y: y.cast("int")), lambda y: (y >= 500) & (y <= 2029))
 
 
-ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100}
+def roman(n: int) -> str:
+    out = ""
+    for value, letters in ((10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")):
+        while n >= value:
+            out, n = out + letters, n - value
+    return out
 
 
-def century_spans(text: Column, century: str = "w", decade: str = "lat", before: str = "p.n.e.") -> Column:
-    """Spans (lo, hi) of years: four-digit years, Roman centuries and ranges of them; `before` anywhere negates all.
+#: Numerals of the centuries that texts speak of.
+CENTURIES = {roman(n): n for n in range(1, 22)}
+# How texts name decades, ranges of centuries, centuries, and years before the common era.
+DECADE = r"\b([0-9]0)\.\s+([IVX]{1,5})\s+w"
+CENTURY_RANGE = r"\b([IVX]{1,5})\s*[–-]\s*([IVX]{1,5})\s+w"
+CENTURY = r"\b([IVX]{1,5})\s*(?:w\.|wieku|wiek)"
+BEFORE = r"p\.\s*n\.\s*e\."
 
-    Roman numerals are valued by position: a smaller letter before a larger one is subtracted.
+
+def century_years(text: Column) -> Column:
+    """All years that a text names: plain ones, starts of decades, and first and last years of centuries and their ranges.
+
+    Numerals that name no century are left out; a mark of years before the common era negates all.
     """
-    numeral = r"\b([IVXLC]+)\s+" + century + r"\b"
+    number = F.create_map(*[F.lit(x) for pair in CENTURIES.items() for x in pair])
+
+    def of(pattern: str, group: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), group)
 
-    def value(roman):
-        letters = F.filter(F.split(roman, ""), lambda c: c != "")
-        worth = F.transform(letters, lambda c: F.element_at(F.create_map(*[F.lit(x) for p in ROMAN.items() for x in p]), c))
-        return F.aggregate(F.transform(worth, lambda v, i: F.when(v < F.coalesce(F.get(worth, i + 1), F.lit(0)), -v).otherwise(v)), F.lit(0), lambda a, v: a + v)
+    def known(years: Column) -> Column:
+        return F.filter(years, lambda y: y.isNotNull())
 
-    ys = F.transform(years(text), lambda y: F.struct(y.alias("lo"), y.alias("hi")))
-    cs = F.transform(F.regexp_extract_all(text, F.lit(numeral), 1), lambda r: F.struct((value(r) * 100 - 99).alias("lo"), (value(r) * 100).alias("hi")))
-    spans = F.concat(ys, cs)
-    return F.when(F.contains(text, F.lit(before)), F.transform(spans, lambda s: F.struct((-s["hi"]).alias("lo"), (-s["lo"]).alias("hi")))).otherwise(spans)
+    decades = known(F.zip_with(of(DECADE, 1), of(DECADE, 2), lambda d, c: (F.try_element_at(number, c) - 1) * 100 + d.cast("int")))
+    both = F.zip_with(of(CENTURY_RANGE, 1), of(CENTURY_RANGE, 2), lambda a, b: F.array((F.try_element_at(number, a) - 1) * 100 + 1, F.try_element_at(number, b) * 100))
+    ranges = F.flatten(F.filter(both, lambda p: F.forall(p, lambda y: y.isNotNull())))
+    centuries = known(F.flatten(F.transform(of(CENTURY, 1), lambda c: F.array((F.try_element_at(number, c) - 1) * 100 + 1, F.try_element_at(number, c) * 100))))
+    found = F.concat(years(text), decades, ranges, centuries)
+    return F.when(text.rlike(BEFORE), F.transform(found, lambda y: -y)).otherwise(found)
 
 
 def strip_thinking(text: Column) -> Column:

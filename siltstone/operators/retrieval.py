@@ -235,7 +235,7 @@ def period_factor(low, high, start, end, slack: int = 5):
 
 
 def entry_periods(entries: DataFrame) -> DataFrame:
-    """doc_id, start_year, end_year: nearest-rank 10th and 90th percentile of the years in a text."""
-    ys = entries.select("doc_id", F.array_sort(T.years(F.col("text"))).alias("ys")).where(F.size("ys") > 0)
+    """doc_id, start_year, end_year: nearest-rank 10th and 90th percentile of the years of the common era in a text."""
+    ys = entries.select("doc_id", F.array_sort(F.filter(T.century_years(F.col("text")), lambda y: y > 0)).alias("ys")).where(F.size("ys") > 0)
     n = F.size("ys")
     return ys.select("doc_id", F.element_at("ys", F.floor(n / 10).cast("int") + 1).alias("start_year"), F.element_at("ys", F.floor(n * 9 / 10).cast("int") + 1).alias("end_year"))

@@ -45,17 +45,6 @@ def scored(answers: DataFrame, grades: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count("*").alias("answers"), F.count("points").alias("graded"), F.count_if(F.col("points").isNull()).alias("pending"), F.coalesce(F.sum("points"), F.lit(0)).cast("long").alias("points"))
 
 
-def coerced(answer: Column, labels: list[str], yes: str = "P", no: str = "F") -> Column:
-    """`label: value` lines for all labels, in order; `?` where the answer has none.  Aliases of yes and no are mapped."""
-    pairs = [F.regexp_extract(answer, rf"(?im)^\s*{label}\s*[:.)\-]\s*(\w+)", 1) for label in labels]
-
-    def value(v):
-        v = F.lower(v)
-        return F.when(v.isin("p", "prawda", "true", "t", "yes"), yes).when(v.isin("f", "fałsz", "falsz", "false", "n", "no"), no).when(v == "", "?").otherwise(F.upper(v))
-
-    return F.concat_ws("\n", *[F.concat(F.lit(f"{label}: "), value(v)) for label, v in zip(labels, pairs)])
-
-
 def rendered(answer_json: Column, slots: list[str], allowed: list[str]) -> Column:
     """Slots in order from a JSON object that has exactly them, with allowed values only; else null."""
     m = F.from_json(answer_json, "map<string,string>")

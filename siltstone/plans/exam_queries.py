@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exam as E
 from ..functions import text as T
+from ..operators import closed as C
 from ..operators import gates as G
 from .base import query
 
@@ -60,28 +61,54 @@ def prompt_parts(t):
     return rows.select("doc_id", E.prompt(parts).alias("prompt"), E.numbered_references(F.array("lang", "source")).alias("refs"))
 
 
-@query("""WITH s AS (SELECT p_partkey, p_size % 40 + 1 AS c FROM part) SELECT p_partkey, (c - 1) * 100 + 1 AS lo, c * 100 AS hi FROM s""")
-def century_spans(t):
-    roman = F.array(*[F.lit(_roman(i)) for i in range(1, 41)])
-    text = F.concat(F.lit("w "), F.element_at(roman, (F.col("p_size") % 40 + 1).cast("int")), F.lit(" w i potem"))
-    return t("part").select("p_partkey", F.explode(T.century_spans(text)).alias("s")).select("p_partkey", "s.lo", "s.hi")
+_NUMERALS = "[" + ", ".join(f"'{n}'" for n in T.CENTURIES) + "]"
+#: A decade, a range of centuries, a century, two years (one out of range), and years before the common era.
+_AGES = f"""p_name || ' ' || (900 + p_partkey % 1200)::VARCHAR || ' lata ' || (p_size % 10 * 10)::VARCHAR || '. ' || {_NUMERALS}[p_size % 21 + 1] || ' w. oraz ' || {_NUMERALS}[p_partkey % 21 + 1] || '–' || {_NUMERALS}[(p_partkey + p_size) % 21 + 1] || ' w i ' || CASE WHEN p_size % 3 = 0 THEN 'VIIII wiek' ELSE {_NUMERALS}[(p_partkey + 7) % 21 + 1] || ' wieku' END || CASE WHEN p_partkey % 4 = 0 THEN ' p. n. e.' ELSE '' END"""
 
 
-def _roman(n: int) -> str:
-    out = ""
-    for value, letters in ((10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")):
-        while n >= value:
-            out, n = out + letters, n - value
-    return out
+def _ages():
+    names = F.array(*[F.lit(n) for n in T.CENTURIES])
+    key, size = F.col("p_partkey"), F.col("p_size")
+
+    def numeral(n):
+        return F.element_at(names, (n % 21 + 1).cast("int"))
+
+    last = F.when(size % 3 == 0, "VIIII wiek").otherwise(F.concat(numeral(key + 7), F.lit(" wieku")))
+    return F.concat("p_name", F.lit(" "), (key % 1200 + 900).cast("string"), F.lit(" lata "), (size % 10 * 10).cast("string"), F.lit(". "), numeral(size), F.lit(" w. oraz "), numeral(key), F.lit("–"), numeral(key + size), F.lit(" w i "), last, F.when(key % 4 == 0, " p. n. e.").otherwise(""))
+
+
+def _century(x: str) -> str:
+    return f"list_position({_NUMERALS}, {x})"
+
+
+@query(rf"""WITH p AS (SELECT p_partkey, {_AGES} AS t FROM part), y AS (
+  SELECT p_partkey, t, unnest(list_concat(
+    list_filter(list_transform(regexp_extract_all(t, '\b([0-9]{{3,4}})\b', 1), lambda x: x::INT), lambda x: x >= 500 AND x <= 2029),
+    list_transform(range(1, len(regexp_extract_all(t, '{T.DECADE}', 1)) + 1), lambda i: ({_century(f"regexp_extract_all(t, '{T.DECADE}', 2)[i]")} - 1) * 100 + regexp_extract_all(t, '{T.DECADE}', 1)[i]::INT),
+    flatten(list_transform(range(1, len(regexp_extract_all(t, '{T.CENTURY_RANGE}', 1)) + 1), lambda i: [({_century(f"regexp_extract_all(t, '{T.CENTURY_RANGE}', 1)[i]")} - 1) * 100 + 1, {_century(f"regexp_extract_all(t, '{T.CENTURY_RANGE}', 2)[i]")} * 100])),
+    flatten(list_transform(list_filter(regexp_extract_all(t, '{T.CENTURY}', 1), lambda c: list_contains({_NUMERALS}, c)), lambda c: [({_century('c')} - 1) * 100 + 1, {_century('c')} * 100])))) AS y FROM p)
+SELECT p_partkey, (CASE WHEN regexp_matches(t, '{T.BEFORE}') THEN -y ELSE y END)::INT AS year FROM y WHERE y IS NOT NULL""")
+def century_years(t):
+    return t("part").select("p_partkey", F.explode(T.century_years(_ages())).alias("year"))
+
+
+_REPLY = "CASE WHEN event_id % 7 = 0 THEN 'none' ELSE concat('<think>A B</think> Answer: ', substr('ABCDEFGH', CAST(1 + event_id % 5 AS INT), 1), '.') END"
 
 
-@query("""WITH v AS (SELECT user_id AS item_id, (event_id + event_id % 3) % 4 AS value, count(*) AS n, max(value) AS score FROM events GROUP BY ALL)
-SELECT item_id, value, n FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, score DESC, value DESC) AS r FROM v) WHERE r = 1""")
+@query(rf"""WITH o AS (SELECT DISTINCT user_id AS item_id, event_type AS option FROM events), l AS (SELECT item_id, list_sort(list(option)) AS options FROM o GROUP BY item_id),
+r AS (SELECT user_id AS item_id, event_id % len(options) AS shift, event_id % 2 = 1 AS backwards, options, trim(regexp_replace({_REPLY}, '(?s)<think>.*?</think>', '', 'g')) AS reply FROM events JOIN l ON l.item_id = user_id),
+p AS (SELECT item_id, CASE WHEN backwards THEN list_reverse(turned) ELSE turned END[strpos('ABCDEFGH', regexp_extract(reply, '\b([A-H])\b', 1))] AS option
+      FROM (SELECT *, list_concat(options[shift + 1:], options[1:shift]) AS turned FROM r) WHERE regexp_matches(reply, '\b[A-H]\b')),
+v AS (SELECT item_id, option, count(*) AS votes FROM p GROUP BY ALL),
+s AS (SELECT user_id AS item_id, event_type AS option, max(value) AS score FROM events GROUP BY ALL)
+SELECT item_id, option, votes FROM (SELECT s.item_id, s.option, coalesce(votes, 0) AS votes, row_number() OVER (PARTITION BY s.item_id ORDER BY coalesce(votes, 0) DESC, score DESC, s.option) AS n FROM s LEFT JOIN v ON s.item_id = v.item_id AND s.option = v.option) WHERE n = 1""")
 def rotation_votes(t):
-    v = t("events").select(F.col("user_id").alias("item_id"), ((F.col("event_id") + F.col("event_id") % 3) % 4).alias("option"), F.col("value").alias("score"))
-    counted = v.groupBy("item_id", "option").agg(F.count("*").alias("n"), F.max("score").alias("score"))
-    best = counted.groupBy("item_id").agg(F.max(F.struct("n", "score", "option")).alias("b"))
-    return best.select("item_id", F.col("b.option").alias("value"), "b.n")
+    e = t("events")
+    items = e.groupBy(F.col("user_id").alias("item_id")).agg(F.array_sort(F.collect_set("event_type")).alias("options"))  # no more than the types of events
+    shown = C.orders(items, both_ways=True)
+    asked = e.selectExpr("user_id AS item_id", "event_id", "event_id % 2 = 1 AS backwards", f"{_REPLY} AS reply").join(items.select("item_id", F.size("options").alias("n")), "item_id")
+    replies = asked.withColumn("shift", (F.col("event_id") % F.col("n")).cast("int")).join(shown, ["item_id", "shift", "backwards"])
+    return C.rotation_winner(replies, e.groupBy(F.col("user_id").alias("item_id"), F.col("event_type").alias("option")).agg(F.max("value").alias("score")))
 
 
 @query("""SELECT a.k AS ordinal, a.n_name AS paper, b.c_name AS report FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation) a JOIN (SELECT *, row_number() OVER (ORDER BY c_custkey) AS k FROM customer WHERE c_custkey <= 25) b USING (k)""")

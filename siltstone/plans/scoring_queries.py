@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import closed as C
 from ..operators import scoring as S
 from .base import query
 
@@ -43,11 +44,60 @@ def score_left_join(t):
     return S.scored(t("documents"), t("labels").select("doc_id", F.col("quality").alias("points")), "source")
 
 
-@query("SELECT event_id, '1: ' || CASE WHEN event_id % 3 = 0 THEN 'P' WHEN event_id % 3 = 1 THEN 'F' ELSE '?' END || chr(10) || '2: ' || CASE WHEN event_id % 2 = 0 THEN 'A' ELSE '?' END AS answer FROM events")
+_FORM = "CASE doc_id % 4 WHEN 0 THEN concat('1: P', chr(10), ' 2: F') WHEN 1 THEN concat('1: A', chr(10), 'b: 7') WHEN 2 THEN 'B' ELSE 'free text' END"
+_ANSWER = "CASE doc_id % 9 WHEN 0 THEN concat('1) prawda', chr(10), '2 – Fałsz') WHEN 1 THEN 'P F P' WHEN 2 THEN concat('**2: F**', chr(10), '1: P', chr(10), '1: F') WHEN 3 THEN 'It is C, then A.' WHEN 4 THEN concat('1. C, because', chr(10), 'b- 12;', chr(10), 'z: 1') WHEN 5 THEN NULL WHEN 6 THEN '' WHEN 7 THEN concat('1: x', chr(10), substr(text, 1, 40)) ELSE concat(' ', text, ' ') END"
+_LINES = "list_filter(list_transform(string_split_regex({0}, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(rf"""
+WITH a AS (SELECT doc_id, {_FORM} AS form, regexp_replace(coalesce({_ANSWER}, ''), '[*_`#]', '', 'g') AS bare FROM documents),
+l AS (SELECT *, {_LINES.format("form")} AS fl, string_split_regex(bare, '\r?\n') AS al, regexp_extract_all(bare, '\b([PF])\b', 1) AS alone FROM a),
+g AS (SELECT *, list_transform(fl, lambda x: regexp_extract(x, '{C.FORMAT_LINE}', 1)) AS labels, list_transform(fl, lambda x: regexp_extract(x, '{C.FORMAT_LINE}', 2)) AS vals,
+        len(fl) > 0 AND len(list_filter(fl, lambda x: NOT regexp_matches(x, '{C.FORMAT_LINE}'))) = 0 AS labelled FROM l),
+m AS (SELECT *, len(list_filter(vals, lambda v: v NOT IN ('P', 'F'))) = 0 AS two, list_filter(al, lambda x: regexp_matches(x, '{C.ANSWER_LINE}') AND list_contains(labels, regexp_extract(x, '{C.ANSWER_LINE}', 1))) AS mine FROM g),
+v AS (SELECT *, list_transform(labels, lambda k, i: CASE WHEN len(mine) > 0 THEN regexp_extract(list_filter(mine, lambda x: regexp_extract(x, '{C.ANSWER_LINE}', 1) = k)[1], '{C.ANSWER_LINE}', 2) END) AS raw FROM m),
+c AS (SELECT *, list_transform(raw, lambda r, i: labels[i] || ': ' || coalesce(CASE WHEN len(mine) = 0 THEN CASE WHEN two THEN alone[i] END WHEN NOT two THEN string_split_regex(r, '[\s,;.]')[1]
+        WHEN regexp_matches(r, '(?i)^(p|prawda)') THEN 'P' WHEN regexp_matches(r, '(?i)^(f|fałsz)') THEN 'F' ELSE upper(left(r, 1)) END, '?')) AS out FROM v)
+SELECT doc_id, CASE WHEN labelled THEN array_to_string(out, chr(10)) WHEN regexp_full_match(trim(form), '[A-F]') THEN CASE WHEN regexp_matches(bare, '\b[A-F]\b') THEN regexp_extract(bare, '\b([A-F])\b', 1) ELSE left(trim(bare), 1) END ELSE trim(bare) END AS answer,
+  CASE WHEN labelled THEN array_to_string(list_transform(vals, lambda x, i: labels[i] || ': ' || CASE WHEN x IN ('P', 'F') THEN 'P/F' WHEN regexp_full_match(x, '[A-Z]') THEN 'letter' WHEN regexp_full_match(x, '[0-9]+') THEN 'number' ELSE x END), chr(10)) WHEN regexp_full_match(trim(form), '[A-F]') THEN 'letter' ELSE form END AS neutral
+FROM c""")
 def closed_coerce(t):
-    i = F.col("event_id")
-    a = F.concat(F.when(i % 3 == 0, "1) prawda\n").when(i % 3 == 1, "1: false\n").otherwise("one is true\n"), F.when(i % 2 == 0, "2. a").otherwise("x"))
-    return t("events").select("event_id", S.coerced(a, ["1", "2"]).alias("answer"))
+    rows = t("documents").selectExpr("doc_id", f"{_FORM} AS form", f"{_ANSWER} AS answer")
+    return rows.select("doc_id", C.coerced(F.col("answer"), F.col("form")).alias("answer"), C.neutral(F.col("form")).alias("neutral"))
+
+
+_VOTE = "CASE event_id % 5 WHEN 0 THEN concat('1: ', event_type, chr(10), '2) ', user_id % 3) WHEN 1 THEN concat('2: ', event_id % 2, chr(10), '1. ', event_type) WHEN 2 THEN event_type WHEN 3 THEN concat('a: ', event_id % 2) ELSE concat(' ', event_id % 3, ' ') END"
+
+
+@query(rf"""
+WITH a AS (SELECT user_id AS item_id, event_id AS pos, trim({_VOTE}) AS whole, {_LINES.format(_VOTE)} AS ls FROM events),
+b AS (SELECT *, len(ls) > 0 AND len(list_filter(ls, lambda x: NOT regexp_matches(x, '{C.VOTE_LINE}'))) = 0 AS by_line FROM a),
+v AS (SELECT item_id, pos, regexp_extract(ls[i], '{C.VOTE_LINE}', 1) AS label, trim(regexp_extract(ls[i], '{C.VOTE_LINE}', 2)) AS value, i FROM b, range(1, 10) r(i) WHERE by_line AND i <= len(ls)
+      UNION ALL SELECT item_id, pos, NULL, whole, 0 FROM b WHERE NOT by_line),
+c AS (SELECT item_id, label, value, count(*) AS n, min((pos, i)) AS first FROM v GROUP BY ALL),
+w AS (SELECT *, row_number() OVER (PARTITION BY item_id, label ORDER BY n DESC, first) AS r, sum(n) OVER (PARTITION BY item_id, label) AS all_n, min(first) OVER (PARTITION BY item_id, label) AS seen FROM c),
+p AS (SELECT item_id, string_agg(label || ': ' || value, chr(10) ORDER BY seen) FILTER (label IS NOT NULL) AS keyed, sum(all_n) FILTER (label IS NOT NULL) AS k, max(value) FILTER (label IS NULL) AS plain, coalesce(sum(all_n) FILTER (label IS NULL), 0) AS m FROM w WHERE r = 1 GROUP BY item_id)
+SELECT item_id, CASE WHEN k >= m THEN keyed ELSE plain END AS answer FROM p""")
+def closed_votes(t):
+    return C.voted(t("events").selectExpr("user_id AS item_id", "event_id AS pos", f"{_VOTE} AS answer"))
+
+
+_KEYED = "concat('1: ', CASE WHEN l_linenumber % 2 = 0 THEN 'P' ELSE 'F' END, chr(10), '2 : ', l_returnflag, chr(10), '1: ', CASE WHEN l_quantity < 25 THEN 'P' ELSE 'F' END, chr(10), '3: ', l_linestatus, ' x')"
+
+
+@query(r"""SELECT l_orderkey, l_linenumber, CASE (l_quantity < 25)::INT + (l_returnflag = 'A')::INT + (l_linestatus = 'F')::INT WHEN 3 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS points FROM lineitem""")
+def labelled_points(t):
+    table = F.create_map(F.lit("0"), F.lit(0), F.lit("2"), F.lit(1), F.lit("3"), F.lit(2))
+    rows = t("lineitem").selectExpr("l_orderkey", "l_linenumber", f"{_KEYED} AS answer")
+    return rows.select("l_orderkey", "l_linenumber", C.labelled_points(F.col("answer"), F.array(F.lit("1"), F.lit("2"), F.lit("3")), F.array(F.lit("P"), F.lit("A"), F.lit("F")), table).alias("points"))
+
+
+@query("""SELECT lang, coalesce(sum(points), 0)::BIGINT AS total, coalesce(sum(points) FILTER (kind = 'closed'), 0)::BIGINT AS closed, sum(most) FILTER (kind = 'closed')::BIGINT AS closed_max, coalesce(sum(points) FILTER (kind = 'open'), 0)::BIGINT AS open, sum(most) FILTER (kind = 'open')::BIGINT AS open_max, count(*) FILTER (kind = 'open' AND points IS NULL) AS pending
+FROM (SELECT lang, CASE WHEN d.n_chars < 2000 THEN 'closed' ELSE 'open' END AS kind, CASE WHEN d.n_chars < 2000 THEN doc_id % 2 ELSE quality END AS points, 1 + doc_id % 3 AS most FROM documents d LEFT JOIN labels USING (doc_id)) GROUP BY lang""")
+def score_totals(t):
+    d = t("documents").join(t("labels"), "doc_id", "left")
+    short = F.col("n_chars") < 2000
+    return C.totals(d.select("lang", F.when(short, "closed").otherwise("open").alias("kind"), F.when(short, F.col("doc_id") % 2).otherwise(F.col("quality")).alias("points"), (F.col("doc_id") % 3 + 1).alias("max_points")), "lang")
 
 
 @query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN '1: P' || chr(10) || '2: F' END AS rendered, CASE WHEN event_id % 2 = 0 THEN 'yes' END AS single FROM events""")
