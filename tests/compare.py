@@ -52,7 +52,8 @@ def compare(spark, con, query, sql: str, sf_dir: str) -> str:
     if mine[0] != theirs[0]:
         return f"columns {mine[0]} != {theirs[0]}"
     if len(mine[1]) != len(theirs[1]):
-        return f"{len(mine[1])} rows != {len(theirs[1])}; " + str([x for x in mine[1] if x not in set(theirs[1])][:2]) + str([x for x in theirs[1] if x not in set(mine[1])][:2])
+        left, right = set(mine[1]), set(theirs[1])
+        return f"{len(mine[1])} rows != {len(theirs[1])}; " + str([x for x in mine[1] if x not in right][:2]) + str([x for x in theirs[1] if x not in left][:2])
     odd = [(a, b) for a, b in zip(mine[1], theirs[1]) if a != b]
     return f"{len(odd)} of {len(mine[1])} rows differ, as {odd[0]}"[:900] if odd else ""
 
