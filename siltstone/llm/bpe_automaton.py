@@ -143,7 +143,7 @@ class Codec:
         probes = ["abc", "AbC", "zz.", "Q,,", "it;:", "don'", "x-y", "a1", "Ab!?"]
         self.plain = PLAIN if all([w for w, _ in self.split(self.normalise(p))] == [g for g in m.groups() if g] for p in probes if (m := PLAIN.fullmatch(p.lower()))) else None
         self.words = WordCache(lambda w: array("I", self.automaton.encode(w)).tobytes(), 100_000)
-        self.units = WordCache(self._unit, 60_000)
+        self.units = WordCache(self._unit, 150_000)
         self.units[""] = b""
         size = max([len(labels), *(i + 1 for i in self.special.values())])
         names = labels + [""] * (size - len(labels))
@@ -162,6 +162,11 @@ class Codec:
             return self.words[word] + self.words[mark] if mark else self.words[word]
         return b"".join([self.words[word] for word, _ in self.split(self.normalise(unit))]) if unit else b""
 
+    def forget(self) -> None:
+        self.units.forget()
+        self.units[""] = b""
+        self.words.forget()
+
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian 32-bit integers.  Spaces end words, so what is between two is coded once."""
         return b"".join(map(self.units.__getitem__, text.split(" "))) if text else b""
@@ -176,12 +181,26 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _with_memos(own: Codec, batches):
+    """The batches in pieces; the codec's memos live as long as the task."""
+    try:
+        yield from pieces(_then(batches, own.forget))
+    finally:
+        own.forget()
+
+
+def _then(batches, last):
+    """The batches; last() is called once the one after the last is asked for, when all are coded."""
+    yield from batches
+    last()
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids array<int>."""
 
     def run(batches):
         own = codec(path)
-        for batch in pieces(batches):
+        for batch in _with_memos(own, batches):
             coded = [np.frombuffer(own.encode(t), "<u4") for t in batch.column("text").to_pylist()]
             offsets = np.cumsum([0, *map(len, coded)], dtype=np.int32)
             flat = np.concatenate(coded).astype(np.int32) if coded else np.zeros(0, np.int32)
@@ -207,7 +226,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         own = codec(path)
-        for batch in pieces(batches):
+        for batch in _with_memos(own, batches):
             count, first, second = [], [], []
             for text in batch.column("text").to_pylist():
                 ids = np.frombuffer(own.encode(text), "<u4").tolist()

@@ -73,17 +73,25 @@ def pieces(batches, rows: int = 256):
 
     At a task's end memory that the worker no longer needs goes back to the system: the worker lives on.
     """
+    libc = _libc()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
     pa.default_memory_pool().release_unused()
-    if sys.platform == "linux" and hasattr(_libc(), "malloc_trim"):
-        _libc().malloc_trim(0)
+    if libc is not None:
+        libc.malloc_trim(0)
 
 
 @lru_cache(maxsize=1)
-def _libc() -> ctypes.CDLL:
-    return ctypes.CDLL(None)
+def _libc() -> ctypes.CDLL | None:
+    """The C library, where it is one that can be told to give memory back: blocks of 1 MB and more as soon as they are free."""
+    if sys.platform != "linux":
+        return None
+    libc = ctypes.CDLL(None)
+    if not hasattr(libc, "malloc_trim") or not hasattr(libc, "mallopt"):
+        return None
+    libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which else grows with what was freed last
+    return libc
 
 
 def partitions(spark: SparkSession) -> int:

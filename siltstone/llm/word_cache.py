@@ -12,6 +12,11 @@ class WordCache(dict):
         super().__init__()
         self.code, self.room, self.old = code, room, {}
 
+    def forget(self) -> None:
+        """Frees the memory: of a task's words few come back in the next one."""
+        self.clear()
+        self.old = {}
+
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
