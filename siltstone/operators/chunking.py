@@ -9,26 +9,34 @@ import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LIMIT = 1300
 SEPARATOR = 3
 
 
+def _placed(text: Column) -> Column:
+    """Structs (line, start): the lines of a text with their places in it, found within the row."""
+    empty = F.struct(F.array().cast("array<struct<line:string,start:bigint>>").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def add(acc: Column, line: Column) -> Column:
+        one = F.array(F.struct(line.alias("line"), acc["at"].alias("start")))
+        return F.struct(F.concat(acc["out"], one).alias("out"), (acc["at"] + F.length(line) + 1).alias("at"))
+
+    return F.aggregate(F.split(text, "\n"), empty, add, lambda acc: acc["out"])
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, pos, line, start: lines with their place (in characters) in the text."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long"))
+    return docs.select("doc_id", F.posexplode(_placed(F.col("text"))).alias("pos", "l")).select("doc_id", "pos", "l.line", "l.start")
 
 
 def segments(docs: DataFrame) -> DataFrame:
-    """Lines that are capitalised heads, each up to the next head or the text's end."""
-    heads = lines(docs).where(F.length("line").between(1, 60))
-    after = Window.partitionBy("doc_id").orderBy("start")
-    ends = heads.join(docs.select("doc_id", F.length("text").cast("long").alias("length")), "doc_id")
-    return ends.select("doc_id", "start", F.coalesce(F.lead("start").over(after), F.col("length")).alias("end"), "line")
+    """Lines of 1 to 60 characters as heads, each up to the next head or the text's end."""
+    heads = docs.select("doc_id", F.length("text").cast("long").alias("length"), F.filter(_placed(F.col("text")), lambda x: F.length(x["line"]).between(1, 60)).alias("heads"))
+    spans = F.transform("heads", lambda x, i: F.struct(x["start"].alias("start"), F.coalesce(F.get("heads", i + 1)["start"], F.col("length")).alias("end"), x["line"].alias("line")))
+    return heads.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.start", "s.end", "s.line")
 
 
 def page_offsets(turns: DataFrame, separator: int = SEPARATOR) -> DataFrame:
@@ -46,9 +54,13 @@ def occurrence_ids(docs: DataFrame) -> DataFrame:
 
 def filled_sections(docs: DataFrame, short: int = 40) -> DataFrame:
     """Each line with the last head (a short line) at or above it."""
-    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = lines(docs)
-    return rows.select("doc_id", "pos", F.last(F.when(F.length("line").between(1, short), F.col("line")), ignorenulls=True).over(upto).alias("section"))
+    def add(acc: Column, line: Column) -> Column:
+        head = F.when(F.length(line).between(1, short), line).otherwise(acc["head"])
+        return F.struct(F.concat(acc["out"], F.array(head)).alias("out"), head.alias("head"))
+
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("head"))
+    sections = F.aggregate(F.split("text", "\n"), empty, add, lambda acc: acc["out"])
+    return docs.select("doc_id", F.posexplode(sections).alias("pos", "section"))
 
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -34,14 +34,6 @@ def tokens_used(runs: DataFrame, group: str, used: Column, calls: Column) -> Dat
     return runs.groupBy(group).agg(F.sum(used).cast("long").alias("known"), F.count(used).alias("reported"), (F.greatest(F.sum(calls), F.count("*")) - F.count(used)).cast("long").alias("unknown"))
 
 
-def paired(now: DataFrame, before: DataFrame, group: str) -> DataFrame:
-    """By group: common graded items, their maximum, sum of differences; the full difference only if all are graded in both runs."""
-    both = now.join(before.select("item_id", F.col("points").alias("old")), "item_id", "left")
-    graded = F.col("points").isNotNull() & F.col("old").isNotNull()
-    delta = F.sum(F.when(graded, F.col("points") - F.col("old")))
-    return both.groupBy(group).agg(F.count_if(graded).alias("common"), F.coalesce(F.sum(F.when(graded, F.col("max_points"))), F.lit(0)).cast("long").alias("common_max"), F.coalesce(delta, F.lit(0)).cast("long").alias("delta"), F.when(F.bool_and(graded), delta).cast("long").alias("full_delta"))
-
-
 def suite(papers: DataFrame) -> DataFrame:
     """One row: totals, bounds, and a percentage only if every paper is complete.  papers: lower, upper, whole, pending."""
     done = F.bool_and(F.col("pending") == 0)

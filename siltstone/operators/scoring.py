@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -20,11 +20,15 @@ def medoid(samples: DataFrame) -> DataFrame:
 
     samples: item_id, pos, text; an item's samples are a handful of answers to one question.
     """
-    bags = samples.select("item_id", "pos", F.array_distinct(T.words(F.lower("text"))).alias("bag"))
-    other = bags.select("item_id", F.col("pos").alias("p"), F.col("bag").alias("b"))
-    pairs = bags.join(other, "item_id").where("pos <> p").groupBy("item_id", "pos").agg(F.round(F.sum(T.jaccard(F.col("bag"), F.col("b"))), 6).alias("s"))
-    summed = bags.select("item_id", "pos").join(pairs, ["item_id", "pos"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
-    best = summed.groupBy("item_id").agg(F.max_by(F.struct("pos", "s"), F.struct("s", (-F.col("pos")).alias("o"))).alias("b"))
+    bag = F.struct("pos", F.array_distinct(T.words(F.lower("text"))).alias("bag"))
+    items = samples.groupBy("item_id").agg(F.array_sort(F.collect_list(bag)).alias("bags"))
+
+    def nearness(mine: Column, all_: Column) -> Column:
+        others = F.filter(all_, lambda other: other["pos"] != mine["pos"])
+        return F.round(F.aggregate(others, F.lit(0.0), lambda sum_, other: sum_ + T.jaccard(mine["bag"], other["bag"])), 6)
+
+    scored = F.transform("bags", lambda mine: F.struct(nearness(mine, F.col("bags")).alias("s"), (-mine["pos"]).alias("o"), mine["pos"].alias("pos")))
+    best = items.select("item_id", F.array_max(scored).alias("b"))
     return best.select("item_id", "b.pos", F.col("b.s").alias("similarity"))
 
 
@@ -79,10 +83,13 @@ def submission_problems(answers: DataFrame, most_chars: int = 100_000, least_wor
     return answers.select("doc_id", reasons_of(rules).alias("problems")).where(F.size("problems") > 0)
 
 
-def blinded(packet: DataFrame, seed: str) -> DataFrame:
-    """ordinal, answer_id, text: for graders, in an order by hash, without runs' names."""
-    order = F.sha2(F.concat(F.lit(seed), "answer_id"), 256)
-    return packet.select("answer_id", "text", order.alias("o")).withColumn("ordinal", F.row_number().over(Window.orderBy("o"))).select("ordinal", "answer_id", "text")
+def blinded(packet: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
+    """For graders sort_key, answer_id, text, without runs' names; and the whole packet with the same key.
+
+    sort_key orders the packet by hash; a gapless number would need all rows in one order.
+    """
+    keyed = packet.withColumn("sort_key", F.sha2(F.concat(F.lit(seed), "answer_id"), 256))
+    return keyed.select("sort_key", "answer_id", "text"), keyed
 
 
 def shuffled(rows: DataFrame, seed: str, n: int, id_col: str = "doc_id") -> DataFrame:

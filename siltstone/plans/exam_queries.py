@@ -138,10 +138,10 @@ def non_essay_view(t):
     return rows.join(t("orders"), "o_orderkey", "left_semi").where("essays = 1")
 
 
-@query("""SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role FROM conversations WHERE role <> 'system') c ANTI JOIN (SELECT DISTINCT label AS k FROM embeddings) r ON c.turn = r.k""")
+@query("""SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role FROM conversations WHERE role <> 'system') c ANTI JOIN (SELECT DISTINCT label AS k FROM embeddings WHERE label < 1) r ON c.turn = r.k""")
 def unregistered_parts(t):
     used = t("conversations").where("role <> 'system'").withColumn("k", F.col("turn").cast("int"))
-    return G.orphans(used, t("embeddings").select(F.col("label").alias("k")), "k").select("conv_id", "turn", "role")
+    return G.orphans(used, t("embeddings").where("label < 1").select(F.col("label").alias("k")), "k").select("conv_id", "turn", "role")
 
 
 @query("""WITH b AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed, round(sum(value), 6) AS seconds, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (value > 95) AS over FROM events GROUP BY user_id)

@@ -55,17 +55,6 @@ def token_usage(t):
     return P.tokens_used(t("events"), "event_type", k, F.lit(1) + F.col("event_id") % 2)
 
 
-@query("""WITH a AS (SELECT event_id // 2 AS item_id, event_type, CASE WHEN event_id % 5 > 0 THEN floor(value)::BIGINT END AS points, 100 AS max_points FROM events WHERE event_id % 2 = 0),
-b AS (SELECT event_id // 2 AS item_id, CASE WHEN event_id % 7 > 0 THEN floor(value)::BIGINT END AS old FROM events WHERE event_id % 2 = 1)
-SELECT event_type, count(*) FILTER (points IS NOT NULL AND old IS NOT NULL) AS common, coalesce(sum(max_points) FILTER (points IS NOT NULL AND old IS NOT NULL), 0)::BIGINT AS common_max,
- coalesce(sum(points - old), 0)::BIGINT AS delta, CASE WHEN bool_and(points IS NOT NULL AND old IS NOT NULL) THEN sum(points - old) END::BIGINT AS full_delta FROM a LEFT JOIN b USING (item_id) GROUP BY event_type""")
-def paired_delta(t):
-    e = t("events").withColumn("item_id", F.expr("event_id div 2"))
-    now = e.where("event_id % 2 = 0").select("item_id", "event_type", F.when(F.col("event_id") % 5 > 0, F.floor("value").cast("long")).alias("points"), F.lit(100).alias("max_points"))
-    before = e.where("event_id % 2 = 1").select("item_id", F.when(F.col("event_id") % 7 > 0, F.floor("value").cast("long")).alias("points"))
-    return P.paired(now, before, "event_type")
-
-
 @query("SELECT count(*) AS tasks, count(*) FILTER (quality = 1) AS ready, coalesce(sum(quality), 0)::BIGINT AS points, count(*) FILTER (quality IS NULL) AS unknown FROM documents LEFT JOIN labels USING (doc_id)")
 def dataset_summary(t):
     rows = t("documents").join(t("labels"), "doc_id", "left")
@@ -103,7 +92,7 @@ def bag_equal(t):
 
 @query("SELECT doc_id FROM documents WHERE lang = 'en' EXCEPT SELECT doc_id FROM labels")
 def set_diff(t):
-    return t("documents").where("lang = 'en'").select("doc_id").exceptAll(t("labels").select("doc_id")).distinct()
+    return t("documents").where("lang = 'en'").select("doc_id").distinct().join(t("labels"), "doc_id", "left_anti")
 
 
 @query("SELECT doc_id FROM (SELECT doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id FROM documents WHERE n_chars > 1000) GROUP BY doc_id HAVING count(*) > 1")
@@ -123,12 +112,14 @@ def points_mismatch(t):
     return t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).where("l_quantity > p_size").select("l_orderkey", "l_linenumber", "p_size", "l_quantity")
 
 
-@query("SELECT 0::BIGINT AS bad WHERE false")
+@query("SELECT doc_id AS bad, CASE doc_id % 10 WHEN 0 THEN 'span' ELSE 'unrepresented' END AS rule FROM documents WHERE text <> '' AND doc_id % 10 < 2")
 def span_check(t):
+    """Of every tenth document the first passage is spoilt, of every tenth all passages are lost; all others must be found whole."""
     docs = t("documents")
-    cut = C.passages(docs)
-    bad = G.bad_spans(cut, docs).select(F.col("doc_id").alias("bad"))
-    return bad.unionByName(G.unrepresented(docs.where("text <> ''"), cut).select(F.col("doc_id").alias("bad")))
+    cut = C.passages(docs).where("doc_id % 10 <> 1")
+    cut = cut.withColumn("body", F.when((F.col("doc_id") % 10 == 0) & (F.col("ordinal") == 0), F.concat("body", F.lit("x"))).otherwise(F.col("body")))
+    bad = G.bad_spans(cut, docs).select(F.col("doc_id").alias("bad"), F.lit("span").alias("rule"))
+    return bad.unionByName(G.unrepresented(docs.where("text <> ''"), cut).select(F.col("doc_id").alias("bad"), F.lit("unrepresented").alias("rule")))
 
 
 @query("SELECT doc_id, quality, toxic FROM labels EXCEPT SELECT doc_id, quality, 0 FROM labels")
@@ -173,7 +164,7 @@ FROM documents d LEFT JOIN (SELECT DISTINCT trim(regexp_replace(lower(text), '\\
 def essay_route(t):
     from ..operators.quality import first_match
 
-    d = t("documents").withColumn("k", T.squeezed(F.col("text")))
+    d = t("documents").withColumn("k", F.sha2(T.squeezed(F.col("text")), 256))
     known = d.where("lang = 'en'").select("k").distinct().withColumn("reviewed", F.lit(True))
     rows = d.join(known, "k", "left")
     return rows.select("doc_id", first_match([("has_sources", F.col("source") == "src0"), ("unknown_minimum", F.col("n_chars") < 300), ("not_reviewed", F.col("reviewed").isNull())], "routed").alias("route"))

@@ -51,14 +51,14 @@ _LINES = "list_filter(list_transform(string_split_regex({0}, '\\r?\\n'), lambda
 
 @query(rf"""
 WITH a AS (SELECT doc_id, {_FORM} AS form, regexp_replace(coalesce({_ANSWER}, ''), '[*_`#]', '', 'g') AS bare FROM documents),
-l AS (SELECT *, {_LINES.format("form")} AS fl, string_split_regex(bare, '\r?\n') AS al, regexp_extract_all(bare, '\b([PF])\b', 1) AS alone FROM a),
+l AS (SELECT *, {_LINES.format("form")} AS fl, string_split_regex(bare, '\r?\n') AS al, regexp_extract_all(regexp_replace(bare, '[À-ɏ]', 'w', 'g'), '\b([PF])\b', 1) AS alone FROM a),
 g AS (SELECT *, list_transform(fl, lambda x: regexp_extract(x, '{C.FORMAT_LINE}', 1)) AS labels, list_transform(fl, lambda x: regexp_extract(x, '{C.FORMAT_LINE}', 2)) AS vals,
         len(fl) > 0 AND len(list_filter(fl, lambda x: NOT regexp_matches(x, '{C.FORMAT_LINE}'))) = 0 AS labelled FROM l),
 m AS (SELECT *, len(list_filter(vals, lambda v: v NOT IN ('P', 'F'))) = 0 AS two, list_filter(al, lambda x: regexp_matches(x, '{C.ANSWER_LINE}') AND list_contains(labels, regexp_extract(x, '{C.ANSWER_LINE}', 1))) AS mine FROM g),
 v AS (SELECT *, list_transform(labels, lambda k, i: CASE WHEN len(mine) > 0 THEN regexp_extract(list_filter(mine, lambda x: regexp_extract(x, '{C.ANSWER_LINE}', 1) = k)[1], '{C.ANSWER_LINE}', 2) END) AS raw FROM m),
 c AS (SELECT *, list_transform(raw, lambda r, i: labels[i] || ': ' || coalesce(CASE WHEN len(mine) = 0 THEN CASE WHEN two THEN alone[i] END WHEN NOT two THEN string_split_regex(r, '[\s,;.]')[1]
         WHEN regexp_matches(r, '(?i)^(p|prawda)') THEN 'P' WHEN regexp_matches(r, '(?i)^(f|fałsz)') THEN 'F' ELSE upper(left(r, 1)) END, '?')) AS out FROM v)
-SELECT doc_id, CASE WHEN labelled THEN array_to_string(out, chr(10)) WHEN regexp_full_match(trim(form), '[A-F]') THEN CASE WHEN regexp_matches(bare, '\b[A-F]\b') THEN regexp_extract(bare, '\b([A-F])\b', 1) ELSE left(trim(bare), 1) END ELSE trim(bare) END AS answer,
+SELECT doc_id, CASE WHEN labelled THEN array_to_string(out, chr(10)) WHEN regexp_full_match(trim(form), '[A-F]') THEN CASE WHEN regexp_matches(regexp_replace(bare, '[À-ɏ]', 'w', 'g'), '\b[A-F]\b') THEN regexp_extract(regexp_replace(bare, '[À-ɏ]', 'w', 'g'), '\b([A-F])\b', 1) ELSE left(trim(bare), 1) END ELSE trim(bare) END AS answer,
   CASE WHEN labelled THEN array_to_string(list_transform(vals, lambda x, i: labels[i] || ': ' || CASE WHEN x IN ('P', 'F') THEN 'P/F' WHEN regexp_full_match(x, '[A-Z]') THEN 'letter' WHEN regexp_full_match(x, '[0-9]+') THEN 'number' ELSE x END), chr(10)) WHEN regexp_full_match(trim(form), '[A-F]') THEN 'letter' ELSE form END AS neutral
 FROM c""")
 def closed_coerce(t):
@@ -126,10 +126,10 @@ def submission_problems(t):
 
 
 @query("""WITH a AS (SELECT left(sha256(trim(text)), 16) AS answer_id, min(text) AS text FROM documents GROUP BY 1)
-SELECT row_number() OVER (ORDER BY sha256('blind' || answer_id))::INT AS ordinal, answer_id, text FROM a""")
+SELECT sha256('blind' || answer_id) AS sort_key, answer_id, text FROM a""")
 def blinded_packet(t):
     packet = t("documents").groupBy(T.short_id(F.trim("text")).alias("answer_id")).agg(F.min("text").alias("text"))
-    return S.blinded(packet, "blind")
+    return S.blinded(packet, "blind")[0]
 
 
 @query("""SELECT conv_id, count(*)::INT AS n_turns, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id""")
