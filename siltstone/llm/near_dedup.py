@@ -440,9 +440,12 @@ def classes_by_key(docs: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFra
     several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     open_ = cut(members.join(several, "bucket", "left_semi").select("key").distinct(), "near-open")
     posted = _postings(features.join(open_, "key", "left_semi"), idf)
+    kept = posted.columns
     for turn in range(TURNS):
         # At each shingle one node of each component meets up to MET nodes of the largest one there.
-        mine = cut(_of_several(posted, labels).withColumn("o", F.xxhash64("key", "shingle", F.lit(turn))), "near-mine")
+        # What one component alone has stays so, for components only grow together: the next round needs no more than this one's rows.
+        mine = cut(_of_several(posted.select(*kept), labels).withColumn("o", F.xxhash64("key", "shingle", F.lit(turn))), "near-mine", posted)
+        posted = mine
         node = F.struct("o", "key", "weight", "rest")
         one = mine.groupBy("shingle", "label").agg(F.min(node).alias("it"), F.max("size").alias("size"))
         largest = cut(one.groupBy("shingle").agg(F.max_by("label", F.struct("size", "label")).alias("label")), "near-largest")
@@ -455,7 +458,7 @@ def classes_by_key(docs: DataFrame, idf: np.ndarray) -> tuple[DataFrame, DataFra
         if not found.isEmpty():
             labels = merged(labels, found)
     # All pairs of nodes that are still in two components.
-    mine = cut(_of_several(posted, labels), "near-several")
+    mine = cut(_of_several(posted.select(*kept), labels).drop("size"), "near-several", posted)
     node = F.struct("weight", "key", "rest", "label")
     light = mine.where("inner").select("shingle", node.alias("x"))
     heavy = mine.select("shingle", node.alias("y"))
