@@ -75,6 +75,7 @@ class PaneStream:
         self.session = spark.newSession()
         for name, value in {
             "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+            "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # each start is a run of its own, whose stores would else stay on executors' disks
             "spark.sql.streaming.noDataMicroBatches.enabled": "false",
             "spark.sql.shuffle.partitions": str(min(STATE_PARTITIONS, partitions(spark))),
         }.items():
