@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, exact_dedup, fair_mix, hilbert_shards, near_dedup, pane_revisions, quality, token_store, toxicity, url_graph, vector_search
+from . import bpe_automaton, exact_dedup, fair_mix, fair_packing, hilbert_shards, importance_draw, near_dedup, pane_revisions, quality, token_store, toxicity, url_graph, vector_search
 from .common import table
 
 
@@ -50,10 +50,18 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_fair_packing(spark, sf_dir):
+    return fair_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op12_pane_revisions(spark, sf_dir):
     return pane_revisions.revisions(table(spark, sf_dir, "clicks"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fair_mix, op2_url_graph, op3_token_store, op4_hilbert_shards, op5_toxicity, op6_bpe_automaton, op7_vector_search, op8_near_dedup, op9_quality, op10_exact_dedup, op12_pane_revisions)}
+def op13_importance_draw(spark, sf_dir):
+    return importance_draw.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fair_mix, op2_url_graph, op3_token_store, op4_hilbert_shards, op5_toxicity, op6_bpe_automaton, op7_vector_search, op8_near_dedup, op9_quality, op10_exact_dedup, op11_fair_packing, op12_pane_revisions, op13_importance_draw)}
 
-ORACLES = {"op1_fair_mix": fair_mix.SQL, "op2_url_graph": url_graph.SQL, "op4_hilbert_shards": hilbert_shards.SQL, "op10_exact_dedup": exact_dedup.SQL, "op12_pane_revisions": pane_revisions.SQL}
+ORACLES = {"op1_fair_mix": fair_mix.SQL, "op2_url_graph": url_graph.SQL, "op4_hilbert_shards": hilbert_shards.SQL, "op10_exact_dedup": exact_dedup.SQL, "op12_pane_revisions": pane_revisions.SQL, "op13_importance_draw": importance_draw.SQL}
