@@ -2,8 +2,9 @@
 
 Rows arrive in batches.  A pane is a kind and an hour of event time; its totals are the state of a
 streaming aggregation over a RocksDB store, and the watermark forgets panes that are closed.  After
-each batch the state store's snapshots before and after it are read and differenced: a pane whose
-totals changed after it was emitted gives a `retract` of the old and a `replace` by the new totals.
+each batch the state store's snapshot is read, written as a table, and differenced with that of the
+batch before: a pane whose totals changed after it was emitted gives a `retract` of the old and a
+`replace` by the new totals.
 What was emitted, and in which batch, is in a table of its own (lifecycle), a folder for each batch.
 Rows of closed panes are written as `late`, one by one, and never reach the state.
 
@@ -21,10 +22,12 @@ kind `none`, with those that are called so; an empty table gives no records; oth
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, partitions
+from .common import new_path, partitions
 from .sql_pieces import crc32, crc_table
 
 BATCHES = 10
@@ -36,6 +39,7 @@ STATE_PARTITIONS = 16
 SHIFT_HOURS = 12_000 * 8_766
 RECORDS = "batch long, hour long, click_id long, n_rows long, cents long, record string, kind string"
 LIFECYCLE = "hour long, kind string, batch long"
+PANES = "hour long, kind string, n_rows long, cents long"
 
 
 def micros(ts: Column) -> Column:
@@ -83,15 +87,15 @@ class PaneStream:
 
     def advance(self, rows: DataFrame, last: bool = False) -> None:
         """rows of this batch: click_id, kind, cents, at, hour.  Writes its records."""
-        at = f"{self.root}/feed"
-        rows.select("kind", "cents", "at").write.mode("append").parquet(at)
-        before = self._snapshot()
-        self._run(at)
-        records = self._records(before, self._snapshot(), last).unionByName(self._late(rows))
+        feed, seen = f"{self.root}/feed", Observation()
+        rows.select("kind", "cents", "at").observe(seen, F.max("at").alias("top")).write.mode("append").parquet(feed)
+        self._run(feed)
+        self._snapshot().write.mode("overwrite").parquet(self._state_at(self.turn))
+        records = self._records(last).unionByName(self._late(rows))
         records = records.select(F.lit(self.turn).cast("long").alias("batch"), *[c.split()[0] for c in RECORDS.split(", ")[1:]])
         records.write.mode("overwrite").parquet(f"{self.root}/records/of={self.turn}")
         self.records(self.turn).where("record = 'emit'").select("hour", "kind", "batch").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/lifecycle/of={self.turn}")
-        top = rows.agg(F.max("at")).first()[0]
+        top = seen.get["top"]
         self.mark = top if self.mark is None else self.mark if top is None else max(self.mark, top)
         self.turn += 1
 
@@ -125,25 +129,33 @@ class PaneStream:
         fs = where.getFileSystem(self.session.sparkContext._jsc.hadoopConfiguration())
         done = [int(n) for n in (f.getPath().getName() for f in fs.listStatus(where)) if n.isdigit()] if fs.exists(where) else []
         if not done:
-            return self.session.createDataFrame([], "hour long, kind string, n_rows long, cents long")
+            return self.session.createDataFrame([], PANES)
         state = self.session.read.format("statestore").option("batchId", max(done)).load(self._checkpoint)
         hour = F.expr(f"unix_micros(key.window.start) div {HOUR} - {SHIFT_HOURS}")
         return state.select(hour.alias("hour"), F.col("key.kind").alias("kind"), F.col("value.count").alias("n_rows"), F.col("value.sum").alias("cents"))
 
-    def _lifecycle(self) -> DataFrame:
-        if not self.turn:
-            return self.session.createDataFrame([], LIFECYCLE)
-        return self.session.read.schema(LIFECYCLE).parquet(*[f"{self.root}/lifecycle/of={t}" for t in range(self.turn)])
-
-    def _records(self, before: DataFrame, after: DataFrame, last: bool) -> DataFrame:
-        panes = before.select("hour", "kind", F.struct("n_rows", "cents").alias("old")).join(after.select("hour", "kind", F.struct("n_rows", "cents").alias("new")), ["hour", "kind"], "full")
-        panes = panes.join(self._lifecycle().withColumnRenamed("batch", "emitted"), ["hour", "kind"], "left")
+    def _state_at(self, turn: int) -> str:
+        return f"{self.root}/panes/of={turn}"
+
+    def _records(self, last: bool) -> DataFrame:
+        """The snapshots before and after this batch, and what was emitted, meet by pane in one aggregation."""
+        read, turns = self.session.read, range(self.turn)
+        names = {"old_rows": None, "old_cents": None, "new_rows": None, "new_cents": None, "emitted": None}
+        part = lambda df, **has: df.select("hour", "kind", *[(F.col(has[n]) if n in has else F.lit(None)).cast("long").alias(n) for n in names])
+        parts = [part(read.schema(PANES).parquet(self._state_at(self.turn)), new_rows="n_rows", new_cents="cents")]
+        if turns:
+            parts.append(part(read.schema(PANES).parquet(self._state_at(self.turn - 1)), old_rows="n_rows", old_cents="cents"))
+            parts.append(part(read.schema(LIFECYCLE).parquet(*[f"{self.root}/lifecycle/of={t}" for t in turns]), emitted="batch"))
+        panes = reduce(DataFrame.union, parts).groupBy("hour", "kind").agg(*[F.max(n).alias(n) for n in names])
+        old, new = (F.struct(F.col(f"{w}_rows").alias("n_rows"), F.col(f"{w}_cents").alias("cents")) for w in ("old", "new"))
+        total = F.when(F.col("new_rows").isNotNull(), new).otherwise(old)
+        held = F.coalesce("new_rows", "old_rows").isNotNull()  # else it is closed and forgotten
         due, out = _reached(DUE_HOURS, self.mark), F.col("emitted").isNotNull()
-        changed = out & F.col("new").isNotNull() & ~F.col("new").eqNullSafe(F.col("old"))
-        said = [(~out & due, "emit", F.coalesce("new", "old")), (changed, "retract", F.col("old")), (changed, "replace", F.col("new"))]
+        changed = out & (F.col("new_rows") > F.col("old_rows"))  # totals change with rows only
+        said = [(held & ~out & due, "emit", total), (changed, "retract", old), (changed, "replace", new)]
         if last:
-            said.append((~out & ~due, "final", F.coalesce("new", "old")))
-        rows = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(record).alias("record"), total.alias("total"))) for cond, record, total in said]))
+            said.append((held & ~out & ~due, "final", total))
+        rows = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(record).alias("record"), of.alias("total"))) for cond, record, of in said]))
         rows = panes.select("hour", "kind", F.explode(rows).alias("r"))
         return rows.select("hour", F.lit(-1).cast("long").alias("click_id"), "r.total.n_rows", "r.total.cents", "r.record", "kind")
 
