@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, pieces, small
-from .token_store import encoder
+from .rank_encoder import encoder
 
 LENGTH, END_ID = 2048, 1
 
