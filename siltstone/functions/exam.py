@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# How papers head their tasks and number their topics.
 HEADING = r"(?m)^Zadanie ([0-9]+(?:\.[0-9]+)*)\.?(?: \(0[–-]([0-9]+)\))?"
 NUMBERED = r"(?m)^([0-9]+)\. (.+)$"
 LETTERED = r"(?m)^([A-Z])\) (.+)$"
@@ -23,9 +24,41 @@ def topics(text: Column) -> Column:
     return F.when(F.size(numbered) > 0, numbered).otherwise(F.regexp_extract_all(text, F.lit(LETTERED), 2))
 
 
-def subject(sentence: Column, predicates: tuple[str, ...]) -> Column:
+# With what the instruction behind a thesis begins, the verbs that end its subject, and how a task names aspects.
+INSTRUCTIONS = ("Zajmij", "Oceń", "Rozstrzygnij", "Porównaj", "Uzasadnij", "Scharakteryzuj", "Przedstaw", "Wyjaśnij", "W swojej")
+PREDICATES = (
+    "był", "była", "było", "byli", "były", "jest", "są", "okazała", "okazał", "okazały", "okazało", "przyniosła", "przyniósł", "przyniosły",
+    "osiągnęła", "osiągnął", "zawdzięczała", "zawdzięczał", "dominowały", "dominował", "miały", "miał", "miała", "miało", "stanowiła", "stanowił", "stanowiły",
+    "przyczyniły", "przyczynił", "przyczyniła", "doprowadziła", "doprowadził", "doprowadziły", "zakończyła", "zakończył", "wpłynęła", "wpłynął", "wpłynęły",
+    "odegrała", "odegrał", "odegrały", "umożliwiła", "umożliwił", "zapewniała", "zapewniał", "objął", "objęła", "wynikał", "wynikała", "wynikały",
+)
+ASPECTS = r"aspekt[\p{L}\p{N}_]*:?\s+((?:[\p{L}\p{N}_-]+(?:,\s*|\s+i\s+|\s+oraz\s+)?){1,4})"
+_LETTER = r"[\p{L}\p{N}_]"
+
+
+def _word(words: tuple[str, ...]) -> str:
+    return rf"(?iu)(?<!{_LETTER})(?:" + "|".join(words) + rf")(?!{_LETTER})"
+
+
+def thesis(topic: Column, instructions: tuple[str, ...] = INSTRUCTIONS) -> Column:
+    """The topic up to the sentence that says what to do with it."""
+    return F.element_at(F.split(topic, r"\.\s+(?=" + "|".join(instructions) + ")", 2), 1)
+
+
+def subject(sentence: Column, predicates: tuple[str, ...] = PREDICATES) -> Column:
     """What stands before the first predicate; the whole sentence if it has none."""
-    return F.trim(F.regexp_extract(sentence, r"(?i)^(.*?)(?:\s(?:" + "|".join(predicates) + r")\s.*)?$", 1))
+    return F.trim(F.element_at(F.split(sentence, _word(predicates), 2), 1))
+
+
+def names(sentence: Column) -> Column:
+    """Capitalised words of two and more characters that don't begin the text or a sentence."""
+    inner = F.regexp_replace(sentence, rf"(^|[.!?]\s)\p{{Lu}}{_LETTER}*", "$1")
+    return F.regexp_extract_all(inner, F.lit(rf"(?:^|(?<!{_LETTER}))(\p{{Lu}}[\p{{L}}\p{{N}}_-]+)"), 1)
+
+
+def aspects(topic: Column) -> Column:
+    """What a topic lists behind the word for aspects, in lower case."""
+    return F.regexp_extract_all(F.lower(topic), F.lit(ASPECTS), 1)
 
 
 def example_format(labels: Column, values: tuple[str, ...] = ("P", "F")) -> Column:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks, and the letters without them.
-MARKED = "àáâãäåāăąçćčďèéêëēęěìíîïłñńňòóôõöøőřśšťùúûüůűýÿźżž"
-PLAIN = "aaaaaaaaacccdeeeeeeeiiiilnnnooooooorsstuuuuuuyyzzz"
+from .fold import casefolded, composed, folded
+
 # Words that say nothing about a topic, after cutting to stems.
 STOP = ("the", "and", "that", "with", "for", "from", "this", "was", "are", "les", "des", "und", "der", "die", "das", "los", "las", "que", "pour", "dans")
 #: Prefixes of words that belong to the exercise and not to its topic.
@@ -16,19 +15,18 @@ STEM = 5
 
 
 def plain(text: Column) -> Column:
-    """Lower case without marks; punctuation stays."""
-    return F.translate(F.lower(text), MARKED, PLAIN)
+    """Lower case without marks and compatibility forms; punctuation stays."""
+    return folded(text, casefold=False)
 
 
 def key(text: Column) -> Column:
-    """For comparison by words: no marks, no punctuation, single spaces."""
-    bare = F.regexp_replace(plain(text), r"\p{M}+", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+    """For comparison by words: no case, marks or punctuation, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(folded(text), r"[^\p{L}\p{N}_\s]", " "), r"[\s\p{Z}]+", " "))
 
 
 def squeezed(text: Column) -> Column:
-    """Lower case with single spaces; punctuation, marks and negations stay."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """Composed characters without case, with single spaces; punctuation, marks and negations stay."""
+    return F.trim(F.regexp_replace(composed(casefolded(composed(text))), r"[\s\p{Z}]+", " "))
 
 
 def compact(text: Column) -> Column:
@@ -172,3 +170,9 @@ def digest(*parts: Column) -> Column:
 
 def short_id(text: Column) -> Column:
     return F.left(F.sha2(text, 256), F.lit(16))
+
+
+def parsed_json(text: Column) -> Column:
+    """A JSON text as a variant; null for what is no JSON, or is followed by anything but white space."""
+    both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]"))), "$", "array<variant>")
+    return F.when(F.size(both) == 2, F.get(both, 0))

@@ -5,15 +5,15 @@ Cuts that depend on the one before are an ordered fold; they run per document in
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .html import cut_at
+
 LIMIT = 1300
 SEPARATOR = 3
+LINK = r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
 def _placed(text: Column) -> Column:
@@ -46,10 +46,22 @@ def page_offsets(turns: DataFrame, separator: int = SEPARATOR) -> DataFrame:
 
 
 def occurrence_ids(docs: DataFrame) -> DataFrame:
-    """A line's ordinal among its repeats, as `line~n` only where it is repeated."""
-    same = Window.partitionBy("doc_id", "line")
-    rows = lines(docs).where("line <> ''").withColumn("n", F.row_number().over(same.orderBy("pos"))).withColumn("of", F.count("*").over(same))
-    return rows.select("doc_id", "pos", F.when(F.col("of") > 1, F.concat("line", F.lit("~"), F.col("n").cast("string"))).otherwise(F.col("line")).alias("line_id"))
+    """A line's ordinal among its repeats, as `line~n` only where it is repeated.
+
+    All is found within the row: lines sorted with their places lie beside their repeats, so a running
+    count over the sorted lines is the ordinal, and the same count from behind tells whether it is alone.
+    """
+    held = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("pos"))), lambda x: x["line"] != "")
+    empty = F.struct(F.array().cast("array<struct<pos:int,line:string,n:int>>").alias("out"), F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"))
+
+    def add(acc: Column, x: Column) -> Column:
+        n = F.when(acc["last"] == x["line"], acc["n"] + 1).otherwise(1)
+        return F.struct(F.concat(acc["out"], F.array(F.struct(x["pos"].alias("pos"), x["line"].alias("line"), n.alias("n")))).alias("out"), x["line"].alias("last"), n.alias("n"))
+
+    counted = docs.select("doc_id", F.aggregate(F.array_sort(held), empty, add, lambda acc: acc["out"]).alias("c"))
+    rows = counted.select("doc_id", F.explode(F.transform("c", lambda x, i: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), x["n"].alias("n"), (F.get("c", i + 1)["line"] == x["line"]).alias("more")))).alias("x"))
+    repeated = (F.col("x.n") > 1) | F.coalesce("x.more", F.lit(False))
+    return rows.select("doc_id", "x.pos", F.when(repeated, F.concat("x.line", F.lit("~"), F.col("x.n").cast("string"))).otherwise(F.col("x.line")).alias("line_id"))
 
 
 def filled_sections(docs: DataFrame, short: int = 40) -> DataFrame:
@@ -77,13 +89,12 @@ def rotations(items: DataFrame) -> DataFrame:
 def spans(text: str, limit: int = LIMIT) -> list[tuple[int, int]]:
     """Half-open spans of at most `limit` characters that cover the text.
 
-    A cut is after the last sentence end beyond the middle of the window, or else after its last space, or else hard.
+    A cut is after the last sentence end and its white space, if that lies beyond the middle of the
+    window, or else before its last space, or else hard.
     """
     out, at = [], 0
     while len(text) - at > limit:
-        window = text[at : at + limit]
-        ends = [m.end() for m in re.finditer(r"[.!?](?=\s)", window) if m.end() > limit // 2]
-        step = ends[-1] if ends else window.rfind(" ") + 1 or limit
+        step = cut_at(text[at : at + limit], limit)
         out.append((at, at + step))
         at += step
     if at < len(text):
@@ -91,19 +102,6 @@ def spans(text: str, limit: int = LIMIT) -> list[tuple[int, int]]:
     return out
 
 
-def packed(lengths: list[int], sections: list, limit: int = LIMIT) -> list[tuple[int, int]]:
-    """Runs of paragraphs, as half-open index ranges: greedy up to the limit, never over a change of section."""
-    out, start, total = [], 0, 0
-    for i, n in enumerate(lengths):
-        if i > start and (total + n > limit or sections[i] != sections[start]):
-            out.append((start, i))
-            start, total = i, 0
-        total += n
-    if lengths:
-        out.append((start, len(lengths)))
-    return out
-
-
 def skipped(levels: list[int], dropped: list[bool]) -> list[bool]:
     """Whether each head is skipped: a dropped head skips deeper ones, until one at its level or above."""
     out, under = [], None
@@ -136,99 +134,7 @@ def passages(docs: DataFrame, limit: int = LIMIT, least: int = 0) -> DataFrame:
     return cut.select("doc_id", "ordinal", "start", "end", "body", name.alias("passage_id"))
 
 
-class _Blocks(HTMLParser):
-    """Headings, paragraphs, list items and table rows, in order; scripts, styles, navigation and forms left out."""
-
-    KINDS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "title"}
-    HIDDEN = {"script", "style", "nav", "form"}
-    CELLS = {"td", "th"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out: list[tuple[str, str]] = []
-        self.kind, self.text, self.hidden, self.links = None, [], 0, 0
-
-    def flush(self):
-        text = " ".join("".join(self.text).split()).strip(" |")
-        linked = self.links and self.links >= len(text.replace(" ", ""))
-        if self.kind and text and not (self.kind == "p" and linked):
-            self.out.append((self.kind, text))
-        self.kind, self.text, self.links = None, [], 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.HIDDEN:
-            self.hidden += 1
-        elif tag in self.KINDS and not self.hidden:
-            self.flush()
-            self.kind, self.inside = tag, False
-        elif tag == "br":
-            self.text.append(" ")
-        elif tag == "a":
-            self.inside = True
-
-    def handle_endtag(self, tag):
-        if tag in self.HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in self.KINDS:
-            self.flush()
-        elif tag in self.CELLS:
-            self.text.append(" | ")
-        elif tag == "a":
-            self.inside = False
-
-    inside = False
-
-    def handle_data(self, data):
-        if not self.hidden and self.kind:
-            self.text.append(data)
-            if self.inside:
-                self.links += len("".join(data.split()))
-
-
-def html_blocks(pages: DataFrame) -> DataFrame:
-    """page_id, pos, kind, text."""
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
-                parser = _Blocks()
-                parser.feed(html or "")
-                parser.close()
-                parser.flush()
-                rows += [(page_id, i, kind, text) for i, (kind, text) in enumerate(parser.out)]
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()))], ["page_id", "pos", "kind", "text"])
-
-    return pages.select("page_id", "html").mapInArrow(run, "page_id long, pos int, kind string, text string")
-
-
 def page_links(pages: DataFrame) -> DataFrame:
-    """page_id, link: distinct link targets, for a crawl's next round."""
-    found = F.regexp_extract_all("html", F.lit("href=\"([^\"]*)\""), 1)
-    return pages.select("page_id", F.explode(F.array_distinct(found)).alias("link"))
-
-
-def section_passages(pages: DataFrame, limit: int = LIMIT, drop=("references", "see also", "bibliography")) -> DataFrame:
-    """page_id, ordinal, section, text: blocks packed up to the limit within sections; dropped heads take what is below them along."""
-    blocks = html_blocks(pages)
-    grouped = blocks.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "text"))).alias("blocks"))
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for page_id, items in zip(batch.column("page_id").to_pylist(), batch.column("blocks").to_pylist()):
-                heads = [b for b in items if re.fullmatch("h[1-6]", b["kind"])]
-                gone = skipped([int(h["kind"][1]) for h in heads], [h["text"].lower() in drop for h in heads])
-                off = {h["pos"] for h, g in zip(heads, gone) if g}
-                section, hidden, kept = None, False, []
-                for b in items:
-                    if re.fullmatch("h[1-6]", b["kind"]):
-                        section, hidden = b["text"], b["pos"] in off
-                    elif not hidden and b["kind"] != "title":
-                        kept.append((section, b["text"]))
-                for i, (a, z) in enumerate(packed([len(t) for _, t in kept], [s for s, _ in kept], limit)):
-                    rows.append((page_id, i, kept[a][0], "\n".join(t for _, t in kept[a:z])))
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()))], ["page_id", "ordinal", "section", "text"])
-
-    return grouped.mapInArrow(run, "page_id long, ordinal int, section string, text string")
+    """page_id, link: distinct link targets, quoted either way or not at all, for a crawl's next round."""
+    found = F.regexp_extract_all("html", F.lit(LINK), 1)
+    return pages.select("page_id", F.explode(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, "^[\"']|[\"']$", "")))).alias("link"))

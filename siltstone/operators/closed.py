@@ -14,9 +14,14 @@ VOTE_LINE = r"^([0-9A-Za-z]{1,3})\s*[:.)]\s*(.+)$"
 KEY_LINE = r"^\s*([0-9A-Za-z]{1,3})\s*:\s*(\S+)"
 
 
+def _bare(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def filled_lines(text: Column) -> Column:
     """Trimmed lines that aren't empty."""
-    return F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: _bare(x)), lambda x: x != "")
 
 
 def _labelled(lines: Column, pattern: str) -> Column:
@@ -53,8 +58,8 @@ def coerced(answer: Column, form: Column) -> Column:
 
     labelled = (F.size(asked) > 0) & F.forall(asked, lambda x: x.rlike(FORMAT_LINE))
     letter = F.regexp_extract(bare, r"\b([A-F])\b", 1)
-    single = F.when(letter != "", letter).otherwise(F.left(F.trim(bare), F.lit(1)))
-    return F.when(labelled, T.bound(_labelled(asked, FORMAT_LINE), by_label)).when(F.trim(form).rlike("^[A-F]$"), single).otherwise(F.trim(bare))
+    single = F.when(letter != "", letter).otherwise(F.left(_bare(bare), F.lit(1)))
+    return F.when(labelled, T.bound(_labelled(asked, FORMAT_LINE), by_label)).when(_bare(form).rlike("^[A-F]$"), single).otherwise(_bare(bare))
 
 
 def neutral(form: Column) -> Column:
@@ -65,8 +70,8 @@ def neutral(form: Column) -> Column:
     def kind(v: Column) -> Column:
         return F.when(v.isin("P", "F"), "P/F").when(v.rlike("^[A-Z]$"), "letter").when(v.rlike("^[0-9]+$"), "number").otherwise(v)
 
-    lines = F.transform(_labelled(asked, FORMAT_LINE), lambda s: F.concat(s["label"], F.lit(": "), kind(F.trim(s["value"]))))
-    return F.when(labelled, F.array_join(lines, "\n")).when(F.trim(form).rlike("^[A-F]$"), "letter").otherwise(form)
+    lines = F.transform(_labelled(asked, FORMAT_LINE), lambda s: F.concat(s["label"], F.lit(": "), kind(_bare(s["value"]))))
+    return F.when(labelled, F.array_join(lines, "\n")).when(_bare(form).rlike("^[A-F]$"), "letter").otherwise(form)
 
 
 def voted(answers: DataFrame) -> DataFrame:
@@ -75,9 +80,9 @@ def voted(answers: DataFrame) -> DataFrame:
     answers: item_id, pos, answer.  An answer counts by line if all its lines are labelled.  Of equals
     the one seen first wins; labels keep the order in which they were first seen.
     """
-    rows = answers.select("item_id", "pos", F.trim("answer").alias("whole"), filled_lines(F.col("answer")).alias("lines"))
+    rows = answers.select("item_id", "pos", _bare(F.col("answer")).alias("whole"), filled_lines(F.col("answer")).alias("lines"))
     rows = rows.withColumn("by_line", (F.size("lines") > 0) & F.forall("lines", lambda x: x.rlike(VOTE_LINE)))
-    lines = F.transform(_labelled(F.col("lines"), VOTE_LINE), lambda s, i: F.struct(s["label"].alias("label"), F.trim(s["value"]).alias("value"), i.alias("i")))
+    lines = F.transform(_labelled(F.col("lines"), VOTE_LINE), lambda s, i: F.struct(s["label"].alias("label"), _bare(s["value"]).alias("value"), i.alias("i")))
     whole = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.col("whole").alias("value"), F.lit(0).alias("i")))
     votes = rows.select("item_id", "pos", F.explode(F.when(F.col("by_line"), lines).otherwise(whole)).alias("v"))
     votes = votes.select("item_id", F.col("v.label").alias("label"), F.col("v.value").alias("value"), F.struct("pos", F.col("v.i").alias("i")).alias("at"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -168,9 +169,10 @@ def _article_spans(text: str, title: str, limit: int, skip: frozenset[str], lead
     """section, start, end of each part of each paragraph, but for heads, the title, and sections to skip with all below them."""
     from .chunking import spans
 
-    section, skip_above, at = lead, None, 0
-    for block in text.split("\n\n"):
-        start, at = at, at + len(block) + 2
+    section, skip_above = lead, None
+    blank = [m.span() for m in re.finditer(r"\n\s*\n", text)]
+    for start, stop in zip([0, *(b for _, b in blank)], [*(a for a, _ in blank), len(text)]):
+        block = text[start:stop]
         body = block.strip()
         marks = len(body) - len(body.lstrip("="))
         if 2 <= marks <= 6 and "\n" not in body and body.endswith("=" * marks) and len(body) > 2 * marks:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .gates import together, violation
+from .gates import duplicates, together, violation
 from .retrieval import bank_scores, bm25, dense, dot, tfidf
 
 ROLES = ("query", "document")
@@ -67,7 +67,7 @@ def embedded(texts: DataFrame, embedder: Embedder, role: str, batch: int = 64) -
 
 
 def index_problems(index: DataFrame, texts: DataFrame, identity: str, size: int) -> DataFrame:
-    """rule, entity_id, detail: an index must hold just the texts, unchanged, as unit vectors of one size from one embedder."""
+    """rule, entity_id, detail: an index must hold just the texts, once each, unchanged, as unit vectors of one size from one embedder."""
     c = F.col
     both = index.join(texts.select("doc_id", F.sha2("text", 256).alias("_sha")), "doc_id", "full_outer")
     there = c("vector").isNotNull()
@@ -79,7 +79,8 @@ def index_problems(index: DataFrame, texts: DataFrame, identity: str, size: int)
         "size": there & (F.size("vector") != size),
         "not_unit": there & ~F.coalesce(F.abs(dot(c("vector"), c("vector")) - 1) <= 1e-6, F.lit(False)),
     }
-    return together(*[violation(both.where(rule), name, c("doc_id"), c("embedder")) for name, rule in rules.items()])
+    again = violation(duplicates(index, "doc_id"), "indexed_twice", c("doc_id"), c("n"))
+    return together(*[violation(both.where(rule), name, c("doc_id"), c("embedder")) for name, rule in rules.items()], again)
 
 
 # Ways to answer by retrieval: a table of functions that nothing changes at run time.

@@ -15,3 +15,18 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS, bound: DataFrame | None = N
     bound: a table with as many rows as df at least, that is cheaper to count.
     """
     return F.broadcast(df) if (df if bound is None else bound).limit(most + 1).count() <= most else df
+
+
+def overlap_join(left: DataFrame, right: DataFrame, low: str, high: str, start: str, end: str, slack: int = 0, width: int = 64) -> DataFrame:
+    """Pairs of rows whose closed intervals of integers, [low, high] and [start, end], overlap within the slack.
+
+    Each interval, the right one widened by the slack, is dealt to the cells of `width` that it touches;
+    cells are joined on their number, the intervals are held against each other exactly, and a pair is
+    taken in the first cell that both touch, so that none is doubled and no distinct is needed.
+    Rows with a null bound, or whose bounds are the wrong way round, overlap with nothing.
+    """
+    cell = lambda c, by: F.floor((c + by) / F.lit(width)).cast("long")
+    a = left.where(F.col(low) <= F.col(high)).withColumn("_from", cell(F.col(low), 0)).withColumn("_cell", F.explode(F.sequence("_from", cell(F.col(high), 0))))
+    b = right.where(F.col(start) <= F.col(end)).withColumn("_begin", cell(F.col(start), -slack)).withColumn("_cell", F.explode(F.sequence("_begin", cell(F.col(end), slack))))
+    both = a.join(b, "_cell").where((F.col(low) <= F.col(end) + slack) & (F.col(high) >= F.col(start) - slack) & (F.col("_cell") == F.greatest("_from", "_begin")))
+    return both.drop("_cell", "_from", "_begin")

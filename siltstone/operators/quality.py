@@ -60,13 +60,16 @@ def accepted_once(entries: DataFrame, valid: Column, key: str, order: str) -> Da
     return entries.where(valid).withColumn("_n", rank).where("_n = 1").drop("_n")
 
 
-def exclusions(record_start, record_end, query_start, query_end, record_entities, query_entities, record_aspects, query_aspects, n_words, least_words) -> Column:
+def exclusions(record_start, record_end, query_start, query_end, record_entities, query_entities, record_aspects, query_aspects, n_words, least_words, record_intent=None, query_intent=None) -> Column:
     """Why a stored text can't answer a query.  What a record doesn't state isn't satisfied."""
     def missing(wanted, there):
         return F.size(F.array_except(F.transform(wanted, T.key), F.transform(F.coalesce(there, F.array().cast("array<string>")), T.key))) > 0
 
     period = ~(record_start.eqNullSafe(query_start) & record_end.eqNullSafe(query_end)) & query_start.isNotNull()
-    return reasons_of([("period", period), ("entities", missing(query_entities, record_entities)), ("aspects", missing(query_aspects, record_aspects)), ("too_short", n_words < least_words)])
+    asked = F.lit(None).cast("string") if query_intent is None else query_intent
+    offered = F.lit(None).cast("string") if record_intent is None else record_intent
+    intent = asked.isNotNull() & ~T.key(asked).eqNullSafe(T.key(offered))
+    return reasons_of([("period", period), ("intent", intent), ("entities", missing(query_entities, record_entities)), ("aspects", missing(query_aspects, record_aspects)), ("too_short", n_words < least_words)])
 
 
 # Line furniture in scanned papers and on web pages.
@@ -112,9 +115,26 @@ def endpoint_allowed(url: Column) -> Column:
     return F.coalesce(secure & (place != "") & ~F.contains(place, F.lit("@")) & ~url.rlike("[?#]"), F.lit(False))
 
 
-def leaked_fields(props: Column, forbidden=("answer", "expected", "grade", "points", "rubric", "score", "key", "solution", "grading")) -> Column:
-    """Forbidden names among the keys of a JSON object."""
-    return F.array_intersect(F.coalesce(F.json_object_keys(props), F.array().cast("array<string>")), F.array(*[F.lit(x) for x in forbidden]))
+# Names of fields that only graders may see.
+GRADING_FIELDS = ("expected", "accepted", "gold", "gold_answer", "answer_key", "rubric", "rubric_and_examples", "correct_answer", "solution")
+
+
+def all_keys(json: Column) -> Column:
+    """The names of fields in a JSON text, at any depth and within lists too, as often as they occur.
+
+    The text is read as its strings, one after the other, so that nothing inside a string is taken
+    for a name: a name is a string with a colon behind it.  Escapes are resolved.  Null for what is no JSON.
+    """
+    string = r'"(?:[^"\\]++|\\.)*+"'
+    found = F.filter(F.regexp_extract_all(json, F.lit(string + r"\s*:?"), 0), lambda x: x.endswith(":"))
+    names = F.transform(found, lambda x: F.get(F.from_json(F.concat(F.lit("["), F.regexp_replace(x, r"\s*:$", ""), F.lit("]")), "array<string>"), 0))
+    return F.when(T.parsed_json(json).isNotNull(), names)
+
+
+def leaked_fields(props: Column, forbidden: tuple[str, ...] = GRADING_FIELDS) -> Column:
+    """The forbidden names among all field names of a JSON text, sorted; none for a null or what is no JSON."""
+    found = F.array_intersect(F.coalesce(all_keys(props), F.array().cast("array<string>")), F.array(*[F.lit(x) for x in forbidden]))
+    return F.array_sort(F.array_distinct(found))
 
 
 def cited_blocks(prompt: Column, numbers: Column, mark: str = r"src\s+([0-9]+)") -> Column:

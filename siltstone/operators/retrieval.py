@@ -11,8 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exam as E
 from ..functions import text as T
 from .joins import small
+from .tables import kept
 
 
 @dataclass(frozen=True)
@@ -192,33 +194,121 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
 
-def bank_scores(topics: DataFrame, entries: DataFrame, places: int = 6) -> DataFrame:
+@dataclass(frozen=True)
+class BankRule:
+    """How prepared texts are scored for topics."""
+
+    instructions: tuple[str, ...] = E.INSTRUCTIONS
+    predicates: tuple[str, ...] = E.PREDICATES
+    boiler: tuple[str, ...] = ()  #: stems that say nothing about a topic
+    head: float = 0.9
+    body: float = 0.7
+    body_tf: int = 4
+    strong: float = 2.0  #: weight of a subject's terms and of names
+    pairs: float = 0.3
+    pair_chars: int = 1500  #: how much of the text takes part in pairs, beside the head
+    subject: float = 0.3
+    aspects: float = 0.15
+    inside: float = 1.15
+    outside: float = 0.6
+    slack: int = 5
+    places: int = 6
+
+
+def topic_terms(topics: DataFrame, rule: BankRule = BankRule()) -> DataFrame:
+    """item_id, terms (struct term, weight, n), low, high: what is asked of an entry.
+
+    `w` terms are the stems of the thesis, the strong ones in its subject (what stands before the first
+    predicate) or in a name within a sentence; `p` terms are its adjacent pairs, as often as it has
+    them; `a` terms are aspects that the topic lists.  low and high are the years that it spans.
+    """
+    t = topics.select("item_id", "text", E.thesis(F.col("text"), rule.instructions).alias("thesis"))
+    strong = F.concat(T.tokens(E.subject(F.col("thesis"), rule.predicates)), T.tokens(F.array_join(E.names(F.col("thesis")), " ")))
+    said = F.filter(T.tokens(F.col("thesis")), lambda w: ~w.isin(*(rule.boiler or ("",))))
+    t = t.select("item_id", said.alias("seq"), strong.alias("strong"), F.array_distinct(T.tokens(F.array_join(E.aspects(F.col("text")), " "))).alias("aspects"), T.century_years(F.col("text")).alias("years"))
+    one = lambda kind, term, weight, n: F.struct(F.concat(F.lit(kind), term).alias("term"), weight.alias("weight"), n.cast("long").alias("n"))
+    words = F.transform(F.array_distinct("seq"), lambda w: one("w", w, F.when(F.array_contains("strong", w), rule.strong).otherwise(1.0), F.lit(1)))
+    both = F.when(F.size("seq") > 1, F.transform(F.sequence(F.lit(1), F.size("seq") - 1), lambda i: F.array_join(F.slice("seq", i, 2), " "))).otherwise(F.array().cast("array<string>"))
+    pairs = T.bound(both, lambda all_pairs: F.transform(F.array_distinct(all_pairs), lambda p: one("p", p, F.lit(0.0), F.size(F.filter(all_pairs, lambda x: x == p)))))
+    aspects = F.transform("aspects", lambda w: one("a", w, F.lit(0.0), F.lit(1)))
+    return t.select("item_id", F.concat(words, pairs, aspects).alias("terms"), F.array_min("years").alias("low"), F.array_max("years").alias("high"))
+
+
+def _entry_terms(entries: DataFrame, asked: DataFrame, rule: BankRule) -> DataFrame:
+    """doc_id, start_year, end_year, term, in_title, in_head, tf: of the terms asked for, those that an entry has.
+
+    A pair counts where its stems follow each other in the head or the text's beginning, also as end
+    and beginning of longer stems: entries first give the ends of their stems, and only of ends that
+    are asked for the beginnings that follow.
+    """
+    head = F.concat_ws(" ", "title", "topics", "keywords")
+    own = entries.select(
+        "doc_id", "start_year", "end_year", T.tokens(F.col("title")).alias("title"), T.tokens(head).alias("head"), T.tokens(F.col("text")).alias("body"),
+        T.tokens(F.concat_ws(" ", head, F.left("text", F.lit(rule.pair_chars)))).alias("near"), T.tokens(F.lower(F.concat_ws(" ", "aspects", "topics"))).alias("mine"),
+    )
+    one = lambda kind, term, place, rest=F.lit(""): F.struct(F.concat(F.lit(kind), term).alias("term"), F.lit(place).alias("place"), rest.alias("rest"))
+    befores, afters = (F.slice("near", at, F.greatest(F.size("near") - 1, F.lit(0))) for at in (1, 2))
+
+    def ending(k: int):
+        return F.zip_with(befores, afters, lambda x, y: F.when(F.length(x) >= k, one("f", F.right(x, F.lit(k)), "pair", y)))
+
+    ends = F.flatten(F.array(*[ending(k) for k in range(3, T.STEM + 1)]))
+    found = F.concat(
+        F.transform(F.array_distinct("title"), lambda w: one("w", w, "title")), F.transform(F.array_distinct("head"), lambda w: one("w", w, "head")),
+        F.transform("body", lambda w: one("w", w, "body")), F.transform(F.array_distinct("mine"), lambda w: one("a", w, "mine")), F.array_compact(ends),
+    )
+    rows = own.select("doc_id", "start_year", "end_year", F.explode(found).alias("f")).select("doc_id", "start_year", "end_year", "f.*")
+    firsts = asked.where(F.startswith("term", F.lit("p"))).select(F.concat(F.lit("f"), F.substring_index(F.expr("substring(term, 2)"), " ", 1)).alias("term"))
+    rows = rows.join(small(asked.select("term").union(firsts).distinct()), "term", "left_semi")
+    following = F.array_compact(F.array(*[F.when(F.length("rest") >= k, F.concat(F.lit("p"), F.expr("substring(term, 2)"), F.lit(" "), F.left("rest", F.lit(k)))) for k in range(3, T.STEM + 1)]))
+    rows = rows.select("doc_id", "start_year", "end_year", "place", F.explode(F.when(F.col("place") == "pair", following).otherwise(F.array("term"))).alias("term"))
+    return rows.groupBy("doc_id", "start_year", "end_year", "term").agg(F.bool_or(F.col("place") == "title").alias("in_title"), F.bool_or(F.col("place") == "head").alias("in_head"), F.count_if(F.col("place") == "body").alias("tf"))
+
+
+def bank_scores(topics: DataFrame, entries: DataFrame, rule: BankRule = BankRule()) -> DataFrame:
     """item_id, doc_id, score of prepared texts for topics.
 
-    Terms of the topic, by idf, count 1 in the entry's title, .9 in its head (second line) and .7 times
-    min(tf, 4)/4 in its body, as shares of the topic's whole worth; to this come .3 of the share of
-    the topic's adjacent pairs that the title or head has, and .3 of the share of its subject (its first
-    three stems) in the title.
+    topics: item_id, text.  entries: doc_id, title, topics, keywords and aspects (arrays), text,
+    start_year and end_year (null: the 10th and 90th percentile of the years in topics and text).
+
+    Each stem of the topic's thesis is worth its weight (the subject's and names' are strong) times
+    ln(1 + (N - df + .5)/(df + .5)); it counts in full in the entry's title, .9 in its head (title,
+    topics, keywords), and .7 times min(tf, 4)/4 in its text, as a share of all that the topic is worth.
+    To this come .3 of the share of the thesis's adjacent pairs that head or text have, .3 of the share of
+    strong stems in the title, and .15 of the share of the topic's aspects among the entry's.  Where
+    both have years, the sum is multiplied by 1.15 if they overlap within 5 years, else by .6.
+
+    Entries that share neither stem nor aspect with a topic would score 0 and are left out.
     """
-    second = F.substring_index(F.substring_index("text", "\n", 2), "\n", -1)
-    t = topics.select("item_id", T.tokens(F.col("text")).alias("tokens")).withColumn("subject", F.array_distinct(F.slice("tokens", 1, 3))).withColumn("pairs", T.pairs(F.col("tokens")))
-    asked = t.select("item_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    posted, df, stats = _asked_postings(entries, asked, [], {"in_title": T.title(F.col("text")), "in_head": second})
-    terms = asked.join(df, "term").crossJoin(F.broadcast(stats))  # one row
-    terms = terms.select("item_id", "term", F.log(F.lit(1.0) + F.col("n") / F.col("df")).alias("idf"))
-    whole = terms.groupBy("item_id").agg(F.sum("idf").alias("whole"))
-    part = F.when(F.col("in_title"), 1.0).when(F.col("in_head"), 0.9).otherwise(F.lit(0.7) * F.least(F.col("tf"), F.lit(4)) / 4)
-    base = posted.join(small(terms, bound=asked), "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("idf") * part).alias("sum")).join(whole, "item_id")
-    title, head = T.tokens(T.title(F.col("text"))), T.tokens(second)
-    looks = entries.select("doc_id", title.alias("entry_title"), head.alias("entry_head"))
-    looks = looks.select("doc_id", "entry_title", F.concat(T.pairs(F.col("entry_title")), T.pairs(F.col("entry_head"))).alias("entry_pairs"))
-    base = base.join(t.select("item_id", "subject", "pairs"), "item_id").join(looks, "doc_id")
-
-    def share(wanted, there):
-        return F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, there)) / F.size(wanted)).otherwise(0.0)
-
-    score = F.col("sum") / F.col("whole") + 0.3 * share(F.col("pairs"), F.col("entry_pairs")) + 0.3 * share(F.col("subject"), F.col("entry_title"))
-    return base.select("item_id", "doc_id", F.round(score, places).alias("score"))
+    wanted = topic_terms(topics, rule)
+    terms = kept(wanted.select("item_id", "low", "high", F.explode("terms").alias("t")).select("item_id", "low", "high", "t.*"), "bank-asked")
+    span = span_of_years(F.concat_ws(" ", "topics", "text"))
+    known = F.col("start_year").isNotNull() & F.col("end_year").isNotNull()
+    own = entries.withColumn("_span", F.when(known, F.struct(F.col("start_year").cast("int").alias("start_year"), F.col("end_year").cast("int").alias("end_year"))).otherwise(span))
+    own = own.withColumn("start_year", F.col("_span.start_year")).withColumn("end_year", F.col("_span.end_year"))
+    has = kept(_entry_terms(own, terms, rule), "bank-terms")
+    df = has.where(F.startswith("term", F.lit("w"))).groupBy("term").agg(F.count("*").alias("df"))
+    n = entries.agg(F.count("*").alias("n_entries"))  # one row
+    df_or_0 = F.coalesce("df", F.lit(0))
+    worth = F.col("weight") * F.log(F.lit(1.0) + (F.col("n_entries") - df_or_0 + 0.5) / (df_or_0 + 0.5))
+    asked = terms.join(df, "term", "left").crossJoin(F.broadcast(n)).select("item_id", "term", "weight", "n", "low", "high", worth.alias("worth"))
+    kind = F.left("term", F.lit(1))
+    strong, pair, aspect = (kind == "w") & (F.col("weight") > 1), kind == "p", kind == "a"
+    whole = asked.groupBy("item_id").agg(
+        F.sum("worth").alias("whole"), F.sum(F.when(pair, F.col("n"))).alias("of_pairs"), F.count_if(strong).alias("of_strong"), F.count_if(aspect).alias("of_aspects"),
+        F.first("low").alias("low"), F.first("high").alias("high"),
+    )
+    hits = has.join(small(asked.select("item_id", "term", "weight", "n", "worth"), bound=terms), "term")
+    part = F.when(F.col("in_title"), 1.0).when(F.col("in_head"), rule.head).otherwise(F.lit(rule.body) * F.least("tf", F.lit(rule.body_tf)) / rule.body_tf)
+    sums = hits.groupBy("item_id", "doc_id", "start_year", "end_year").agg(
+        F.sum(F.col("worth") * part).alias("got"), F.sum(F.when(pair, F.col("n"))).alias("pairs"), F.count_if(strong & F.col("in_title")).alias("strong"), F.count_if(aspect).alias("aspects"),
+    )
+    share = lambda x, of: F.when(F.col(of) > 0, F.coalesce(F.col(x), F.lit(0)) / F.col(of)).otherwise(0.0)
+    score = share("got", "whole") + rule.pairs * share("pairs", "of_pairs") + rule.subject * share("strong", "of_strong") + rule.aspects * share("aspects", "of_aspects")
+    dated = F.col("low").isNotNull() & F.col("start_year").isNotNull()
+    times = F.when(dated, period_factor(F.col("low"), F.col("high"), F.col("start_year"), F.col("end_year"), rule.slack, rule.inside, rule.outside)).otherwise(1.0)
+    scored = sums.join(small(whole, bound=terms), "item_id")
+    return scored.select("item_id", "doc_id", F.round(F.when(F.col("whole") > 0, score * times).otherwise(0.0), rule.places).alias("score"))
 
 
 def best_topic(scored: DataFrame, group: str) -> DataFrame:
@@ -229,13 +319,21 @@ def best_topic(scored: DataFrame, group: str) -> DataFrame:
     return top.withColumn("n", F.row_number().over(pick)).where("n = 1").select(group, "item_id", "doc_id", "score", "margin")
 
 
-def period_factor(low, high, start, end, slack: int = 5):
-    """1.15 for periods that overlap within the slack, else .6."""
-    return F.when((low <= end + slack) & (high >= start - slack), 1.15).otherwise(0.6)
+def period_factor(low, high, start, end, slack: int = 5, inside: float = 1.15, outside: float = 0.6):
+    """`inside` for periods that overlap within the slack, else `outside`."""
+    return F.when((low <= end + slack) & (high >= start - slack), inside).otherwise(outside)
+
+
+def span_of_years(text):
+    """start_year, end_year: nearest-rank 10th and 90th percentile of the years of the common era in a text; null without any."""
+
+    def ends(ys):
+        n = F.size(ys)
+        return F.when(n > 0, F.struct(F.element_at(ys, F.floor(n / 10).cast("int") + 1).alias("start_year"), F.element_at(ys, F.floor(n * 9 / 10).cast("int") + 1).alias("end_year")))
+
+    return T.bound(F.array_sort(F.filter(T.century_years(text), lambda y: y > 0)), ends)
 
 
 def entry_periods(entries: DataFrame) -> DataFrame:
-    """doc_id, start_year, end_year: nearest-rank 10th and 90th percentile of the years of the common era in a text."""
-    ys = entries.select("doc_id", F.array_sort(F.filter(T.century_years(F.col("text")), lambda y: y > 0)).alias("ys")).where(F.size("ys") > 0)
-    n = F.size("ys")
-    return ys.select("doc_id", F.element_at("ys", F.floor(n / 10).cast("int") + 1).alias("start_year"), F.element_at("ys", F.floor(n * 9 / 10).cast("int") + 1).alias("end_year"))
+    """doc_id, start_year, end_year of the entries whose text names years."""
+    return entries.select("doc_id", span_of_years(F.col("text")).alias("p")).where("p is not null").select("doc_id", "p.start_year", "p.end_year")

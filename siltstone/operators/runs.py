@@ -160,8 +160,8 @@ def compared(items: DataFrame, now: DataFrame, before: DataFrame, variants: dict
     The full difference is given only if both runs cover all items and all are graded.  A map to a
     variant that the earlier run doesn't have is an error.
     """
-    known = {r[0] for r in before.select("variant").distinct().limit(1000).collect()}
-    if wrong := sorted(set(variants.values()) - known):
+    asked = before.sparkSession.createDataFrame([(v,) for v in sorted(set(variants.values()))], "variant string")
+    if wrong := sorted(r[0] for r in asked.join(before.select("variant").distinct(), "variant", "left_anti").collect()):  # as many names as the map has at most
         raise ValueError(f"no such earlier variants: {wrong}")
     pairs = F.element_at(F.create_map(*[F.lit(x) for pair in variants.items() for x in pair]), F.col("variant"))
     wanted = items.select("item_id", *by, "selected", F.col("max_points").alias("most"), F.explode(F.array(*[F.lit(v) for v in variants])).alias("variant")).withColumn("previous_variant", pairs)

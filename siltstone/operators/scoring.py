@@ -16,11 +16,11 @@ def majority(votes: DataFrame) -> DataFrame:
 
 
 def medoid(samples: DataFrame) -> DataFrame:
-    """item_id, pos, similarity: the sample with the largest sum of Jaccard similarities to the others; ties to the first.
+    """item_id, pos, similarity: the sample with the largest sum of Jaccard similarities, of sets of runs of word characters, to the others; ties to the first.
 
     samples: item_id, pos, text; an item's samples are a handful of answers to one question.
     """
-    bag = F.struct("pos", F.array_distinct(T.words(F.lower("text"))).alias("bag"))
+    bag = F.struct("pos", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}_]+"), 0)).alias("bag"))
     items = samples.groupBy("item_id").agg(F.array_sort(F.collect_list(bag)).alias("bags"))
 
     def nearness(mine: Column, all_: Column) -> Column:

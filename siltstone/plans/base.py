@@ -28,7 +28,7 @@ STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP) + "]"
 
 
 def norm(x: str) -> str:
-    return f"translate(lower({x}), '{T.MARKED}', '{T.PLAIN}')"
+    return f"strip_accents(replace(lower({x}), 'ł', 'l'))"
 
 
 def toks(x: str) -> str:
@@ -38,7 +38,7 @@ def toks(x: str) -> str:
 
 
 def key(x: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(regexp_replace({norm(x)}, '\p{{M}}+', '', 'g'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+    return rf"trim(regexp_replace(regexp_replace(replace({norm(x)}, 'ß', 'ss'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 def words(x: str) -> str:

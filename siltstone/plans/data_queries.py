@@ -145,10 +145,12 @@ def import_check(t):
     return D.import_problems(exams, kinds, exams.sparkSession.createDataFrame([("a.png", "x")], "path string, sha256 string"))
 
 
-@query("""WITH x AS (SELECT vec_id + CASE WHEN vec_id % 41 = 0 THEN 1000000 ELSE 0 END AS doc_id, CASE WHEN vec_id % 7 = 0 THEN 'stale' ELSE sha256(vec_id::VARCHAR) END AS text_sha256, CASE WHEN vec_id % 11 = 0 THEN 'old' ELSE 'm' END AS embedder,
+@query("""WITH x0 AS (SELECT vec_id + CASE WHEN vec_id % 41 = 0 THEN 1000000 ELSE 0 END AS doc_id, CASE WHEN vec_id % 7 = 0 THEN 'stale' ELSE sha256(vec_id::VARCHAR) END AS text_sha256, CASE WHEN vec_id % 11 = 0 THEN 'old' ELSE 'm' END AS embedder,
    list_transform(embedding, lambda v: v::DOUBLE * CASE WHEN vec_id % 13 = 0 THEN 2 ELSE 1 END / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))[1:CASE WHEN vec_id % 17 = 0 THEN 63 ELSE 64 END] AS vector FROM embeddings),
+x AS (SELECT * FROM x0 UNION ALL SELECT * FROM x0 WHERE doc_id % 19 = 3),
 d AS (SELECT vec_id AS doc_id, sha256(vec_id::VARCHAR) AS sha FROM embeddings),
 b AS (SELECT coalesce(x.doc_id, d.doc_id) AS doc_id, x.* EXCLUDE doc_id, sha FROM x FULL JOIN d ON x.doc_id = d.doc_id)
+SELECT 'indexed_twice' AS rule, doc_id::VARCHAR AS entity_id, count(*)::VARCHAR AS detail FROM x GROUP BY doc_id HAVING count(*) > 1 UNION ALL
 SELECT rule, doc_id::VARCHAR AS entity_id, embedder AS detail FROM (
   SELECT 'not_indexed' AS rule, doc_id, embedder FROM b WHERE vector IS NULL UNION ALL SELECT 'unknown_text', doc_id, embedder FROM b WHERE vector IS NOT NULL AND sha IS NULL
   UNION ALL SELECT 'stale', doc_id, embedder FROM b WHERE text_sha256 <> sha UNION ALL SELECT 'embedder', doc_id, embedder FROM b WHERE embedder <> 'm'
@@ -161,6 +163,7 @@ def index_gate(t):
     vector = F.slice(F.transform(unit(F.col("embedding")), lambda x: x * longer), F.lit(1), F.when(F.col("vec_id") % 17 == 0, 63).otherwise(64))
     text = F.col("vec_id").cast("string")
     index = v.select((F.col("vec_id") + F.when(F.col("vec_id") % 41 == 0, 1_000_000).otherwise(0)).alias("doc_id"), F.when(F.col("vec_id") % 7 == 0, "stale").otherwise(F.sha2(text, 256)).alias("text_sha256"), F.when(F.col("vec_id") % 11 == 0, "old").otherwise("m").alias("embedder"), vector.alias("vector"))
+    index = index.unionByName(index.where("doc_id % 19 = 3"))
     return E.index_problems(index, v.select(F.col("vec_id").alias("doc_id"), text.alias("text")), "m", 64)
 
 

@@ -138,6 +138,21 @@ def non_essay_view(t):
     return rows.join(t("orders"), "o_orderkey", "left_semi").where("essays = 1")
 
 
+@query("""
+WITH i AS (SELECT l_orderkey AS exam_id, l_linenumber AS id FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (l_linenumber = 1) = 1 AND count(*) FILTER (l_linenumber = 2) = 1))
+SELECT exam_id, count(*) FILTER (id <> 1) AS items, sum(CASE WHEN id = 2 THEN 45 ELSE 0 END)::BIGINT AS points, 1 AS excluded_id, string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (id <> 1) AS kept FROM i GROUP BY exam_id""")
+def non_essay_papers(t):
+    """Line 1 of an order is its essay of 15 points, line 2 has all the others' 45."""
+    from ..operators.datasets import non_essay
+
+    n = F.col("l_linenumber")
+    whole = t("lineitem").groupBy("l_orderkey").agg(F.count_if(n == 1).alias("a"), F.count_if(n == 2).alias("b")).where("a = 1 AND b = 1")
+    items = t("lineitem").join(whole, "l_orderkey", "left_semi").select(F.col("l_orderkey").alias("exam_id"), n.alias("id"), F.when(n == 1, "essay").otherwise("choice").alias("kind"), F.when(n == 1, 15).when(n == 2, 45).otherwise(0).alias("max_points"))
+    _, keys, papers = non_essay(items, items.select("exam_id", "id"))
+    left = keys.groupBy("exam_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("kept"))
+    return papers.join(left, "exam_id").select("exam_id", "items", "points", "excluded_id", "kept")
+
+
 @query("""SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role FROM conversations WHERE role <> 'system') c ANTI JOIN (SELECT DISTINCT label AS k FROM embeddings WHERE label < 1) r ON c.turn = r.k""")
 def unregistered_parts(t):
     used = t("conversations").where("role <> 'system'").withColumn("k", F.col("turn").cast("int"))

@@ -6,18 +6,24 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking as C
+from ..operators import html as H
 from ..operators import quality as Q
 from ..operators.scoring import shuffled
 from .base import key, ngrams, query, words
 
+#: Pages of the tables may hold few words.
+PAGES = H.PageRule(least_text=0, least_blocks=0)
 
-@query(f"""
+
+_GRAMS = f"""
 WITH b AS (SELECT DISTINCT unnest({ngrams('ws', 8)}) AS gram FROM (SELECT list_filter(string_split({key('text')}, ' '), lambda w: w <> '') AS ws FROM benchmark)),
 m AS (SELECT doc_id, {ngrams('ws', 8)} AS g FROM (SELECT doc_id, list_filter(string_split({key('text')}, ' '), lambda w: w <> '') AS ws FROM documents)),
 h AS (SELECT doc_id, count(*) AS shared FROM (SELECT doc_id, unnest(g) AS gram FROM m) JOIN b USING (gram) GROUP BY doc_id),
 s AS (SELECT doc_id, len(g)::BIGINT AS grams, coalesce(shared, 0)::BIGINT AS shared FROM m LEFT JOIN h USING (doc_id)),
-c AS (SELECT *, CASE WHEN grams > 0 THEN round(shared::DOUBLE / grams, 6) ELSE 0 END AS contained FROM s)
-SELECT *, contained > 0.1::DOUBLE AS contaminated FROM c""")
+c AS (SELECT *, CASE WHEN grams > 0 THEN round(shared::DOUBLE / grams, 6) ELSE 0 END AS contained FROM s)"""
+
+
+@query(_GRAMS + "SELECT *, contained > 0.1::DOUBLE AS contaminated FROM c")
 def contamination_8gram(t):
     return Q.contamination(t("documents"), t("benchmark"))
 
@@ -35,13 +41,14 @@ def grades_by_answer(t):
     return rows.join(grades, "answer_id").select("doc_id", "grade")
 
 
-@query(f"""
-WITH r AS (SELECT CASE WHEN n_chars > 8000 THEN 'essay' WHEN doc_id % 10 = 9 THEN 'later_paper' WHEN trim(text) = '' THEN 'empty' WHEN len({words('text')}) < 20 THEN 'too_short' WHEN toxic = 1 THEN 'toxic' ELSE 'kept' END AS reason
-           FROM documents LEFT JOIN labels USING (doc_id))
+@query(f"""{_GRAMS},
+r AS (SELECT CASE WHEN n_chars > 8000 THEN 'essay' WHEN doc_id % 10 = 9 THEN 'later_paper' WHEN trim(text) = '' THEN 'empty' WHEN len({words('text')}) < 20 THEN 'too_short' WHEN toxic = 1 THEN 'toxic' WHEN contained > 0.1::DOUBLE THEN 'contaminated' ELSE 'kept' END AS reason
+      FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN c USING (doc_id))
 SELECT reason, count(*) AS n FROM r GROUP BY reason""")
 def filter_cascade(t):
-    rows = t("documents").join(t("labels"), "doc_id", "left")
-    reason = Q.first_match([("essay", F.col("n_chars") > 8000), ("later_paper", F.col("doc_id") % 10 == 9), ("empty", F.trim("text") == ""), ("too_short", T.word_count(F.col("text")) < 20), ("toxic", F.col("toxic") == 1)], "kept")
+    found = Q.contamination(t("documents"), t("benchmark")).select("doc_id", "contaminated")
+    rows = t("documents").join(t("labels"), "doc_id", "left").join(found, "doc_id", "left")
+    reason = Q.first_match([("essay", F.col("n_chars") > 8000), ("later_paper", F.col("doc_id") % 10 == 9), ("empty", F.trim("text") == ""), ("too_short", T.word_count(F.col("text")) < 20), ("toxic", F.col("toxic") == 1), ("contaminated", F.col("contaminated"))], "kept")
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -54,13 +61,17 @@ def bank_merge(t):
 
 
 @query(f"""
-SELECT doc_id, list_filter([CASE WHEN lang <> 'en' THEN 'period' END, CASE WHEN source IS NULL OR source = 'src1' THEN 'entities' END, CASE WHEN len({words('text')}) < 300 THEN 'too_short' END], lambda x: x IS NOT NULL) AS reasons
+SELECT doc_id, list_filter([CASE WHEN lang <> 'en' THEN 'period' END, CASE WHEN doc_id % 3 > 0 AND (doc_id % 5 = 0 OR {key("lang || '!'")} <> {key("CASE WHEN doc_id % 3 = 1 THEN 'ÉN' ELSE 'Dé' END")}) THEN 'intent' END,
+   CASE WHEN source IS NULL OR source = 'src1' THEN 'entities' END, CASE WHEN NOT list_contains(list_transform(list_slice(string_split(text, ' '), 1, 12), lambda w: {key('w')}), 'of') THEN 'aspects' END,
+   CASE WHEN len({words('text')}) < 300 THEN 'too_short' END], lambda x: x IS NOT NULL) AS reasons
 FROM documents""")
 def essay_exclusions(t):
-    c = F.col("text")
+    c, i = F.col("text"), F.col("doc_id")
     year = F.when(F.col("lang") == "en", 1900).otherwise(1800)
     none = F.array().cast("array<string>")
-    reasons = Q.exclusions(year, year + 9, F.lit(1900), F.lit(1909), F.array(F.col("source")), F.when(F.col("source").isNull() | (F.col("source") == "src1"), F.array(F.lit("Żagań"))).otherwise(none), none, none, T.word_count(c), 300)
+    wanted = F.when(F.col("source").isNull() | (F.col("source") == "src1"), F.array(F.lit("Żagań"))).otherwise(none)
+    intent, asked = F.when(i % 5 > 0, F.concat("lang", F.lit("!"))), F.when(i % 3 == 1, "ÉN").when(i % 3 == 2, "Dé")
+    reasons = Q.exclusions(year, year + 9, F.lit(1900), F.lit(1909), F.array(F.col("source")), wanted, F.slice(F.split("text", " "), 1, 12), F.array(F.lit("OF!")), T.word_count(c), 300, intent, asked)
     return t("documents").select("doc_id", reasons.alias("reasons"))
 
 
@@ -167,21 +178,29 @@ def rotations(t):
     return C.rotations(t("part").select(F.col("p_partkey").alias("item_id"), F.split("p_name", " ").alias("options")))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE p AS (
+  SELECT doc_id, text, -1 AS ordinal, 0::BIGINT AS start, 0::BIGINT AS stop FROM documents
+  UNION ALL
+  SELECT doc_id, text, ordinal + 1, stop, stop + CASE WHEN length(text) - stop <= 1300 THEN length(text) - stop
+      WHEN length(regexp_extract(substr(text, stop + 1, 1300), '(?s)^(.*[.!?]\s+)', 1)) > 650 THEN length(regexp_extract(substr(text, stop + 1, 1300), '(?s)^(.*[.!?]\s+)', 1))
+      WHEN length(regexp_extract(substr(text, stop + 1, 1300), '(?s)^(.*) ', 1)) > 0 THEN length(regexp_extract(substr(text, stop + 1, 1300), '(?s)^(.*) ', 1)) ELSE 1300 END
+  FROM p WHERE stop < length(text))
+SELECT doc_id, ordinal::INT AS ordinal, start, stop AS "end", substr(text, start + 1, stop - start) AS body, doc_id || '-' || ordinal || '-' || left(sha256(substr(text, start + 1, stop - start)), 16) AS passage_id FROM p WHERE ordinal >= 0""")
 def passages(t):
     return C.passages(t("documents"))
 
 
-@query("""SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS link FROM pages""")
+@query(r"""SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1), lambda x: trim(x, '"''')))) AS link FROM pages""")
 def page_links(t):
     return C.page_links(t("pages"))
 
 
 @query()
 def html_blocks(t):
-    return C.html_blocks(t("pages"))
+    return H.html_blocks(t("pages"), PAGES)
 
 
 @query()
 def section_passages(t):
-    return C.section_passages(t("pages"))
+    return H.section_passages(t("pages"), PAGES)

@@ -36,11 +36,11 @@ def bounds_by_group(t):
     return P.bounds(_items(t), [["lang"], ["lang", "source"]], ["lang", "source"])
 
 
-@query(f"""SELECT source, CASE WHEN pending > 0 AND source <> 'src1' THEN 'grading_incomplete' WHEN excluded > 1000000 THEN 'invalid_submission_format' WHEN lower >= 10 THEN 'target_reached' ELSE 'below_target' END AS status FROM (SELECT source, {_BOUNDS} FROM ({_ITEMS}) GROUP BY source)""")
+@query(f"""SELECT source, CASE WHEN pending > 0 AND source <> 'src1' THEN 'grading_incomplete' WHEN lower % 3 = 1 THEN 'invalid_submission_format' WHEN lower >= 10 THEN 'target_reached' ELSE 'below_target' END AS status FROM (SELECT source, {_BOUNDS} FROM ({_ITEMS}) GROUP BY source)""")
 def target_status(t):
     b = P.bounds(_items(t), [["source"]], ["source"])
     pending = F.when(F.col("source") == "src1", 0).otherwise(F.col("pending"))
-    return b.select("source", P.target_status(F.lit(0), pending, F.when(F.col("excluded") > 1000000, 1).otherwise(0), F.col("lower"), F.lit(10)).alias("status"))
+    return b.select("source", P.target_status(F.lit(0), pending, F.when(F.col("lower") % 3 == 1, 1).otherwise(0), F.col("lower"), F.lit(10)).alias("status"))
 
 
 @query(f"SELECT count(*) AS papers, sum(lower)::BIGINT AS lower, sum(upper)::BIGINT AS upper, sum(whole)::BIGINT AS whole, bool_and(pending = 0) AS complete, CASE WHEN bool_and(pending = 0) THEN round(sum(lower) * 100.0::DOUBLE / sum(whole), 4) END AS percent FROM (SELECT lang, {_BOUNDS} FROM ({_ITEMS}) GROUP BY lang)")

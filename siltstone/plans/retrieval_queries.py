@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..operators.joins import overlap_join
 from .base import key, ngrams, norm, query, title, toks, words
 
 
 @query(rf"""
-SELECT doc_id, {key('text')} AS text_key, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS squeezed,
+SELECT doc_id, {key('text')} AS text_key, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS squeezed,
        regexp_replace(text, '[^\p{{L}}\p{{N}}]+', '', 'g') AS compact, {norm(title('text'))} AS title,
        len({words('text')})::INT AS n_words, left(sha256(text), 16) AS text_id
 FROM documents""")
@@ -129,27 +130,65 @@ def dense_match(t):
     return R.decide(R.dense(v.where("vec_id % 100 = 0"), v), 0.3)
 
 
-_BANK = f"""
-WITH e AS (SELECT doc_id, {toks('text')} AS body, {toks(title('text'))} AS title,
-             {toks("CASE WHEN contains(text, chr(10)) THEN split_part(text, chr(10), 2) ELSE text END")} AS head FROM documents),
-p AS (SELECT doc_id, title, list_distinct(title) AS t1, list_distinct(head) AS h1, list_concat({ngrams('title', 2)}, {ngrams('head', 2)}) AS pairs FROM e),
-bag AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(body) AS term FROM e) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM bag GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
-t AS (SELECT item_id, toks, list_distinct(toks[1:3]) AS subject, {ngrams('toks', 2)} AS pairs FROM (SELECT item_id, {toks('text')} AS toks FROM benchmark)),
-k AS (SELECT item_id, term, ln(1.0::DOUBLE + n::DOUBLE / df) AS idf FROM (SELECT item_id, unnest(list_distinct(toks)) AS term FROM t) JOIN df USING (term), n),
-w AS (SELECT item_id, sum(idf) AS whole FROM k GROUP BY item_id),
-f AS (SELECT item_id, doc_id, sum(idf * CASE WHEN list_contains(t1, term) THEN 1.0::DOUBLE WHEN list_contains(h1, term) THEN 0.9::DOUBLE ELSE 0.7::DOUBLE * least(tf, 4) / 4 END) AS s
-      FROM bag JOIN k USING (term) JOIN p USING (doc_id) GROUP BY ALL),
-s AS (SELECT item_id, doc_id, round(s / whole
-        + 0.3::DOUBLE * CASE WHEN len(t.pairs) > 0 THEN len(list_intersect(t.pairs, p.pairs))::DOUBLE / len(t.pairs) ELSE 0 END
-        + 0.3::DOUBLE * CASE WHEN len(t.subject) > 0 THEN len(list_intersect(t.subject, p.title))::DOUBLE / len(t.subject) ELSE 0 END, 6) AS score
-      FROM f JOIN w USING (item_id) JOIN t USING (item_id) JOIN p USING (doc_id))
+#: What the tables' languages have in the place of verbs and empty words.
+_RULE = R.BankRule(predicates=("is", "was", "ist", "est", "para", "that"), boiler=("there", "inter"))
+_TOPIC = "regexp_replace(text, '[.]?\\s*$', '') || '. Zajmij stanowisko, aspekty: ' || split_part(text, ' ', 2) || ', ' || split_part(text, ' ', 3) || ' i ' || split_part(text, ' ', 4) || ' w ' || CASE WHEN item_id % 3 > 0 THEN (1000 + item_id * 37 % 900)::VARCHAR ELSE 'wieku' END"
+_PREDICATE = r"(?i)(^|[^\p{L}\p{N}_])(" + "|".join(_RULE.predicates) + r")($|[^\p{L}\p{N}_])"
+
+
+def _topics(t):
+    part = lambda n: F.split_part("text", F.lit(" "), F.lit(n))
+    when = F.when(F.col("item_id") % 3 > 0, (F.col("item_id") * 37 % 900 + 1000).cast("string")).otherwise("wieku")
+    text = F.concat(F.regexp_replace("text", r"[.]?\s*$", ""), F.lit(". Zajmij stanowisko, aspekty: "), part(2), F.lit(", "), part(3), F.lit(" i "), part(4), F.lit(" w "), when)
+    return t("benchmark").select("item_id", text.alias("text"))
+
+
+def _entries(t):
+    """Documents as entries of a bank: a title line, the second line as topic, their first words as aspects, a period for three in four."""
+    second = F.split_part("text", F.lit("\n"), F.lit(2))
+    start = F.when(F.col("doc_id") % 4 > 0, F.col("n_chars") % 900 + 1000)
+    return t("documents").select(
+        "doc_id", T.title(F.col("text")).alias("title"), F.array(second).alias("topics"), F.array("lang", "source").alias("keywords"),
+        F.array(F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))).alias("aspects"), "text", start.alias("start_year"), (start + 30).alias("end_year"),
+    )
+
+
+_BOILER = "[" + ", ".join(f"'{w}'" for w in _RULE.boiler) + "]"
+_BANK = rf"""
+WITH d0 AS (SELECT doc_id, {title('text')} AS title, split_part(text, chr(10), 2) AS topic, concat_ws(' ', lang, source) AS keywords, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS aspects, text, n_chars FROM documents),
+d AS (SELECT *, concat_ws(' ', title, topic, keywords) AS head,
+        list_sort(list_filter(list_transform(regexp_extract_all(topic || ' ' || text, '\b([0-9]{{3,4}})\b', 1), lambda y: y::INT), lambda y: y >= 500 AND y <= 2029)) AS ys FROM d0),
+e AS (SELECT doc_id, {toks('text')} AS body, {toks('title')} AS title, {toks('head')} AS head, ' ' || array_to_string({toks("head || ' ' || left(text, 1500)")}, ' ') || ' ' AS near, {toks("lower(aspects || ' ' || topic)")} AS mine,
+        CASE WHEN doc_id % 4 > 0 THEN 1000 + n_chars % 900 ELSE ys[len(ys) // 10 + 1] END AS start_year, CASE WHEN doc_id % 4 > 0 THEN 1030 + n_chars % 900 ELSE ys[len(ys) * 9 // 10 + 1] END AS end_year FROM d),
+n AS (SELECT count(*) AS n FROM documents),
+t0 AS (SELECT item_id, {_TOPIC} AS text FROM benchmark),
+t1 AS (SELECT *, string_split_regex(text, '\.\s+(Zajmij|Oceń)')[1] AS thesis FROM t0),
+t2 AS (SELECT item_id, text, thesis, string_split_regex(thesis, '{_PREDICATE}')[1] AS subject,
+         array_to_string(regexp_extract_all(regexp_replace(thesis, '(^|[.!?]\s)\p{{Lu}}[\p{{L}}\p{{N}}_]*', '\1', 'g'), '(^|[^\p{{L}}\p{{N}}_])(\p{{Lu}}[\p{{L}}\p{{N}}_-]+)', 2), ' ') AS named,
+         array_to_string(regexp_extract_all(lower(text), 'aspekt[\p{{L}}\p{{N}}_]*:?\s+((?:[\p{{L}}\p{{N}}_-]+(?:,\s*|\s+i\s+|\s+oraz\s+)?){{1,4}})', 1), ' ') AS aspects,
+         list_filter(list_transform(regexp_extract_all(text, '\b([0-9]{{3,4}})\b', 1), lambda y: y::INT), lambda y: y >= 500 AND y <= 2029) AS ys FROM t1),
+t AS (SELECT item_id, list_filter({toks('thesis')}, lambda w: NOT list_contains({_BOILER}, w)) AS seq, list_concat({toks('subject')}, {toks('named')}) AS strong, list_distinct({toks('aspects')}) AS aspects, list_min(ys) AS low, list_max(ys) AS high FROM t2),
+k AS (SELECT item_id, term, CASE WHEN list_contains(strong, term) THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM (SELECT item_id, strong, unnest(list_distinct(seq)) AS term FROM t)),
+bag AS (SELECT doc_id, term, count(*) FILTER (place = 'b') AS tf, bool_or(place = 't') AS in_title, bool_or(place = 'h') AS in_head FROM (
+  SELECT doc_id, unnest(body) AS term, 'b' AS place FROM e UNION ALL SELECT doc_id, unnest(title), 't' FROM e UNION ALL SELECT doc_id, unnest(head), 'h' FROM e) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM bag GROUP BY term),
+i AS (SELECT item_id, term, w, w * ln(1.0::DOUBLE + (n - coalesce(df, 0) + 0.5::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE)) AS worth FROM k LEFT JOIN df USING (term), n),
+whole AS (SELECT item_id, sum(worth) AS whole, count(*) FILTER (w > 1) AS of_strong FROM i GROUP BY item_id),
+got AS (SELECT item_id, doc_id, sum(worth * CASE WHEN in_title THEN 1.0::DOUBLE WHEN in_head THEN 0.9::DOUBLE ELSE 0.7::DOUBLE * least(tf, 4) / 4 END) AS got, count(*) FILTER (w > 1 AND in_title) AS strong FROM bag JOIN i USING (term) GROUP BY ALL),
+a AS (SELECT item_id, doc_id, len(list_intersect(t.aspects, e.mine)) AS aspects FROM t, e WHERE list_has_any(t.aspects, e.mine)),
+c AS (SELECT item_id, doc_id, coalesce(got, 0) AS got, coalesce(strong, 0) AS strong, coalesce(a.aspects, 0) AS aspects FROM got FULL JOIN a USING (item_id, doc_id)),
+s AS (SELECT c.item_id, c.doc_id, round(CASE WHEN coalesce(whole, 0) > 0 THEN (got / whole
+        + 0.3::DOUBLE * CASE WHEN len(seq) > 1 THEN len(list_filter(range(1, len(seq)), lambda x: contains(near, seq[x] || ' ' || seq[x + 1])))::DOUBLE / (len(seq) - 1) ELSE 0 END
+        + 0.3::DOUBLE * CASE WHEN of_strong > 0 THEN c.strong::DOUBLE / of_strong ELSE 0 END
+        + 0.15::DOUBLE * CASE WHEN len(t.aspects) > 0 THEN c.aspects::DOUBLE / len(t.aspects) ELSE 0 END)
+        * CASE WHEN low IS NULL OR start_year IS NULL THEN 1.0::DOUBLE WHEN low <= end_year + 5 AND high >= start_year - 5 THEN 1.15::DOUBLE ELSE 0.6::DOUBLE END ELSE 0 END, 6) AS score
+      FROM c JOIN t USING (item_id) JOIN e USING (doc_id) LEFT JOIN whole USING (item_id))
 """
 
 
 @query(_BANK + "SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) AS rank FROM s) WHERE rank <= 5")
 def bank_score(t):
-    scored = R.bank_scores(t("benchmark"), t("documents"))
+    scored = R.bank_scores(_topics(t), _entries(t), _RULE)
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.desc("doc_id"))
     return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("item_id", "rank", "doc_id", "score")
 
@@ -157,10 +196,22 @@ def bank_score(t):
 @query(_BANK + """, o AS (SELECT item_id // 4 AS task_id, item_id, doc_id, score, row_number() OVER w AS n, round(score - coalesce(lead(score) OVER w, 0), 6) AS margin FROM s WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id DESC))
 SELECT task_id, item_id, doc_id, score, margin FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, margin DESC, item_id) AS m FROM o WHERE n = 1) WHERE m = 1""")
 def best_topic(t):
-    scored = R.bank_scores(t("benchmark"), t("documents")).withColumn("task_id", F.expr("item_id div 4"))
+    scored = R.bank_scores(_topics(t), _entries(t), _RULE).withColumn("task_id", F.expr("item_id div 4"))
     return R.best_topic(scored, "task_id")
 
 
+@query("""
+WITH t AS (SELECT item_id, 1000 + item_id * 37 % 900 AS low, 1000 + item_id * 37 % 900 + item_id % 7 * 40 AS high FROM benchmark),
+e AS (SELECT doc_id, 1000 + n_chars % 900 AS start_year, 1000 + n_chars % 900 + doc_id % 50 AS end_year FROM documents WHERE doc_id % 4 > 0)
+SELECT item_id, doc_id, low, high, start_year, end_year FROM t, e WHERE low <= end_year + 5 AND high >= start_year - 5""")
+def period_pairs(t):
+    low = F.col("item_id") * 37 % 900 + 1000
+    asked = t("benchmark").select("item_id", low.alias("low"), (low + F.col("item_id") % 7 * 40).alias("high"))
+    start = F.when(F.col("doc_id") % 4 > 0, F.col("n_chars") % 900 + 1000)
+    entries = t("documents").select("doc_id", start.alias("start_year"), (start + F.col("doc_id") % 50).alias("end_year"))
+    return overlap_join(asked, entries, "low", "high", "start_year", "end_year", 5)
+
+
 @query("""
 WITH y AS (SELECT p_partkey AS doc_id, list_sort(list_filter(list_transform(regexp_extract_all(p_name || ' ' || (900 + p_partkey % 1100)::VARCHAR || ' and ' || (1000 + p_size * 20)::VARCHAR || ' to ' || p_partkey::VARCHAR, '\\b([0-9]{3,4})\\b', 1), lambda x: x::INT), lambda x: x >= 500 AND x <= 2029)) AS ys FROM part)
 SELECT doc_id, ys[len(ys) // 10 + 1] AS start_year, ys[len(ys) * 9 // 10 + 1] AS end_year FROM y WHERE len(ys) > 0""")

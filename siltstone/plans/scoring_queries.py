@@ -16,7 +16,7 @@ def vote_majority(t):
     return S.majority(t("events").select(F.col("user_id").alias("item_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("value")))
 
 
-@query(r"""WITH b AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(trim(lower(text)), '\s+'), lambda w: w <> '')) AS bag FROM conversations),
+@query(r"""WITH b AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS bag FROM conversations),
 p AS (SELECT a.conv_id, a.turn, round(sum(CASE WHEN len(list_distinct(list_concat(a.bag, b.bag))) > 0 THEN len(list_intersect(a.bag, b.bag))::DOUBLE / len(list_distinct(list_concat(a.bag, b.bag))) ELSE 0 END), 6) AS s
       FROM b a JOIN b ON a.conv_id = b.conv_id AND a.turn <> b.turn GROUP BY ALL),
 m AS (SELECT b.conv_id, b.turn, coalesce(s, 0) AS s FROM b LEFT JOIN p USING (conv_id, turn))
@@ -44,9 +44,9 @@ def score_left_join(t):
     return S.scored(t("documents"), t("labels").select("doc_id", F.col("quality").alias("points")), "source")
 
 
-_FORM = "CASE doc_id % 4 WHEN 0 THEN concat('1: P', chr(10), ' 2: F') WHEN 1 THEN concat('1: A', chr(10), 'b: 7') WHEN 2 THEN 'B' ELSE 'free text' END"
-_ANSWER = "CASE doc_id % 9 WHEN 0 THEN concat('1) prawda', chr(10), '2 – Fałsz') WHEN 1 THEN 'P F P' WHEN 2 THEN concat('**2: F**', chr(10), '1: P', chr(10), '1: F') WHEN 3 THEN 'It is C, then A.' WHEN 4 THEN concat('1. C, because', chr(10), 'b- 12;', chr(10), 'z: 1') WHEN 5 THEN NULL WHEN 6 THEN '' WHEN 7 THEN concat('1: x', chr(10), substr(text, 1, 40)) ELSE concat(' ', text, ' ') END"
-_LINES = "list_filter(list_transform(string_split_regex({0}, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '')"
+_FORM = "CASE doc_id % 4 WHEN 0 THEN concat(chr(9), '1: P', chr(10), ' 2: F') WHEN 1 THEN concat('1: A', chr(10), 'b: 7') WHEN 2 THEN 'B' ELSE 'free text' END"
+_ANSWER = "CASE doc_id % 9 WHEN 0 THEN concat('1) prawda', chr(10), '2 – Fałsz') WHEN 1 THEN 'P F P' WHEN 2 THEN concat('**2: F**', chr(10), '1: P', chr(10), '1: F') WHEN 3 THEN 'It is C, then A.' WHEN 4 THEN concat('1. C, because', chr(10), 'b- 12;', chr(10), 'z: 1') WHEN 5 THEN NULL WHEN 6 THEN '' WHEN 7 THEN concat('1: x', chr(10), substr(text, 1, 40)) ELSE concat(chr(10), chr(9), text, ' ', chr(10)) END"
+_LINES = "list_filter(list_transform(string_split_regex({0}, '\\r?\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
 
 
 @query(rf"""
@@ -58,7 +58,7 @@ m AS (SELECT *, len(list_filter(vals, lambda v: v NOT IN ('P', 'F'))) = 0 AS two
 v AS (SELECT *, list_transform(labels, lambda k, i: CASE WHEN len(mine) > 0 THEN regexp_extract(list_filter(mine, lambda x: regexp_extract(x, '{C.ANSWER_LINE}', 1) = k)[1], '{C.ANSWER_LINE}', 2) END) AS raw FROM m),
 c AS (SELECT *, list_transform(raw, lambda r, i: labels[i] || ': ' || coalesce(CASE WHEN len(mine) = 0 THEN CASE WHEN two THEN alone[i] END WHEN NOT two THEN string_split_regex(r, '[\s,;.]')[1]
         WHEN regexp_matches(r, '(?i)^(p|prawda)') THEN 'P' WHEN regexp_matches(r, '(?i)^(f|fałsz)') THEN 'F' ELSE upper(left(r, 1)) END, '?')) AS out FROM v)
-SELECT doc_id, CASE WHEN labelled THEN array_to_string(out, chr(10)) WHEN regexp_full_match(trim(form), '[A-F]') THEN CASE WHEN regexp_matches(regexp_replace(bare, '[À-ɏ]', 'w', 'g'), '\b[A-F]\b') THEN regexp_extract(regexp_replace(bare, '[À-ɏ]', 'w', 'g'), '\b([A-F])\b', 1) ELSE left(trim(bare), 1) END ELSE trim(bare) END AS answer,
+SELECT doc_id, CASE WHEN labelled THEN array_to_string(out, chr(10)) WHEN regexp_full_match(trim(form), '[A-F]') THEN CASE WHEN regexp_matches(regexp_replace(bare, '[À-ɏ]', 'w', 'g'), '\b[A-F]\b') THEN regexp_extract(regexp_replace(bare, '[À-ɏ]', 'w', 'g'), '\b([A-F])\b', 1) ELSE left(regexp_replace(bare, '^\s+|\s+$', '', 'g'), 1) END ELSE regexp_replace(bare, '^\s+|\s+$', '', 'g') END AS answer,
   CASE WHEN labelled THEN array_to_string(list_transform(vals, lambda x, i: labels[i] || ': ' || CASE WHEN x IN ('P', 'F') THEN 'P/F' WHEN regexp_full_match(x, '[A-Z]') THEN 'letter' WHEN regexp_full_match(x, '[0-9]+') THEN 'number' ELSE x END), chr(10)) WHEN regexp_full_match(trim(form), '[A-F]') THEN 'letter' ELSE form END AS neutral
 FROM c""")
 def closed_coerce(t):
@@ -100,12 +100,22 @@ def score_totals(t):
     return C.totals(d.select("lang", F.when(short, "closed").otherwise("open").alias("kind"), F.when(short, F.col("doc_id") % 2).otherwise(F.col("quality")).alias("points"), (F.col("doc_id") % 3 + 1).alias("max_points")), "lang")
 
 
-@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN '1: P' || chr(10) || '2: F' END AS rendered, CASE WHEN event_id % 2 = 0 THEN 'yes' END AS single FROM events""")
+#: Answers as JSON objects: two slots in either order with values from the row, some not allowed, some with a slot too many or too few.
+_SLOTS = """concat('{', CASE WHEN user_id % 2 = 0 THEN '' ELSE concat('"1": "', substr('PFX', 1 + event_id % 3, 1), '"', CASE WHEN user_id % 7 = 3 THEN '' ELSE ', ' END) END,
+  CASE WHEN user_id % 7 = 3 THEN '' ELSE concat('"2": "', substr('FP', 1 + user_id % 2, 1), '"') END, CASE WHEN user_id % 2 = 0 THEN concat(CASE WHEN user_id % 7 = 3 THEN '' ELSE ', ' END, '"1": "', event_type, '"') ELSE '' END,
+  CASE WHEN event_id % 11 = 0 THEN ', "3": "P"' ELSE '' END, CASE WHEN event_id % 13 = 0 THEN '' ELSE '}' END)"""
+_ALLOWED = ["P", "F", "click", "view"]
+_FIELD = """concat('{"answer": ', CASE event_id % 4 WHEN 0 THEN concat('"', event_type, '"') WHEN 1 THEN '7' WHEN 2 THEN 'null' ELSE '""' END, CASE WHEN user_id % 3 = 0 THEN ', "why": "no"' ELSE '' END, '}')"""
+
+
+@query(f"""
+WITH a AS (SELECT event_id, {_SLOTS} AS a, {_FIELD} AS b FROM events),
+j AS (SELECT event_id, CASE WHEN json_valid(a) THEN a END AS a, b FROM a)
+SELECT event_id, CASE WHEN list_sort(json_keys(a)) = ['1', '2'] AND (a->>'$.1') IN {tuple(_ALLOWED)} AND (a->>'$.2') IN {tuple(_ALLOWED)} THEN '1: ' || (a->>'$.1') || chr(10) || '2: ' || (a->>'$.2') END AS rendered,
+  CASE WHEN json_keys(b) = ['answer'] THEN b->>'$.answer' END AS single FROM j""")
 def answer_render(t):
-    i = F.col("event_id") % 3
-    a = F.when(i == 0, '{"2": "F", "1": "P"}').when(i == 1, '{"1": "P", "2": "X"}').otherwise('{"1": "P"}')
-    b = F.when(F.col("event_id") % 2 == 0, '{"answer": "yes"}').otherwise('{"answer": "yes", "why": "no"}')
-    return t("events").select("event_id", S.rendered(a, ["1", "2"], ["P", "F"]).alias("rendered"), S.single_field(b).alias("single"))
+    rows = t("events").selectExpr("event_id", f"{_SLOTS} AS a", f"{_FIELD} AS b")
+    return rows.select("event_id", S.rendered(F.col("a"), ["1", "2"], _ALLOWED).alias("rendered"), S.single_field(F.col("b")).alias("single"))
 
 
 @query("""SELECT p_partkey, p_size % 2 = 0 AND NOT regexp_matches(lower(p_name), 'uzasadn|wyjaśn|explain|justify') AND len(list_distinct(string_split(p_name, ' '))) = len(string_split(p_name, ' ')) AS closed FROM part""")

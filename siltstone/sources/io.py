@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -13,14 +13,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bad_lines(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
+    """file, line, text of lines, but for blank ones, that don't fit the schema.
+
+    Files are read in parts by many tasks.  A line's number is its place in its part plus the lines of
+    the file's parts before it, of which there is one count for each part; only bad lines meet these counts.
+    """
+    full = StructType([*schema.fields, StructField("_bad", StringType())])
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"))
+    parts = lines.groupBy("file", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("file", "part", "first", before.alias("before"))
+    parsed = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})).where("r._bad IS NOT NULL")
+    return parsed.join(parts, ["file", "part"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), F.col("value").alias("text"))
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType, strict: bool = True) -> DataFrame:
-    """JSON lines with a given schema; blank lines are skipped, and with `strict` a line that doesn't fit is an error."""
+    """JSON lines with a given schema; blank lines are skipped, and with `strict` a line that doesn't fit is an error that names file and line."""
     full = StructType([*schema.fields, StructField("_bad", StringType())])
     rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     if strict:
-        bad = spark.read.text(path).where(F.trim("value") != "")
-        parsed = bad.select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-        gate(violation(parsed.where("r._bad is not null"), "json_line", F.col("value").substr(1, 40), F.lit("doesn't fit the schema")))
+        bad = bad_lines(spark, path, schema).orderBy("file", "line")
+        gate(violation(bad, "json_line", F.concat_ws(":", F.regexp_extract("file", "([^/]*)$", 1), "line"), F.col("text").substr(1, 40)))
     return rows.drop("_bad")
 
 
@@ -93,5 +107,6 @@ def checked_index(df: DataFrame, path: str) -> DataFrame:
 def markdown(rows: DataFrame, title: str) -> str:
     """A summary table (a few rows by construction) as Markdown."""
     names = rows.columns
-    lines = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.collect()]) + "\n"
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", "<br>")
+    lines = [f"# {title}", "", "| " + " | ".join(map(cell, names)) + " |", "|" + "---|" * len(names)]
+    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows.collect()]) + "\n"

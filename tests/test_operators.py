@@ -45,16 +45,9 @@ def test_spans_cover_the_text():
 
 
 def test_packing_and_skipping():
-    assert C.packed([5, 5, 5, 20], ["a", "a", "b", "b"], 10) == [(0, 2), (2, 3), (3, 4)]
     assert C.skipped([2, 3, 4, 2, 3], [False, True, False, False, False]) == [False, True, True, False, False]
 
 
-def test_html_blocks(spark):
-    html = "<nav><p>menu</p></nav><h2>Head</h2><p>A<br>b &amp; c</p><ul><li>x<li>y</ul><p><a href='/'>all link</a></p><table><tr><td>966</td><td>Baptism</td></tr></table><script>var p='<p>'</script>"
-    rows = C.html_blocks(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("pos").collect()
-    assert [(r["kind"], r["text"]) for r in rows] == [("h2", "Head"), ("p", "A b & c"), ("li", "x"), ("li", "y"), ("tr", "966 | Baptism")]
-
-
 def test_majority_and_medoid(spark):
     votes = spark.createDataFrame([(1, 0, "P"), (1, 1, "F"), (1, 2, "P"), (2, 0, "b"), (2, 1, "a")], "item_id int, pos int, value string")
     assert sorted(tuple(r) for r in S.majority(votes).collect()) == [(1, "P", 2), (2, "b", 1)]
