@@ -80,6 +80,8 @@ class PaneStream:
         for name, value in {
             "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
             "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # each start is a run of its own, whose stores would else stay on executors' disks
+            "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+            "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",  # file systems keep checksums of their own
             "spark.sql.streaming.noDataMicroBatches.enabled": "false",
             "spark.sql.shuffle.partitions": str(min(STATE_PARTITIONS, partitions(spark))),
         }.items():
@@ -91,16 +93,20 @@ class PaneStream:
         rows.select("kind", "cents", "at").observe(seen, F.max("at").alias("top")).write.mode("append").parquet(feed)
         self._run(feed)
         self._snapshot().write.mode("overwrite").parquet(self._state_at(self.turn))
-        records = self._records(last).unionByName(self._late(rows))
-        records = records.select(F.lit(self.turn).cast("long").alias("batch"), *[c.split()[0] for c in RECORDS.split(", ")[1:]])
-        records.write.mode("overwrite").parquet(f"{self.root}/records/of={self.turn}")
-        self.records(self.turn).where("record = 'emit'").select("hour", "kind", "batch").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/lifecycle/of={self.turn}")
+        fields = [F.lit(self.turn).cast("long").alias("batch"), *[c.split()[0] for c in RECORDS.split(", ")[1:]]]
+        self._late(rows).select(*fields).write.mode("overwrite").parquet(f"{self.root}/late/of={self.turn}")
+        # There are no more records than panes: few files hold them.
+        self._records(last).select(*fields).coalesce(STATE_PARTITIONS).write.mode("overwrite").parquet(f"{self.root}/records/of={self.turn}")
+        emitted = self.session.read.schema(RECORDS).parquet(f"{self.root}/records/of={self.turn}").where("record = 'emit'")
+        emitted.select("hour", "kind", "batch").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/lifecycle/of={self.turn}")
         top = seen.get["top"]
         self.mark = top if self.mark is None else self.mark if top is None else max(self.mark, top)
         self.turn += 1
 
-    def records(self, turn: int | None = None) -> DataFrame:
-        return self.session.read.schema(RECORDS).parquet(*[f"{self.root}/records/of={t}" for t in (range(self.turn) if turn is None else [turn])])
+    def records(self, session: SparkSession | None = None) -> DataFrame:
+        """All records so far."""
+        paths = [f"{self.root}/{kind}/of={t}" for kind in ("late", "records") for t in range(self.turn)]
+        return (session or self.session).read.schema(RECORDS).parquet(*paths)
 
     def _run(self, feed: str) -> None:
         """Starts the query on its checkpoint, lets it take what is new in the feed, and waits for its end."""
@@ -174,7 +180,7 @@ def revisions(clicks: DataFrame, n_batches: int = BATCHES) -> DataFrame:
     arrived = stream.session.read.schema(schema).parquet(f"{root}/batches")
     for turn in range(n_batches):
         stream.advance(arrived.where(F.col("batch") == turn), turn == n_batches - 1)
-    return spark.read.schema(RECORDS).parquet(*[f"{root}/records/of={t}" for t in range(n_batches)])
+    return stream.records(spark)
 
 
 SQL = f"""
