@@ -15,7 +15,7 @@ vectors, the fewest lists that find GOAL of the true neighbours.  `recall` measu
 result against brute force.
 
 Defined cases: vectors that are null, zero, of another length than most of the sample's, or hold
-null or non-finite components take no part; ties in score go to the smaller vec_id, and a null
+null or non-finite components take no part; finite ones of any size do; ties in score go to the smaller vec_id, and a null
 vec_id takes no part either; rows that repeat a vec_id are candidates each, for each other too, and
 queries each, with a result of their own; fewer candidates than k give all of them; an empty table
 gives no rows; other columns are ignored.
@@ -112,9 +112,14 @@ def scan(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, turned: np.ndarray, a
     rows tells the piece's rows apart, ids has their vec_id, asking is the query's own row, which is no candidate.
 
     While most pairs live a block is one product of matrices; once few do, it is added for those only.
+    The piece, and each query, are scaled by powers of two, which keep the order of a query's candidates
+    and make the largest component about 1: single precision has room for vectors of any finite size.
     """
     size, n = x.shape[1], len(x)
-    turned, q_turned = turned.astype(np.float32), q_turned.astype(np.float32)
+    of_piece, of_query = _scale(turned.max(initial=0), turned.min(initial=0)), _scale(q_turned.max(axis=1, initial=0), q_turned.min(axis=1, initial=0))
+    turned, q_turned = (turned * of_piece).astype(np.float32), (q_turned * of_query[:, None]).astype(np.float32)
+    with np.errstate(over="ignore"):
+        floor = (floor * of_piece) * of_query  # beyond single precision: no candidate of this piece reaches it
     squares = _head_squares(turned)
     out = []
     step = max(1, PAIRS // max(1, n))
@@ -122,7 +127,8 @@ def scan(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, turned: np.ndarray, a
         own, mine = asking[at : at + step], q_turned[at : at + step]
         q_squares = _head_squares(mine)
         slack = ROUNDING * np.sqrt(q_squares[:, -1] * squares[:, -1].max())  # single precision
-        least = floor[at : at + step].astype(np.float32) - slack
+        with np.errstate(over="ignore"):
+            least = floor[at : at + step].astype(np.float32) - slack
         alive = own[:, None] != rows[None]
         part, pairs = np.zeros(alive.shape, np.float32), None
         for a in range(0, size, BLOCK):
@@ -154,6 +160,12 @@ def scan(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, turned: np.ndarray, a
     return [np.concatenate(column) for column in zip(*out)]
 
 
+def _scale(high, low):
+    """The power of two that brings the larger of the two, without sign, to between 1 and 2; 1 for 0."""
+    most = np.maximum(np.abs(high), np.abs(low))
+    return np.where(most > 0, np.ldexp(1.0, -np.frexp(np.where(most > 0, most, 1.0))[1] + 1), 1.0)
+
+
 def _head_squares(x: np.ndarray) -> np.ndarray:
     """The squared norm of each row's first i columns, for all i from 0 to their number."""
     out = np.zeros((len(x), x.shape[1] + 1), x.dtype)
