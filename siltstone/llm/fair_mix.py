@@ -11,7 +11,8 @@ cut by counting words in 1024 ranges of virtual time, then within the range wher
 and so on (LEVELS times): each step sends at most 1024 sums to the driver.
 
 Defined cases: a null text has no words and is never taken; a null source is a source of its own,
-the last; rows with the same source and doc_id queue as one unit; all-empty tables give zero
+the last; rows that repeat a doc_id queue each alone, by a hash of their texts (`mix` takes rows that
+are equal in id and text, and on which the cut falls, together); all-empty tables give zero
 targets; ties in finish time go together; other columns are ignored by `plan` and carried by `mix`.
 """
 
@@ -37,7 +38,8 @@ def _queued(row: str = "") -> list:
     doc_id = F.coalesce(F.col(f"{row}doc_id").cast("string"), F.lit("null"))
     key = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + "|"), doc_id)), 1, 15), 16, 10).cast("long")
     size = F.regexp_count(F.coalesce(F.col(f"{row}text"), F.lit("")), F.lit(WORD)).cast("long")
-    return [F.col(f"{row}doc_id").alias("doc_id"), F.col(f"{row}source").alias("source"), size.alias("size"), key.alias("key")]
+    tie = F.conv(F.substring(F.md5(F.coalesce(F.col(f"{row}text"), F.lit(""))), 1, 15), 16, 10).cast("long")
+    return [F.col(f"{row}doc_id").alias("doc_id"), F.col(f"{row}source").alias("source"), size.alias("size"), key.alias("key"), tie.alias("tie")]
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -59,19 +61,20 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
-    """One row per document: doc_id, source, key, size, source_size, target, copies (0 to 2)."""
+    """One row per document: doc_id, source, key, tie, size, source_size, target, copies (0 to 2)."""
     spark = docs.sparkSession
     queue = cut(docs.select(*_queued()), "mix-queue")
     goal = cut(targets(queue.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share), "mix-goal")
-    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id").asc_nulls_first()]
-    ranged = queue.repartitionByRange(partitions(spark), *order).withColumn("_part", F.spark_partition_id())
+    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    # Rows of one doc_id and text are dealt over partitions at random; which of them is which makes no difference.
+    ranged = queue.repartitionByRange(partitions(spark), *order, F.rand(7)).withColumn("_part", F.spark_partition_id())
     ranged = cut(ranged, "mix-ranged")
     sums = ranged.groupBy("source", "_part").agg(F.sum("size").alias("_sum"))
     offset = F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # As many rows as there are range partitions and sources together.
     offsets = cut(sums.withColumn("_base", offset).drop("_sum"), "mix-offsets")
     same = F.col("source").eqNullSafe(F.col("s"))
-    inside = Window.partitionBy("_part", "source").orderBy(F.struct("key", "doc_id"))  # peers, rows of one doc_id, go together
+    inside = Window.partitionBy("_part", "source").orderBy("key", F.col("doc_id").asc_nulls_first(), "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = ranged.withColumn("_in", F.sum("size").over(inside))
     offsets = offsets.select(F.col("source").alias("s"), F.col("_part").alias("p"), "_base")
     rows = rows.join(small(offsets), same & (F.col("_part") == F.col("p"))).drop("s", "p")
@@ -83,10 +86,10 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     for epoch in range(EPOCHS):
         finish = (F.col("_base") + F.col("_in") + F.col("source_size") * epoch) / F.col("weight")
         rows = rows.withColumn(f"_cell{epoch}", F.floor(finish / F.lit(float(top)) * F.lit(float(cells))).cast("long"))
-    rows = cut(rows.select("doc_id", "source", "key", "size", "source_size", "target", *[f"_cell{e}" for e in range(EPOCHS)]), "mix-timed")
+    rows = cut(rows.select("doc_id", "source", "key", "tie", "size", "source_size", "target", *[f"_cell{e}" for e in range(EPOCHS)]), "mix-timed")
     last = _cut_cell(rows, total * share)
     copies = sum((F.col(f"_cell{e}") < last).cast("int") for e in range(EPOCHS))
-    return rows.select("doc_id", "source", "key", "size", "source_size", "target", copies.alias("copies"))
+    return rows.select("doc_id", "source", "key", "tie", "size", "source_size", "target", copies.alias("copies"))
 
 
 def _cut_cell(rows: DataFrame, budget: float) -> int:
@@ -113,11 +116,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     Of each source and epoch the last key taken is enough to decide on a row, so texts aren't shuffled.
     """
     chosen = plan(docs, weights, share)
-    upto = [F.max(F.when(F.col("copies") > e, F.struct("key", F.col("doc_id").isNotNull().alias("has"), "doc_id"))).alias(f"_upto{e}") for e in range(EPOCHS)]
+    upto = [F.max(F.when(F.col("copies") > e, F.struct("key", F.col("doc_id").isNotNull().alias("has"), "doc_id", "tie"))).alias(f"_upto{e}") for e in range(EPOCHS)]
     last = cut(chosen.where("size > 0").groupBy("source").agg(*upto), "mix-last").withColumnRenamed("source", "_s")
     queued = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).select("_row", *_queued("_row."))
     rows = queued.join(small(last), F.col("source").eqNullSafe(F.col("_s")))
-    here = F.struct("key", F.col("doc_id").isNotNull().alias("has"), "doc_id")
+    here = F.struct("key", F.col("doc_id").isNotNull().alias("has"), "doc_id", "tie")
     copies = sum(F.coalesce(here <= F.col(f"_upto{e}"), F.lit(False)).cast("int") for e in range(EPOCHS))
     rows = rows.where("size > 0").withColumn("_n", copies).where("_n > 0")
     return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
@@ -126,7 +129,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
 SQL = rf"""
 WITH q AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-         ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS key
+         ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS key, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS tie
   FROM documents
 ), g AS (
   SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
@@ -143,7 +146,7 @@ WITH q AS (
          least(cap, weight * coalesce(min(CASE WHEN level <= runs_out THEN level END) OVER (), max(runs_out) OVER ())) AS target
   FROM l
 ), c AS (
-  SELECT q.*, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST)::DOUBLE AS cum FROM q
+  SELECT q.*, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, tie ROWS UNBOUNDED PRECEDING)::DOUBLE AS cum FROM q
 ), t AS (
   SELECT c.doc_id, c.size, s.source_size, s.target, e.epoch,
          floor((c.cum + s.source_size * e.epoch) / s.weight / (SELECT coalesce(nullif(max(runs_out), 0), 1) FROM r) * 1073741824.0::DOUBLE)::BIGINT AS cell
