@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # How papers head their tasks and number their topics.
 HEADING = r"(?m)^Zadanie ([0-9]+(?:\.[0-9]+)*)\.?(?: \(0[–-]([0-9]+)\))?"
-NUMBERED = r"(?m)^([0-9]+)\. (.+)$"
-LETTERED = r"(?m)^([A-Z])\) (.+)$"
+NUMBERED = r"(?m)^\s*([0-9])\.\s+"
+LOOSELY = r"(?mi)^\s*(?:temat\s*(?:nr\.?\s*)?)?([0-9])\s*[.):]\s*"
 
 
 def headings(text: Column) -> Column:
@@ -19,9 +19,14 @@ def headings(text: Column) -> Column:
 
 
 def topics(text: Column) -> Column:
-    """Texts of numbered topics; if there are none, of lettered ones."""
-    numbered = F.regexp_extract_all(text, F.lit(NUMBERED), 2)
-    return F.when(F.size(numbered) > 0, numbered).otherwise(F.regexp_extract_all(text, F.lit(LETTERED), 2))
+    """Texts of numbered topics with single spaces; if there are none, of those numbered in a looser way."""
+
+    def split(pattern: str) -> Column:
+        n = F.size(F.regexp_extract_all(text, F.lit(pattern), 1))
+        return F.transform(F.slice(F.split(text, pattern), F.lit(2), n), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+
+    numbered = split(NUMBERED)
+    return F.when(F.size(numbered) > 0, numbered).otherwise(split(LOOSELY))
 
 
 # With what the instruction behind a thesis begins, the verbs that end its subject, and how a task names aspects.

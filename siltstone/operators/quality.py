@@ -72,6 +72,64 @@ def exclusions(record_start, record_end, query_start, query_end, record_entities
     return reasons_of([("period", period), ("intent", intent), ("entities", missing(query_entities, record_entities)), ("aspects", missing(query_aspects, record_aspects)), ("too_short", n_words < least_words)])
 
 
+# Bibliographic lines, image marks, addresses and page references, which must not become clues; how sources are headed and cited.
+REFERENCE_LINE = r"(?i)^\s*(?:na podstawie:|\[obraz:)|https?://|www\.|\b[A-Za-z0-9_]+\.(?:pl|org|com)\b|\bs\.\s*[0-9]"
+SOURCE_HEAD = r"(?im)^\s*[Źź]r[Óó]d[Łł]o\s+([0-9]+)\."
+SOURCE_CITED = r"(?i)[Źź]r[Óó]d(?:[Łł]o|[Łł]a|le)\s+([0-9]+)"
+# Furniture of answer sheets and of printed papers, as whole lines or as what lines begin with.
+SHEET = {"whole": (r"[. …•_]+", r"Uzasadnienie:(?: …)?"), "begins": (), "dots": r"[. …_]{4,}"}
+PAPER = {"whole": (r"Strona [0-9]+ z [0-9]+", r"[0-9]+(?:\.[0-9]+)?\.", r"0[–-][0-9]+(?:[–-][0-9]+)*"), "begins": ("Więcej arkuszy", "MHIP-"), "dots": None}
+
+
+def _lines(text: Column) -> Column:
+    return F.split(text, r"\r\n|\r|\n|\f")
+
+
+def question_source(prompt: Column, source: Column) -> Column:
+    """text, cited of a question: of its numbered sources those that the prompt cites, if all of them are there, else all that there is (and none cited); without reference lines."""
+    ids = F.regexp_extract_all(source, F.lit(SOURCE_HEAD), 1)
+    bodies = F.slice(F.split(source, SOURCE_HEAD), F.lit(2), F.size(ids))
+    cited = F.array_sort(F.array_distinct(F.regexp_extract_all(prompt, F.lit(SOURCE_CITED), 1)))
+    blocks = F.zip_with(ids, bodies, lambda i, b: F.struct(i.alias("id"), b.alias("body")))
+
+    def chosen(all_: Column) -> Column:
+        # Of a number that is given twice the last text counts, at the place of the first.
+        last = F.transform(F.array_distinct(F.transform(all_, lambda x: x["id"])), lambda i: F.try_element_at(F.filter(all_, lambda x: x["id"] == i), F.lit(-1)))
+        return F.array_join(F.transform(F.filter(last, lambda x: F.array_contains(cited, x["id"])), lambda x: x["body"]), "\n")
+
+    known = (F.size(cited) > 0) & (F.size(F.array_except(cited, ids)) == 0)
+    text = F.when(known, T.bound(blocks, chosen)).otherwise(source)
+    kept = F.array_join(F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: ~x.rlike(REFERENCE_LINE)), "\n")
+    return F.struct(kept.alias("text"), F.when(known, cited).otherwise(F.array().cast("array<string>")).alias("cited"))
+
+
+def without_furniture(text: Column, rule: dict) -> Column:
+    """Stripped lines that aren't empty and aren't the furniture of a rule (SHEET or PAPER); runs of dots become one mark where the rule says so."""
+    bare = F.transform(_lines(text), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    dotted = F.transform(bare, lambda x: F.regexp_replace(x, rule["dots"], " …")) if rule["dots"] else bare
+    whole = "^(?:" + "|".join(rule["whole"]) + ")$"
+
+    def stays(raw: Column, x: Column) -> Column:
+        keep = (raw != "") & ~raw.rlike(whole) & ~x.rlike(whole)
+        for start in rule["begins"]:
+            keep = keep & ~x.startswith(start)
+        return keep
+
+    both = F.zip_with(bare, dotted, lambda raw, x: F.when(stays(raw, x), x))
+    return F.array_join(F.array_compact(both), "\n")
+
+
+def article_reasons(missing: Column, disambiguation: Column, text: Column, least: int = 150) -> Column:
+    """Why a fetched article isn't used: it isn't there, lists other articles, or has too little text."""
+    bare = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
+    return reasons_of([("missing", F.coalesce(missing, F.lit(False))), ("disambiguation", F.coalesce(disambiguation, F.lit(False))), ("too_short", bare < least)])
+
+
+def bank_entry(entry_id: Column, n_words: Column, topics: Column, least: int = 320) -> Column:
+    """Whether a bank may take an entry: an id, enough words, and a topic at least."""
+    return F.coalesce((entry_id.cast("string") != "") & (n_words >= least) & (F.size(topics) > 0), F.lit(False))
+
+
 # Line furniture in scanned papers and on web pages.
 FURNITURE = (r"^\s*[0-9]{1,3}\s*$", r"^\s*[.…_-]{5,}\s*$", r"^\s*(?:strona|page)\s+[0-9]+", r"^\s*https?://\S+\s*$")
 

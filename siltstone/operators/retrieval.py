@@ -106,7 +106,9 @@ def bm25(queries: DataFrame, docs: DataFrame, rule: Ranking = Ranking(), broad=(
 def diversified(scored: DataFrame, rule: Ranking = Ranking()) -> DataFrame:
     """Of scored hits those near the best, at most per_source from a source, at most k in all."""
     order = [F.desc("score"), F.col("doc_id")]
-    near = scored.withColumn("best", F.max("score").over(Window.partitionBy("item_id"))).where(F.col("score") >= rule.relative * F.col("best"))
+    # A query's hits never meet in one task: its best score is a partial maximum, and only per_source hits of each source go on.
+    best = scored.groupBy("item_id").agg(F.max("score").alias("best"))
+    near = scored.join(best, "item_id").where(F.col("score") >= rule.relative * F.col("best"))
     few = near.withColumn("n", F.row_number().over(Window.partitionBy("item_id", "source").orderBy(*order))).where(F.col("n") <= rule.per_source)
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(*order))).where(F.col("rank") <= rule.k)
     return ranked.select("item_id", "rank", "doc_id", "source", "score", "n_terms", "in_title")
@@ -154,10 +156,19 @@ def tfidf(queries: DataFrame, records: DataFrame, char_weight: float = 0.25, pla
     return sums.where("item_id is not null").join(norm_q, "item_id").join(norm_d, "doc_id").select("item_id", "doc_id", F.round(score, places).alias("score"))
 
 
+def _two_best(scored: DataFrame, by: list[str], order: list) -> DataFrame:
+    """by, doc_id and score of the first in order, and the second's score (null if there is none).
+
+    Each task keeps its two best before they are shuffled.
+    """
+    two = scored.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("n <= 2")
+    first = lambda c: F.max(F.when(F.col("n") == 1, F.col(c))).alias(c)
+    return two.groupBy(*by).agg(first("doc_id"), first("score"), F.max(F.when(F.col("n") == 2, F.col("score"))).alias("second"))
+
+
 def decide(scored: DataFrame, least: float, margin: float = 0.03) -> DataFrame:
     """item_id, doc_id, score, status: matched, below_threshold or ambiguous; the answer is given only when matched."""
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    top = scored.withColumn("n", F.row_number().over(order)).withColumn("second", F.lead("score").over(order)).where("n = 1")
+    top = _two_best(scored, ["item_id"], [F.desc("score"), F.col("doc_id")])
     gap = F.col("score") - F.col("second")
     status = F.when((F.col("score") <= 0) | (F.col("score") < least), "below_threshold").when((gap <= 1e-12) | (gap < margin), "ambiguous").otherwise("matched")
     top = top.select("item_id", "doc_id", "score", status.alias("status"))
@@ -313,8 +324,8 @@ def bank_scores(topics: DataFrame, entries: DataFrame, rule: BankRule = BankRule
 
 def best_topic(scored: DataFrame, group: str) -> DataFrame:
     """Of a group's topics the one with the best (score, margin to its second); the first topic wins ties, the later entry too."""
-    order = Window.partitionBy(group, "item_id").orderBy(F.desc("score"), F.desc("doc_id"))
-    top = scored.withColumn("n", F.row_number().over(order)).withColumn("margin", F.round(F.col("score") - F.coalesce(F.lead("score").over(order), F.lit(0.0)), 6)).where("n = 1")
+    top = _two_best(scored, [group, "item_id"], [F.desc("score"), F.desc("doc_id")])
+    top = top.withColumn("margin", F.round(F.col("score") - F.coalesce("second", F.lit(0.0)), 6))
     pick = Window.partitionBy(group).orderBy(F.desc("score"), F.desc("margin"), "item_id")
     return top.withColumn("n", F.row_number().over(pick)).where("n = 1").select(group, "item_id", "doc_id", "score", "margin")
 

@@ -103,3 +103,25 @@ def chat(turns: DataFrame) -> DataFrame:
     line = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n"))
     grouped = turns.select("conv_id", F.struct("turn", line.alias("line")).alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     return grouped.select("conv_id", F.size("ts").alias("n_turns"), F.array_join(F.transform("ts", lambda t: t["line"]), "").alias("text"))
+
+
+def scored_answers(keys: DataFrame, answers: DataFrame, grades: DataFrame, items: DataFrame) -> DataFrame:
+    """id, kind, points, max_points, state of each item of the keys or the exam.
+
+    keys: id, kind (choice, labelled_components or another), expected (array), labels, points_by_correct
+    (map).  answers: id, answer.  grades: id, points.  items: id, max_points.  Closed items are scored
+    from the key, one without an answer as an empty answer (`closed`); the others need a grade
+    (`graded`), without which they are `pending`, with null points.  An item of the exam without a key
+    is graded by hand.  Without max_points a closed item has the most that its key gives.
+    """
+    from .closed import labelled_points
+
+    c = F.col
+    rows = keys.join(items, "id", "full_outer").join(answers.select("id", "answer"), "id", "left").join(grades.select("id", c("points").alias("grade")), "id", "left")
+    kind = F.coalesce("kind", F.lit("manual"))
+    closed = kind.isin("choice", "labelled_components")
+    answer = F.coalesce("answer", F.lit(""))
+    by_key = F.when(kind == "choice", choice_points(answer, F.get("expected", 0), F.lit(1))).otherwise(labelled_points(answer, c("labels"), c("expected"), c("points_by_correct")))
+    most = F.coalesce("max_points", F.when(closed, F.coalesce(F.array_max(F.map_values("points_by_correct")), F.lit(1))))
+    state = F.when(closed, "closed").when(c("grade").isNotNull(), "graded").otherwise("pending")
+    return rows.select("id", kind.alias("kind"), F.when(closed, by_key).otherwise(c("grade")).cast("int").alias("points"), most.cast("int").alias("max_points"), state.alias("state"))

@@ -28,10 +28,12 @@ def task_headings(t):
     return t("part").select("p_partkey", F.explode(E.headings(_paper())).alias("h")).select("p_partkey", "h.id", "h.points")
 
 
-@query(rf"""WITH p AS (SELECT p_partkey, {_PAPER} AS t FROM part), n AS (SELECT p_partkey, regexp_extract_all(t, '(?m)^([0-9]+)\. (.+)$', 2) AS a, regexp_extract_all(t, '(?m)^([A-Z])\) (.+)$', 2) AS b FROM p)
-SELECT p_partkey, unnest(CASE WHEN len(a) > 0 THEN a ELSE b END) AS topic FROM n""")
+@query(rf"""WITH p AS (SELECT p_partkey, {_PAPER} || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || 'Temat nr 1: ' || p_name || chr(10) || '  temat 2) ' || p_type || chr(10) || '  and more' ELSE '' END AS t FROM part),
+n AS (SELECT p_partkey, t, len(regexp_extract_all(t, '{E.NUMBERED}')) AS n, len(regexp_extract_all(t, '{E.LOOSELY}')) AS m FROM p)
+SELECT p_partkey, trim(regexp_replace(unnest(CASE WHEN n > 0 THEN string_split_regex(t, '{E.NUMBERED}')[2:] ELSE string_split_regex(t, '{E.LOOSELY}')[2:] END), '\s+', ' ', 'g')) AS topic FROM n""")
 def topic_split(t):
-    return t("part").select("p_partkey", F.explode(E.topics(_paper())).alias("topic"))
+    more = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("\nTemat nr 1: "), "p_name", F.lit("\n  temat 2) "), "p_type", F.lit("\n  and more"))).otherwise("")
+    return t("part").select("p_partkey", F.explode(E.topics(F.concat(_paper(), more))).alias("topic"))
 
 
 @query(rf"""WITH p AS (SELECT p_partkey, {_PAPER} AS t FROM part)

@@ -54,10 +54,11 @@ def filter_cascade(t):
 
 @query(f"""
 SELECT doc_id, line_key FROM (SELECT doc_id, {key('split_part(text, chr(10), 1)')} AS line_key, row_number() OVER (PARTITION BY {key('split_part(text, chr(10), 1)')} ORDER BY doc_id) AS n
-  FROM documents WHERE len({words('text')}) >= 320) WHERE n = 1""")
+  FROM documents WHERE len({words('text')}) >= 320 AND len(list_filter(string_split(split_part(text, chr(10), 2), ' '), lambda w: w <> '')) > 0) WHERE n = 1""")
 def bank_merge(t):
     rows = t("documents").select("doc_id", "text", T.key(T.first_line(F.col("text"))).alias("line_key"))
-    return Q.accepted_once(rows, T.word_count(F.col("text")) >= 320, "line_key", "doc_id").select("doc_id", "line_key")
+    topics = F.filter(F.split(F.split_part("text", F.lit("\n"), F.lit(2)), " "), lambda w: w != "")
+    return Q.accepted_once(rows, Q.bank_entry(F.col("doc_id"), T.word_count(F.col("text")), topics), "line_key", "doc_id").select("doc_id", "line_key")
 
 
 @query(f"""
@@ -204,3 +205,46 @@ def html_blocks(t):
 @query()
 def section_passages(t):
     return H.section_passages(t("pages"), PAGES)
+
+
+#: A document as a question: its sources are its lines dealt in turn, with bibliography between them; the prompt cites one, two or a missing one.
+_SOURCES = "concat('Źródło 1.', chr(10), text, chr(10), 'Na podstawie: x', chr(10), ' źródło  2. ', substr(text, 1, 200), chr(10), 'see b.org or s. 12', chr(10), 'ŹRÓDŁO 3.', chr(10), source, CASE WHEN doc_id % 5 = 0 THEN concat(chr(10), 'Źródło 1. again') ELSE '' END)"
+_PROMPT = "concat('Use ', CASE doc_id % 4 WHEN 0 THEN 'źródle 2' WHEN 1 THEN 'źródła 3 and Źródło 1' WHEN 2 THEN 'źródło 9 and źródło 1' ELSE 'nothing' END, ' of ', lang)"
+
+
+@query(rf"""
+WITH q AS (SELECT doc_id, {_SOURCES} AS s, {_PROMPT} AS p FROM documents),
+b AS (SELECT doc_id, s, regexp_extract_all(s, '{Q.SOURCE_HEAD}', 1) AS ids, string_split_regex(s, '{Q.SOURCE_HEAD}')[2:] AS bodies, list_sort(list_distinct(regexp_extract_all(p, '{Q.SOURCE_CITED}', 1))) AS cited FROM q),
+k AS (SELECT *, len(cited) > 0 AND len(list_filter(cited, lambda c: NOT list_contains(ids, c))) = 0 AS known FROM b),
+f AS (SELECT doc_id, known, cited, CASE WHEN known THEN array_to_string(list_transform(list_filter(list_filter(range(1, len(ids) + 1), lambda i: list_position(ids, ids[i]) = i), lambda i: list_contains(cited, ids[i])),
+   lambda i: bodies[list_max(list_filter(range(1, len(ids) + 1), lambda j: ids[j] = ids[i]))]), chr(10)) ELSE s END AS x FROM k)
+SELECT doc_id, sha256(array_to_string(list_filter(string_split_regex(x, '\r\n|\r|\n'), lambda l: NOT regexp_matches(l, '{Q.REFERENCE_LINE}')), chr(10))) AS text_sha256, CASE WHEN known THEN array_to_string(cited, ',') ELSE '' END AS cited FROM f""")
+def cited_sources(t):
+    rows = t("documents").selectExpr("doc_id", f"{_SOURCES} AS s", f"{_PROMPT} AS p").select("doc_id", Q.question_source(F.col("p"), F.col("s")).alias("x"))
+    return rows.select("doc_id", F.sha2("x.text", 256).alias("text_sha256"), F.array_join("x.cited", ",").alias("cited"))
+
+
+_SHEET = "concat('  Strona 3 z 12', chr(10), text, chr(12), '0–1–2', chr(10), ' ......___  ', chr(10), 'Name ………… here', chr(10), 'Uzasadnienie: ......', chr(10), 'MHIP-2024 x', chr(10), '12.3.', chr(10), chr(9), 'Więcej arkuszy', chr(10), source)"
+
+
+def _furniture(rule):
+    dots = f"list_transform(b, lambda x: regexp_replace(x, '{rule['dots']}', ' …', 'g'))" if rule["dots"] else "b"
+    whole = "(?:" + "|".join(rule["whole"]) + ")"
+    starts = "".join(f" OR starts_with(d[i], '{x}')" for x in rule["begins"])
+    return f"(SELECT sha256(array_to_string(list_transform(list_filter(range(1, len(b) + 1), lambda i: NOT (b[i] = '' OR regexp_full_match(b[i], '{whole}') OR regexp_full_match(d[i], '{whole}'){starts})), lambda i: d[i]), chr(10))) FROM (SELECT b, {dots} AS d))"
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, list_transform(string_split_regex({_SHEET}, '\r\n|\r|\n|\f'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS b FROM documents)
+SELECT doc_id, {_furniture(Q.SHEET)} AS sheet_sha256, {_furniture(Q.PAPER)} AS paper_sha256 FROM l""")
+def furniture(t):
+    rows = t("documents").selectExpr("doc_id", f"{_SHEET} AS s")
+    return rows.select("doc_id", F.sha2(Q.without_furniture(F.col("s"), Q.SHEET), 256).alias("sheet_sha256"), F.sha2(Q.without_furniture(F.col("s"), Q.PAPER), 256).alias("paper_sha256"))
+
+
+@query(r"""SELECT page_id, list_filter([CASE WHEN page_id % 7 = 0 THEN 'missing' END, CASE WHEN page_id % 5 = 0 THEN 'disambiguation' END, CASE WHEN length(regexp_replace(coalesce(x, ''), '^\s+|\s+$', '', 'g')) < 150 THEN 'too_short' END], lambda x: x IS NOT NULL) AS reasons
+FROM (SELECT page_id, CASE WHEN page_id % 7 > 0 THEN regexp_extract(html, '<h1>(.*?)</h1>', 1) || repeat(' ', page_id % 200) || regexp_extract(html, '<p>([^<]*)</p>', 1) END AS x FROM pages)""")
+def article_filter(t):
+    i = F.col("page_id")
+    text = F.when(i % 7 > 0, F.concat(F.regexp_extract("html", "<h1>(.*?)</h1>", 1), F.repeat(F.lit(" "), (i % 200).cast("int")), F.regexp_extract("html", "<p>([^<]*)</p>", 1)))
+    return t("pages").select("page_id", Q.article_reasons(i % 7 == 0, i % 5 == 0, text).alias("reasons"))

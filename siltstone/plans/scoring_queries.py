@@ -145,3 +145,28 @@ def blinded_packet(t):
 @query("""SELECT conv_id, count(*)::INT AS n_turns, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id""")
 def chat_render(t):
     return S.chat(t("conversations"))
+
+
+@query(r"""
+WITH k AS (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'choice' WHEN 1 THEN 'labelled_components' ELSE 'essay' END AS kind FROM documents WHERE doc_id % 10 < 8),
+i AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 > 0 THEN 1 + doc_id % 3 END AS m FROM documents WHERE doc_id % 10 > 0),
+a AS (SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN 'B, since ' || text WHEN 1 THEN '1: P' || chr(10) || ' 2:F x' WHEN 4 THEN '2: F' || chr(10) || '1: F' ELSE text END AS answer FROM documents WHERE doc_id % 7 > 0),
+r AS (SELECT coalesce(k.id, i.id) AS id, coalesce(kind, 'manual') AS kind, m, coalesce(answer, '') AS a, quality FROM k FULL JOIN i ON k.id = i.id LEFT JOIN a ON a.id = coalesce(k.id, i.id) LEFT JOIN labels l ON l.doc_id = coalesce(k.id, i.id)),
+g AS (SELECT *, list_filter(string_split_regex(a, '\r?\n'), lambda x: regexp_matches(x, '^\s*([0-9A-Za-z]{1,3})\s*:\s*(\S+)')) AS ls FROM r),
+n AS (SELECT *, CASE WHEN regexp_extract(list_filter(ls, lambda x: regexp_extract(x, '^\s*([0-9A-Za-z]{1,3})\s*:', 1) = '1')[-1], '^\s*[0-9A-Za-z]{1,3}\s*:\s*(\S+)', 1) = 'P' THEN 1 ELSE 0 END
+   + CASE WHEN regexp_extract(list_filter(ls, lambda x: regexp_extract(x, '^\s*([0-9A-Za-z]{1,3})\s*:', 1) = '2')[-1], '^\s*[0-9A-Za-z]{1,3}\s*:\s*(\S+)', 1) = 'F' THEN 1 ELSE 0 END AS hits FROM g)
+SELECT id, kind, CASE kind WHEN 'choice' THEN CASE WHEN regexp_extract(regexp_replace(a, '[À-ɏ]', 'w', 'g'), '\b([A-F])\b', 1) = 'B' THEN 1 ELSE 0 END WHEN 'labelled_components' THEN [0, 1, 3][hits + 1] ELSE quality END::INT AS points,
+  coalesce(m, CASE kind WHEN 'choice' THEN 1 WHEN 'labelled_components' THEN 3 END)::INT AS max_points, CASE WHEN kind IN ('choice', 'labelled_components') THEN 'closed' WHEN quality IS NOT NULL THEN 'graded' ELSE 'pending' END AS state FROM n""")
+def scored_items(t):
+    d, i = t("documents"), F.col("doc_id")
+    kind = F.when(i % 3 == 0, "choice").when(i % 3 == 1, "labelled_components").otherwise("essay")
+    one = F.lit(None).cast("map<string,int>")
+    keys = d.where(i % 10 < 8).select(
+        i.alias("id"), kind.alias("kind"), F.when(i % 3 == 0, F.array(F.lit("B"))).otherwise(F.array(F.lit("P"), F.lit("F"))).alias("expected"), F.array(F.lit("1"), F.lit("2")).alias("labels"),
+        F.when(i % 3 == 1, F.create_map(F.lit("0"), F.lit(0), F.lit("1"), F.lit(1), F.lit("2"), F.lit(3))).otherwise(one).alias("points_by_correct"),
+    )
+    items = d.where(i % 10 > 0).select(i.alias("id"), F.when(i % 4 > 0, i % 3 + 1).cast("int").alias("max_points"))
+    answer = F.when(i % 6 == 0, F.concat(F.lit("B, since "), "text")).when(i % 6 == 1, "1: P\n 2:F x").when(i % 6 == 4, "2: F\n1: F").otherwise(F.col("text"))
+    answers = d.where(i % 7 > 0).select(i.alias("id"), answer.alias("answer"))
+    grades = t("labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("points"))
+    return S.scored_answers(keys, answers, grades, items)
