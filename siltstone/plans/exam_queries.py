@@ -42,7 +42,7 @@ def essay_tasks(t):
     return t("part").select("p_partkey", E.essay_task(_paper()).alias("task"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_extract(split_part(split_part(text, chr(10), 1), '.', 1), '(?i)^(.*?)(?:\s(?:is|of|de|und)\s.*)?$', 1)) AS subject FROM documents""")
+@query(r"""SELECT doc_id, trim(string_split_regex(split_part(split_part(text, chr(10), 1), '.', 1), '(?i)(^|[^\p{L}\p{N}_])(is|of|de|und)($|[^\p{L}\p{N}_])')[1]) AS subject FROM documents""")
 def subject_split(t):
     return t("documents").select("doc_id", E.subject(F.substring_index(T.first_line(F.col("text")), ".", 1), ("is", "of", "de", "und")).alias("subject"))
 
