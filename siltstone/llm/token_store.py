@@ -28,7 +28,6 @@ import uuid
 import zlib
 from array import array
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -168,9 +167,11 @@ class UnitEncoder:
         return self.first[units[0]] + b"".join(map(self.rest.__getitem__, units[1:]))
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> UnitEncoder:
-    return UnitEncoder(path)
+def encoder(path: str):
+    """By merge ranks where the file allows it; texts for which that could differ go through UnitEncoder."""
+    from .rank_encoder import encoder as ranked
+
+    return ranked(path)
 
 
 def _open(root: str):
