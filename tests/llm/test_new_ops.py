@@ -255,3 +255,15 @@ def test_search_of_any_finite_size(spark, sizes):
         score = (x[q] * x).sum(axis=1)
         want = [int(i) for i in np.lexsort((np.arange(120), -score)) if i != q][:5]
         assert [v for v, _ in got[q]] == want and [s for _, s in got[q]] == pytest.approx([score[v] for v in want])
+
+
+def test_ranks_give_the_ids_of_the_library():
+    from siltstone.llm.token_store import encoder
+
+    rng, own, library_ = random.Random(8), encoder(PATH), Tokenizer.from_file(PATH)
+    assert own.ranked
+    letters = [chr(c) for c in range(0x250)] + [" "] * 60 + ["'s", "'ll", "\n", "\r\n", "<|endoftext|>", "İ", "日", "é"] + list("the quick brown") * 6
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)] + ["a" * 5000, " " * 5000, "é" * 5000, "", " ", "x" * 999 + " y"]
+    for text in texts:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library_.encode(text, add_special_tokens=False).ids, text
+    assert own.encode(None) == b""
