@@ -8,6 +8,7 @@ never shuffled.  Pages that can't be read safely get a status instead of blocks.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -23,6 +24,9 @@ _BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "footer", "
 _ENDS = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
 _BOUNDS = {"div", "td", "th", "li", "body", "html", "section", "article", "main", "table", "blockquote", "aside"}
 
+#: What is nested deeper lies beside its parent: pages may leave any number of elements open.
+_DEPTH = 200
+
 # Labels of related links and of sections, and the section before the first heading.
 RELATED = r"^(Pracuj ze źródłami|Opracowanie tematu|Galeria ilustracji|Zobacz też|Rozwiąż quiz)\s*:"
 HEADINGS = (r"^[IVXLCDM]+\.\s", r"(?i)^Najważniejsze (?:pojęcia|daty|postaci[e]?)$")
@@ -51,6 +55,7 @@ class Node:
     attrs: dict
     parent: Node | None = None
     children: list = field(default_factory=list)
+    places: dict | None = None  #: numbers of children, made when first asked for
 
     def every(self, *tags: str):
         """The elements below of these kinds, in order."""
@@ -67,11 +72,18 @@ class Node:
         return name in self.attrs.get("class", "").split()
 
     def path(self) -> str:
+        """Where it stands: the kinds above it, with its number among those of its kind where there are several."""
         if self.parent is None:
             return ""
-        same = [c for c in self.parent.children if isinstance(c, Node) and c.tag == self.tag]
-        at = f"[{next(i for i, c in enumerate(same, 1) if c is self)}]" if len(same) > 1 else ""
-        return f"{self.parent.path()}/{self.tag}{at}"
+        if self.parent.places is None:
+            self.parent.places, seen = {}, Counter()
+            for c in self.parent.children:
+                if isinstance(c, Node):
+                    seen[c.tag] += 1
+                    self.parent.places[id(c)] = seen[c.tag]
+            self.parent.places[""] = seen
+        several = self.parent.places[""][self.tag] > 1
+        return f"{self.parent.path()}/{self.tag}" + (f"[{self.parent.places[id(self)]}]" if several else "")
 
 
 class _Tree(HTMLParser):
@@ -97,7 +109,7 @@ class _Tree(HTMLParser):
         self.open[-1].children.append(node)
         if tag == "br":
             self.open[-1].children.append(" ")
-        elif tag not in _VOID:
+        elif tag not in _VOID and len(self.open) < _DEPTH:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):

@@ -81,6 +81,13 @@ def test_pages_that_cant_be_read():
     assert page("<table><tr>loose words<td>cell</td></tr></table><p>" + "long enough text " * 20 + "</p>")["status"] == "coverage"
 
 
+def test_deep_and_wide_pages():
+    deep = H.article("<body>" + "<div><b>" * 5000 + "deep text", None, "T", H.PageRule(least_text=0, least_blocks=0))
+    assert deep["status"] == "ok" and [b["text"] for b in deep["blocks"]] == ["deep text"]
+    wide = H.article("<body>" + "<p>x</p>" * 20_000, None, "T", H.PageRule(least_text=0, least_blocks=0))
+    assert wide["blocks"][-1]["path"] == "/body/p[20000]"
+
+
 def test_html_operators(spark):
     html = "<nav><p>menu</p></nav><h2>Head</h2><h3>Sub</h3><p>A<br>b &amp; c</p><ul><li>x<li>y</ul><table><tr><td>966</td><td>Baptism</td></tr></table><script>var p='<p>'</script><p>open"
     pages = spark.createDataFrame([(1, "u", html), (2, "u", None), (3, "u", "")], "page_id long, url string, html string")
