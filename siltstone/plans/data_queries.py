@@ -82,7 +82,7 @@ _ARTICLE = {
     "source": "concat('https://', CASE WHEN doc_id % 17 = 0 THEN 'bad' ELSE lang END, '.org/wiki/', doc_id, CASE WHEN doc_id % 19 = 0 THEN '?start=1' ELSE '' END)",
     "licence": "CASE WHEN doc_id % 23 = 0 THEN 'none' ELSE 'CC BY-SA 4.0' END",
 }
-_STOP = "CASE WHEN doc_id % 37 = 0 THEN 1000000 ELSE least(length(text), 40) END"
+_STOP = "CASE WHEN doc_id % 37 = 0 THEN 1000000 ELSE length(text) END"
 _PASSAGE = {
     "id": "concat('p', doc_id)",
     "article_id": "CASE WHEN doc_id % 41 = 0 THEN -doc_id - 1 ELSE doc_id END",
@@ -91,7 +91,7 @@ _PASSAGE = {
     "start": "0",
     "stop": _STOP,
     "prefix": "concat(substr(text, 1, 12), CASE WHEN doc_id % 47 = 0 THEN ' - ' ELSE ' — ' END, source, chr(10))",
-    "body": "substr(text, 1, 40)",
+    "body": "text",
     "licence": "CASE WHEN doc_id % 53 = 0 THEN 'none' WHEN doc_id % 23 = 0 THEN 'none' ELSE 'CC BY-SA 4.0' END",
     "source": _ARTICLE["source"],
 }
@@ -101,7 +101,7 @@ _SCOPES = {lang: (f"{lang}.org", "/wiki/", "CC BY-SA") for lang in ("en", "de",
 @query(f"""WITH d AS (SELECT *, sha256(text) AS sha FROM documents), a AS (SELECT {_sql(_ARTICLE)} FROM d),
 p0 AS (SELECT {_sql(_PASSAGE)} FROM d WHERE doc_id % 31 <> 0), p1 AS (SELECT * EXCLUDE (stop, body), stop AS "end", prefix || body AS text, sha256(CASE WHEN id LIKE '%77' THEN 'x' ELSE body END) AS body_sha256 FROM p0),
 p AS (FROM p1 UNION ALL (FROM p1 WHERE id LIKE '%99')),
-h AS (SELECT p.*, a.text AS t, a.title AS t2, a.licence AS l2, a.source AS s2, "end" <= length(a.text) AND start < "end" AS inside, a.article_id IS NOT NULL AS known, substr(a.text, 1, 40) AS held FROM p LEFT JOIN a USING (article_id)),
+h AS (SELECT p.*, a.text AS t, a.title AS t2, a.licence AS l2, a.source AS s2, "end" <= length(a.text) AND start < "end" AS inside, a.article_id IS NOT NULL AS known, a.text AS held FROM p LEFT JOIN a USING (article_id)),
 v AS (
   SELECT 'text_hash' AS rule, article_id::VARCHAR AS e, source AS d FROM a WHERE sha256(text) <> text_sha256
   UNION ALL SELECT 'scope', article_id::VARCHAR, source FROM a WHERE NOT (kind IN ('en', 'de', 'fr', 'es') AND starts_with(source, 'https://' || kind || '.org/wiki/') AND NOT contains(source, '?') AND starts_with(licence, 'CC BY-SA'))

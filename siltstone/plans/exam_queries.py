@@ -113,7 +113,7 @@ def rotation_votes(t):
     return C.rotation_winner(replies, e.groupBy(F.col("user_id").alias("item_id"), F.col("event_type").alias("option")).agg(F.max("value").alias("score")))
 
 
-@query("""SELECT a.k AS ordinal, a.n_name AS paper, b.c_name AS report FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation) a JOIN (SELECT *, row_number() OVER (ORDER BY c_custkey) AS k FROM customer WHERE c_custkey <= 25) b USING (k)""")
+@query("""SELECT a.k AS ordinal, a.n_name AS paper, b.c_name AS report FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation) a JOIN (SELECT *, row_number() OVER (ORDER BY c_custkey) AS k FROM customer) b USING (k)""")
 def papers_with_reports(t):
     papers = t("nation").select((F.col("n_nationkey") + 1).alias("ordinal"), F.col("n_name").alias("paper"))
     first = t("customer").agg(F.min("c_custkey").alias("low"))

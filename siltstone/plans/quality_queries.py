@@ -137,11 +137,11 @@ def seeded_sample(t):
     return shuffled(t("documents"), "s1", 50).select("doc_id", F.substring("text", 1, 80).alias("head"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace('<think>' || left(text, 30) || '</think> ' || text, '(?s)<think>.*?</think>', '', 'g')) AS answer,
- trim(regexp_replace(left(text, 60) || ' [image: map] end', '(?i)\[(?:image|img|obraz)[^\]]*\]', '', 'g')) AS prompt FROM documents""")
+@query(r"""SELECT doc_id, trim(regexp_replace('<think>' || text || '</think> ' || text, '(?s)<think>.*?</think>', '', 'g')) AS answer,
+ trim(regexp_replace('[IMG 1] ' || text || ' [image: map] end', '(?i)\[(?:image|img|obraz)[^\]]*\]', '', 'g')) AS prompt FROM documents""")
 def stripped_markup(t):
-    a = F.concat(F.lit("<think>"), F.left("text", F.lit(30)), F.lit("</think> "), F.col("text"))
-    return t("documents").select("doc_id", T.strip_thinking(a).alias("answer"), T.without_markers(F.concat(F.left("text", F.lit(60)), F.lit(" [image: map] end"))).alias("prompt"))
+    a = F.concat(F.lit("<think>"), "text", F.lit("</think> "), "text")
+    return t("documents").select("doc_id", T.strip_thinking(a).alias("answer"), T.without_markers(F.concat(F.lit("[IMG 1] "), "text", F.lit(" [image: map] end"))).alias("prompt"))
 
 
 _LINES = "WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), s AS (SELECT doc_id, pos, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l)"

@@ -41,23 +41,19 @@ def corpus_stats(t):
     return R.corpus_stats(t("documents")).select("n", F.round("avg_len", 6).alias("avg_len"))
 
 
-@query(f"SELECT item_id, gram FROM (SELECT item_id, unnest({ngrams('ws', 8)}) AS gram FROM (SELECT item_id, list_filter(string_split({key('text')}, ' '), lambda w: w <> '') AS ws FROM benchmark))")
+@query(f"SELECT doc_id, gram FROM (SELECT doc_id, unnest({ngrams('ws', 8)}) AS gram FROM (SELECT doc_id, list_filter(string_split({key('text')}, ' '), lambda w: w <> '') AS ws FROM documents))")
 def word_ngrams(t):
     ws = F.filter(F.split(T.key(F.col("text")), " "), lambda w: w != "")
-    return t("benchmark").select("item_id", F.explode(T.ngrams(ws, 8)).alias("gram"))
+    return t("documents").select("doc_id", F.explode(T.ngrams(ws, 8)).alias("gram"))
 
 
-_FEATURES = """
-WITH w AS (SELECT {id}, unnest(list_filter(string_split({key}, ' '), lambda w: w <> '')) AS w FROM {table}),
-     p AS (SELECT {id}, '^' || w || '$' AS p FROM w WHERE length(w) >= 3),
-     f AS (SELECT {id}, 'w:' || w AS f FROM w
-           UNION ALL SELECT {id}, 'c:' || substr(p, i::INT, n::INT) FROM p, (VALUES (3), (4)) v(n), range(1, 40) r(i) WHERE i <= length(p) - n + 1)
-"""
+#: Words, and of words of three characters and more their runs of 3 and 4; {0} has id and w.
+_FEATURE = "SELECT id, 'w:' || w AS f FROM {0} UNION ALL SELECT id, 'c:' || unnest(list_transform(range(1, length(w) + 4 - n), lambda i: substr('^' || w || '$', i::INT, n::INT))) FROM {0}, (VALUES (3), (4)) v(n) WHERE length(w) >= 3"
 
 
-@query(_FEATURES.format(id="item_id", key=key("text"), table="benchmark") + "SELECT item_id, f, count(*) AS tf FROM f GROUP BY ALL")
+@query(f"WITH w AS (SELECT doc_id AS id, unnest(list_filter(string_split({key('text')}, ' '), lambda w: w <> '')) AS w FROM documents) SELECT id AS doc_id, f, count(*) AS tf FROM ({_FEATURE.format('w')}) GROUP BY ALL")
 def char_ngrams(t):
-    return t("benchmark").select("item_id", F.explode(T.features(F.col("text"))).alias("f")).groupBy("item_id", "f").agg(F.count("*").alias("tf"))
+    return t("documents").select("doc_id", F.explode(T.features(F.col("text"))).alias("f")).groupBy("doc_id", "f").agg(F.count("*").alias("tf"))
 
 
 @query(f"SELECT doc_id, pair FROM (SELECT doc_id, unnest({ngrams('ts', 2)}) AS pair FROM (SELECT doc_id, {toks('text')} AS ts FROM documents))")
@@ -88,7 +84,6 @@ def bm25_topk(t):
     return R.bm25(t("benchmark"), t("documents"))
 
 
-_FEATURE = "SELECT id, 'w:' || w AS f FROM {0} UNION ALL SELECT id, 'c:' || substr('^' || w || '$', i::INT, n::INT) FROM {0}, (VALUES (3), (4)) v(n), range(1, 60) x(i) WHERE length(w) >= 3 AND i <= length(w) + 3 - n"
 _TFIDF = f"""
 WITH rw AS (SELECT doc_id AS id, unnest(list_filter(string_split({key('text')}, ' '), lambda w: w <> '')) AS w FROM documents),
      qw AS (SELECT item_id AS id, unnest(list_filter(string_split({key('text')}, ' '), lambda w: w <> '')) AS w FROM benchmark),
