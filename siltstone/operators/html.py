@@ -39,7 +39,7 @@ class PageRule:
 
     body_class: str | None = None  #: the class of the one element that holds the article; without one, the whole body
     drop_tags: tuple[str, ...] = ("script", "style", "nav", "form")
-    drop_classes: tuple[str, ...] = ("eh-tabs",)
+    drop_classes: tuple[str, ...] = ()  #: such as a site's tabs
     related: str = RELATED
     headings: tuple[str, ...] = HEADINGS
     bold_heading: int = 200  #: a paragraph of bold text only, up to so many characters, is a heading

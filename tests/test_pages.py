@@ -24,57 +24,59 @@ from siltstone.operators.gates import Violations
 from siltstone.operators.joins import overlap_join
 from siltstone.sources import io
 
-RULE = H.PageRule(body_class="com-content-article__body")
+RULE = H.PageRule(body_class="article-body", drop_classes=("tabs",))
 
 
-def page(content, rule=RULE, title="Example history"):
-    html = f'<html><body><nav>Navigation</nav><main><div class="x com-content-article__body">{content}</div></main></body></html>'
-    return H.article(html, "https://h.example/a/lesson.html", title, rule)
+def page(content, rule=RULE, title="Castles of the north"):
+    html = f'<html><body><nav>Home | All castles</nav><main><div class="x article-body">{content}</div></main></body></html>'
+    return H.article(html, "https://h.example/a/castles.html", title, rule)
 
 
 def test_article_drops_navigation_and_keeps_inline_text():
     a = page(
-        '<div class="eh-tabs">Konspekt Streszczenie</div><p>1. 01. Example history</p><p>I. An era</p>'
-        "<p>Here is a sufficiently detailed source statement with <b>emphasis</b> and normal spacing.<br>New line stays separated. It goes on for a while.</p>"
-        "<p>Najważniejsze daty</p><p>966 – chrzest</p><p>Opracowanie tematu: a related link</p><p>Rozwiąż quiz: promotional link</p>"
-        '<p><a href="/table.pdf">Linked PDF</a></p><p><img src="/p.png" alt="A map"></p>'
+        '<div class="tabs">Plan Summary</div><p>2. 07. Castles of the north</p><p>IV. Brick and stone</p>'
+        "<p>Builders on the coast had no stone, so they burnt <i>clay</i>; walls rose fast.<br>Within forty years each river had its keep, and each keep its mill and its bell.</p>"
+        "<p>Najważniejsze daty</p><p>1309 – a new seat</p><p>Zobacz też: rivers</p><p>Rozwiąż quiz: which keep is it?</p>"
+        '<p> <a href="/plans.PDF">All plans</a></p><p><img src="/keep.png" alt="A keep"></p>'
     )
-    assert a["status"] == "ok" and a["title"] == "1. 01. Example history"
-    assert "spacing. New line" in a["text"]
-    for gone in ("Navigation", "Konspekt", "related link", "promotional link", "Linked PDF"):
+    assert a["status"] == "ok" and a["title"] == "2. 07. Castles of the north"
+    assert "clay; walls rose fast. Within forty years" in a["text"]
+    for gone in ("All castles", "Summary", "rivers", "which keep", "All plans"):
         assert gone not in a["text"]
     last = a["passages"][-1]
-    assert last["section"] == "Najważniejsze daty" and a["text"][last["start"] : last["end"]] == "966 – chrzest"
-    assert a["images"] == [{"src": "https://h.example/p.png", "alt": "A map"}]
+    assert last["section"] == "Najważniejsze daty" and a["text"][last["start"] : last["end"]] == "1309 – a new seat"
+    assert a["images"] == [{"src": "https://h.example/keep.png", "alt": "A keep"}]
     assert all(a["text"][b["start"] : b["end"]] == b["text"] for b in a["blocks"])
 
 
 def test_bold_paragraph_is_a_heading():
-    a = page("<p><strong>A section without Roman numbering</strong></p><p>" + "Some factual source text with names and dates. " * 4 + "</p>")
-    assert a["passages"][0]["section"] == "A section without Roman numbering"
+    a = page("<p><b>Who paid</b> <strong>for the walls</strong></p><p>" + "Towns paid for most of the walls, and guilds for the gates. " * 3 + "</p><p><b>Not</b> a heading</p>")
+    assert [b["kind"] for b in a["blocks"]] == ["paragraph", "paragraph", "paragraph"]  # the space between is no bold text
+    a = page("<p><b>Who paid for the walls</b></p><p>" + "Towns paid for most of the walls, and guilds for the gates. " * 3 + "</p><p><b>Not</b> a heading</p>")
+    assert [b["kind"] for b in a["blocks"]] == ["heading", "paragraph", "paragraph"] and a["passages"][0]["section"] == "Who paid for the walls"
 
 
 def test_nested_items_tables_and_direct_text_once():
     a = page(
-        "<div>Introductory historical description with enough detail for a useful article.<ul><li>Parent<ul><li>Child one</li><li>Child two</li></ul></li></ul>"
-        "<table><tr><th>Year</th><th>Event</th></tr><tr><td>966</td><td>Baptism</td></tr></table>Another direct text node survives.</div>"
+        "<div>Three kinds of gates were built on this coast, and some of them can be seen there to this day.<ol><li>Water gates<ul><li>for <b>boats</b></li><li>for mills</li></ul></li></ol>"
+        "<table><thead><tr><th>Built</th><th>Gate</th></tr></thead><tr><td>1320</td><td>High <i>Gate</i></td></tr></table>Text behind a table stays.</div>"
     )
     texts = [b["text"] for b in a["blocks"]]
-    assert texts == ["Introductory historical description with enough detail for a useful article.", "Parent", "Child one", "Child two", "Year | Event", "966 | Baptism", "Another direct text node survives."]
+    assert texts == ["Three kinds of gates were built on this coast, and some of them can be seen there to this day.", "Water gates", "for boats", "for mills", "Built | Gate", "1320 | High Gate", "Text behind a table stays."]
     assert [b["kind"] for b in a["blocks"]].count("table_row") == 2
-    assert a["blocks"][1]["path"].endswith("/ul/li") and a["blocks"][3]["path"].endswith("/ul/li/ul/li[2]")
+    assert a["blocks"][1]["path"].endswith("/ol/li") and a["blocks"][3]["path"].endswith("/ol/li/ul/li[2]")
 
 
 def test_long_paragraphs_are_split_without_loss():
-    a = page("<p>I. Context</p><p>" + "A complete historical statement. " * 100 + "</p><p>A final date: 966.</p>", H.PageRule(body_class=RULE.body_class, limit=180))
-    assert all(p["end"] - p["start"] <= 180 for p in a["passages"])
+    a = page("<p>II. Supplies</p><p>" + "Grain came by river, salt by road. Bells told the hours! " * 60 + "</p><p>The last siege: 1410.</p>", H.PageRule(body_class=RULE.body_class, limit=150))
+    assert all(p["end"] - p["start"] <= 150 for p in a["passages"])
     held = "".join(a["text"][p["start"] : p["end"]] for p in a["passages"])
     assert "".join(held.split()) == "".join(a["text"][a["blocks"][1]["start"] :].split())
-    assert len(a["passages"]) > 10
+    assert len(a["passages"]) > 20
 
 
 def test_pages_that_cant_be_read():
-    assert H.article("<main>Only navigation</main>", None, None, RULE)["status"] == "no_body"
+    assert H.article("<main><p>A menu</p></main>", None, None, RULE)["status"] == "no_body"
     assert page("   ")["status"] == "empty" and page("<img src=a.png>")["status"] == "empty"
     assert page("<p>short</p><p>x</p>")["status"] == "short"
     # A row's text outside its cells is in no block.
@@ -104,19 +106,19 @@ def papers(spark, *texts):
 
 
 def test_shared_sources_over_pages(spark):
-    texts = ["Cover\nZadanie 2.\nShared source.", "Zadanie 2.1. (0–1)\nFirst prompt.\nZadanie 2.2. (0–2)\nSecond prompt.", "Zadanie 3. (0–1)\nLast prompt."]
+    texts = ["Instructions\n  Zadanie 4.\nA map of trade routes.", "Its legend.\nZadanie 4.1. (0–2)\nName two ports.\nZadanie 4.2 (0-3)\nSay why.", "Zadanie 5. (0–1)\nDate it."]
     rows = P.tasks(papers(spark, *texts)).orderBy("task_id").collect()
-    assert [(r["task_id"], r["points"]) for r in rows] == [("2.1", 1), ("2.2", 2), ("3", 1)]
+    assert [(r["task_id"], r["points"]) for r in rows] == [("4.1", 2), ("4.2", 3), ("5", 1)]
     for r in rows[:2]:
-        assert "Shared source." in r["source_text"] and r["pages"] == [1, 2] and r["notes"] == []
+        assert r["source_text"] == "Zadanie 4.\nA map of trade routes.\n\f\nIts legend." and r["pages"] == [1, 2] and r["notes"] == []
         assert all(texts[s["page"] - 1][s["start"] : s["end"]] for s in r["spans"])
-    assert rows[0]["prompt"] == "Zadanie 2.1. (0–1)\nFirst prompt." and rows[2]["source_text"] == ""
+    assert rows[0]["prompt"] == "Zadanie 4.1. (0–2)\nName two ports." and rows[2]["source_text"] == ""
 
 
 def test_repeated_headings_empty_pages_and_missing_parents(spark):
-    rows = P.tasks(papers(spark, "Zadanie 1.\nA\nZadanie 1.\nB")).orderBy("task_id").collect()
-    assert [(r["task_id"], r["points"], r["notes"]) for r in rows] == [("1~1", None, ["duplicate_heading", "no_points"]), ("1~2", None, ["duplicate_heading", "no_points"])]
-    assert P.tasks(papers(spark, "", None, "No headers")).count() == 0
+    rows = P.tasks(papers(spark, "Zadanie 6.\nred\nZadanie 6.\nblue")).orderBy("task_id").collect()
+    assert [(r["task_id"], r["points"], r["notes"]) for r in rows] == [("6~1", None, ["duplicate_heading", "no_points"]), ("6~2", None, ["duplicate_heading", "no_points"])]
+    assert P.tasks(papers(spark, "", None, "nothing to do here")).count() == 0
     alone = P.tasks(papers(spark, "Zadanie 4.1. (0-2)\nx", "", "more\nZadanie 5. (0 − 3)\ny")).orderBy("task_id").collect()
     assert [(r["task_id"], r["points"], r["notes"]) for r in alone] == [("4.1", 2, ["no_parent"]), ("5", 3, [])]
     assert alone[0]["prompt"] == "Zadanie 4.1. (0-2)\nx\n\f\n\n\f\nmore" and alone[0]["pages"] == [1, 3]
@@ -303,13 +305,14 @@ def test_overlaps(spark):
 
 def test_routes(spark):
     ok = dict(images=[], source_text="", topic_options=["1", "2"], min_words=300)
-    prompts = {
-        1: ok, 2: ok | {"images": ["a"]}, 3: ok | {"topic_options": None}, 4: ok | {"min_words": 0}, 5: ok, 6: ok, 7: ok | {"min_words": 500},
-    }
-    text = {5: "Dodatkowo.\nIntro\n1. Other\n2. The topic", 6: "Intro\n1. Other\n2. The  not topic"}
-    rows = [(k, text.get(k, "INTRO\n1. Other.\n2. the   Topic "), v["images"], v["source_text"], v["topic_options"], v["min_words"]) for k, v in prompts.items()]
+    tasks = {1: ok, 2: ok | {"images": ["a"]}, 3: ok | {"topic_options": None}, 4: ok | {"min_words": 0}, 5: ok, 6: ok, 7: ok | {"min_words": 500}}
+    text = {5: "First of all, be brief.\nWrite on one of these.\n1. Mills\n2. Bells of the coast", 6: "Write on one of these.\n1. Mills\n2. No bells of the coast"}
+    rows = [(k, text.get(k, "WRITE on one  of these.\n1. Mills.\n2. bells   of the Coast "), v["images"], v["source_text"], v["topic_options"], v["min_words"]) for k, v in tasks.items()]
     tasks = spark.createDataFrame(rows, "task_id long, prompt string, images array<string>, source_text string, topic_options array<string>, min_words int")
-    got = {r["task_id"]: r for r in G.routes(tasks, spark.createDataFrame([("intro",)], "text string"), spark.createDataFrame([("The topic", 1)], "question string, scope_id long"), spark.createDataFrame([(1, "matched", 77, 400)], "scope_id long, status string, record_id long, n_words int")).collect()}
+    known = spark.createDataFrame([("write on one of these.",)], "text string")
+    reviewed = spark.createDataFrame([("Bells of the coast", 1)], "question string, scope_id long")
+    matches = spark.createDataFrame([(1, "matched", 77, 400)], "scope_id long, status string, record_id long, n_words int")
+    got = {r["task_id"]: r for r in G.routes(tasks, known, reviewed, matches).collect()}
     assert (got[1]["status"], got[1]["topic"], got[1]["record_id"], got[1]["attempts"]) == ("matched", "2", 77, ["1: scope_not_reviewed", "2: matched"])
     assert [got[k]["reason"] for k in range(2, 8)] == ["task_specific_sources", "unknown_topic_structure", "unknown_length_requirement", "global_requirements_not_reviewed", "no_compatible_essay", "no_compatible_essay"]
     assert got[7]["attempts"][1] == "2: too_short"
