@@ -3,7 +3,9 @@
 Texts are compared as weighted sets of five-word shingles.  A shingle weighs (1 + ln tf) * idf, with
 idf = 1 + min(1, ln(N/df) / ln(RARE)): 2 for whatever less than one document in RARE holds, falling to
 1 for what all hold.  df is counted over all documents into CELLS hashed cells; a cell's noise is
-some hundredths of what idf takes note of, at any size of the corpus.  idf has a ceiling on purpose: a
+some hundredths of what idf takes note of while texts are much shorter than CELLS shingles.  Very long
+texts fill the cells: among a dozen of 20,000 words idf of equally rare shingles spreads from 1.2 to 1.8.
+idf has a ceiling on purpose: a
 group of near copies that holds a third of all rows makes its own shingles common, and with ln(N/df)
 alone they would weigh a tenth of a copy's few own shingles, so that true copies fell below AT_LEAST.
 
@@ -20,8 +22,11 @@ alone they would weigh a tenth of a copy's few own shingles, so that true copies
    of the largest at each shingle merge components first; then every pair of open nodes that are still in
    two components is compared, unless the weights that follow the shared shingle prove it below AT_LEAST.
 
-Large buckets meet only aggregates and shuffle joins, whose hot keys AQE splits.  Texts are read twice
-and never shuffled; of candidates the shingles are, once for each pair that the bound leaves open.
+Large buckets meet only aggregates and shuffle joins, whose hot keys AQE splits.  Texts are read four
+times; where nodes, or rows that share a class, are too many to be broadcast they are shuffled once for
+their shingles, and with their rows by `keep_one`.  Of candidates the shingles are shuffled, once for
+each pair that the bound leaves open.  Texts made of common passages only share prefixes nearly all with
+all, and the last step writes each such pair before the bound is looked at.
 Intermediate tables are written to the shared folder.
 
 Defined cases: null texts and texts without words are one class; texts of fewer than five words have one
