@@ -2,8 +2,8 @@
 
 Defined cases, in every stage: a null text counts as empty (it isn't toxic, equals the empty text, has
 no words and thus isn't mixed); a null doc_id or source is a value like any other, except that a
-labelled document needs an id; texts are read whole; rows that repeat a doc_id are documents each, but
-queue as one in the mix; other columns, whatever their names, are carried up to the last stage; an
+labelled document needs an id; texts are read whole; rows that repeat a doc_id are documents each, in
+the mix too (but for those equal in id and text, on which its cut falls); other columns, whatever their names, are carried up to the last stage; an
 empty table, or one without labels, goes through.
 """
 
