@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,11 +19,15 @@ from .base import query
 #: The tables' pages hold furniture beside the article and no headings but marked ones.
 _RULE = H.PageRule(drop_tags=("script", "style", "nav", "form", "footer"), drop_classes=("ad",), headings=(), bold_heading=0, least_text=0, least_blocks=0)
 
+#: Character references that stand for no letter and need no semicolon, the longest first, so that none is taken for its beginning.
+_BARE = "|".join(sorted((n for n, c in html5.items() if not n.endswith(";") and not re.search(r"\w", c)), key=lambda n: (-len(n), n)))
+#: What is left of HTML without references, tags and signs; a reference may be cut off by a tag, and so goes first.
+_LETTERS = r"regexp_replace(regexp_replace(regexp_replace(x, '&(?:[a-z]+;|(?:" + _BARE + r");?)', '', 'g'), '<[^>]*(>|$)', '', 'g'), '[^\p{L}\p{N}_]+', '', 'g')"
 #: The letters and numbers of a page, from the raw HTML by replacing, without any tree.
-_RAW = r"""
+_RAW = rf"""
 WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<body[^>]*>(.*)', 1) AS x FROM pages),
 b AS (SELECT page_id, regexp_replace(x, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<nav>.*?</nav>|<footer>.*?(</footer>|$)|<div class="ad">.*?</div>', '', 'g') AS x FROM a),
-letters AS (SELECT page_id, x, regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*(>|$)', '', 'g'), '&[a-z]+;', '', 'g'), '[^\p{L}\p{N}_]+', '', 'g') AS l FROM b)
+letters AS (SELECT page_id, x, {_LETTERS} AS l FROM b)
 """
 
 
@@ -36,8 +43,8 @@ def html_letters(t):
     return rows.select("page_id", "status", F.length(kept).alias("letters"), F.sha2(kept, 256).alias("letters_sha256"))
 
 
-@query(_RAW + r""", h AS (SELECT page_id, regexp_replace(x, '(?s)<h[1-6]>.*?</h[1-6]>', '', 'g') AS x FROM letters),
-p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*(>|$)', '', 'g'), '&[a-z]+;', '', 'g'), '[^\p{L}\p{N}_]+', '', 'g') AS l FROM h)
+@query(_RAW + rf""", h AS (SELECT page_id, regexp_replace(x, '(?s)<h[1-6]>.*?</h[1-6]>', '', 'g') AS x FROM letters),
+p AS (SELECT page_id, {_LETTERS} AS l FROM h)
 SELECT page_id, sha256(l) AS letters_sha256, TRUE AS within, TRUE AS placed FROM p WHERE l <> ''""")
 def passage_letters(t):
     """Passages keep all letters and numbers below the headings, within the limit, each where its span says."""
