@@ -57,6 +57,8 @@ v AS (
   UNION ALL SELECT 'key_without_task', k.task_id, k.max_points::VARCHAR FROM k WHERE k.task_id NOT IN (SELECT task_id FROM t)
   UNION ALL SELECT 'key_points', k.task_id, k.max_points::VARCHAR FROM k JOIN t USING (task_id) WHERE k.max_points <> t.max_points
   UNION ALL SELECT 'duplicate_task', task_id, count(*)::VARCHAR FROM t GROUP BY task_id HAVING count(*) > 1
+  UNION ALL SELECT 'duplicate_source', source_id, count(*)::VARCHAR FROM s GROUP BY source_id HAVING count(*) > 1
+  UNION ALL SELECT 'duplicate_key', task_id, count(*)::VARCHAR FROM k GROUP BY task_id HAVING count(*) > 1
   UNION ALL SELECT 'unregistered_image', task_id, image FROM t WHERE image NOT IN (SELECT local_path FROM s WHERE kind = 'image')
   UNION ALL SELECT 'key_missing_source', task_id, source_id::VARCHAR FROM k WHERE source_id NOT IN (SELECT source_id FROM s)
   UNION ALL SELECT 'incomplete_pages', s.source_id, count(*)::VARCHAR FROM s JOIN g USING (source_id) WHERE n_pages IS NOT NULL GROUP BY s.source_id, n_pages HAVING count(*) <> n_pages

@@ -24,3 +24,8 @@ def agree(spark, tmp_path):
 def test_letters_of_references_that_a_tag_cuts_off(agree):
     html = "<html><body><h1>One &amp; two &amp</h1><p>Three &lt;four&gt; &quot five&copy</p><p>Six &amper seven</p></body></html>"
     assert agree("html_letters", pages=f"SELECT 1::BIGINT AS page_id, 'https://a.example/' AS url, '{html}' AS html") == ""
+
+
+def test_keys_whose_numbers_meet(agree):
+    part = "SELECT i AS p_partkey, (i % 50)::INT AS p_size, 'Brand#' || i % 55 AS p_brand FROM (SELECT unnest([88, 89, 178, 1000089, 1000178, 1000200])::BIGINT AS i)"
+    assert agree("dataset_check", part=part, supplier="SELECT i AS s_suppkey, 'Supplier' || i AS s_name FROM range(1, 130) r(i)") == ""
