@@ -14,3 +14,13 @@ def test_few_cosines_of_a_group_go_on(spark):
     few = R.dense(asked, v, best=4)
     assert few.count() == 3 * 4
     assert sorted(R.top_k(few, 4).collect()) == sorted(R.top_k(every, 4).collect())
+
+
+def test_one_file_of_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
+    from siltstone.operators.joins import spread
+
+    spark.range(40).selectExpr("id AS doc_id", "concat('Größe ', id, ' mit Äpfeln ¾') AS text").coalesce(1).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    assert docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism <= spread(docs).rdd.getNumPartitions()
+    assert sorted(spread(docs).collect()) == sorted(docs.collect())
+    assert sorted(spread(spread(docs)).collect()) == sorted(docs.collect())
