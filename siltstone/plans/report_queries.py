@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import gates as G
 from ..operators import reporting as P
+from ..operators.joins import deals
 from ..sources.io import manifest
 from .base import query
 
@@ -68,7 +69,9 @@ def orphan_keys(t):
 
 @query("SELECT 'missing_order' AS rule, l_orderkey::VARCHAR AS entity_id, l_linenumber::VARCHAR AS detail FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') ON o_orderkey = l_orderkey WHERE o_orderkey IS NULL UNION ALL SELECT 'shipped_before_order', l_orderkey::VARCHAR, l_linenumber::VARCHAR FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate < o_orderdate")
 def reference_check(t):
-    l, o = t("lineitem"), t("orders")
+    n = deals(t("lineitem"), t("orders"))  # both joins take the same shuffles
+    l = t("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").repartition(n, "l_orderkey")
+    o = t("orders").select("o_orderkey", "o_orderstatus", "o_orderdate").repartition(n, "o_orderkey")
     missing = l.join(o.where("o_orderstatus <> 'F'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
     early = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate < o_orderdate")
     return G.together(G.violation(missing, "missing_order", F.col("l_orderkey"), F.col("l_linenumber")), G.violation(early, "shipped_before_order", F.col("l_orderkey"), F.col("l_linenumber")))

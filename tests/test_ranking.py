@@ -24,3 +24,11 @@ def test_one_file_of_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
     assert docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism <= spread(docs).rdd.getNumPartitions()
     assert sorted(spread(docs).collect()) == sorted(docs.collect())
     assert sorted(spread(spread(docs)).collect()) == sorted(docs.collect())
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    from siltstone.operators import joins
+
+    monkeypatch.setattr(joins, "TASK_ROWS", 10)
+    assert joins.deals(spark.range(5), spark.range(95)) == 10
+    assert joins.deals(spark.range(5)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
