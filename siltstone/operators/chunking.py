@@ -120,7 +120,7 @@ def passages(docs: DataFrame, limit: int = LIMIT, least: int = 0) -> DataFrame:
     `least` drops spans of fewer stripped characters; the default loses nothing.
     """
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):  # few texts at once, whatever their size
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 kept = [(a, b) for a, b in spans(text or "", limit) if len(text[a:b].strip()) >= least]
