@@ -32,3 +32,11 @@ def test_partitions_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(joins, "TASK_ROWS", 10)
     assert joins.deals(spark.range(5), spark.range(95)) == 10
     assert joins.deals(spark.range(5)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_frequent_terms_are_bounded(spark):
+    df = spark.createDataFrame([(i, 1 + i % 40) for i in range(400)], "f long, df long")
+    for most in (0, 10, 100, 400):
+        least = R._frequent(df, most)
+        assert df.where(f"df >= {least}").count() <= most
+    assert R._frequent(df, 400) == 1
