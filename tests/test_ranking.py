@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import functions as F
+
 from siltstone.operators import retrieval as R
 
 
@@ -40,3 +44,33 @@ def test_frequent_terms_are_bounded(spark):
         least = R._frequent(df, most)
         assert df.where(f"df >= {least}").count() <= most
     assert R._frequent(df, 400) == 1
+
+
+def test_no_pair_of_topic_and_entry_is_shuffled_and_tasks_follow_the_text(spark, monkeypatch):
+    monkeypatch.setattr(R, "TASK_TEXT", 100)
+    topics = spark.createDataFrame([(1, "Bunt i zgoda w Dziady. Zajmij stanowisko, aspekty: bunt, zgoda"), (2, "Przyroda w Lalka")], "item_id long, text string")
+    entries = spark.range(40).selectExpr("id AS doc_id", "'Bunt' AS title", "array('Dziady') AS topics", "array('pl') AS keywords", "array('zgoda') AS aspects", "concat('bunt i przyroda ', id) AS text", "1800 AS start_year", "1850 AS end_year")
+    assert R.text_parts(entries) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scored = R.bank_scores(topics, entries)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id#" in plan and not re.search("hashpartitioning\\(item_id#[0-9]+L?, doc_id", plan)
+    assert scored.count() == 2 * 40
+
+
+def test_tokens_by_one_pattern(spark):
+    import random
+
+    from siltstone.functions import text as T
+
+    def plainly(text, stop, prefixes):
+        found = [w for w in re.findall("[a-z]+|[0-9]{3,4}", text) if len(w) >= 3 and not re.fullmatch("[ivxlcdm]+", w) and not w.startswith(tuple(prefixes))]
+        return [w[:5] for w in found if w[:5] not in stop]
+
+    draw = random.Random(7)
+    parts = ["the", "thes", "dans", "dansx", "there", "interpret", "interpretx", "xiv", "xivs", "mix", "ab", "c", "1", "12345678", "1999", "words", "ivx9", "_", "-", "ż", " ", "\n", "pour"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(3000)]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    for stop, prefixes in ((T.STOP, T.TASK_PREFIXES), (("there", "the", "1999", "toolong"), ("words", "12", "mi")), ((), ())):
+        got = rows.select("text", T.tokens(F.col("text"), stop, prefixes).alias("t")).collect()
+        assert [r["t"] for r in got] == [plainly(r["text"].replace("ż", "z"), stop, prefixes) for r in got]
+    assert " filter(" not in rows.select(T.tokens(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
