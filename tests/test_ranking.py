@@ -55,6 +55,9 @@ def test_no_pair_of_topic_and_entry_is_shuffled_and_tasks_follow_the_text(spark,
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id#" in plan and not re.search("hashpartitioning\\(item_id#[0-9]+L?, doc_id", plan)
     assert scored.count() == 2 * 40
+    hits = R.bm25(topics, entries.withColumn("source", F.col("title")))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id#" in plan and not re.search("hashpartitioning\\(item_id#[0-9]+L?, doc_id", plan)
 
 
 def test_tokens_by_one_pattern(spark):
