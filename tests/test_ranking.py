@@ -77,3 +77,15 @@ def test_tokens_by_one_pattern(spark):
         got = rows.select("text", T.tokens(F.col("text"), stop, prefixes).alias("t")).collect()
         assert [r["t"] for r in got] == [plainly(r["text"].replace("ż", "z"), stop, prefixes) for r in got]
     assert " filter(" not in rows.select(T.tokens(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_import_rules_lie_in_tasks_that_follow_the_rows(spark, monkeypatch):
+    from siltstone.operators import datasets, joins
+
+    monkeypatch.setattr(joins, "TASK_ROWS", 10)
+    exams = spark.range(95).selectExpr("id AS exam_id", "'[{\"id\": \"a\", \"max_points\": 1}]' AS items", "CAST(1 AS DOUBLE) AS max_points")
+    kinds = exams.selectExpr("exam_id", "CASE WHEN exam_id = 3 THEN 'b' ELSE 'a' END AS id", "'open' AS kind")
+    found = datasets.import_problems(exams, kinds, spark.createDataFrame([("a.png", "x")], "path string, sha256 string"))
+    assert sorted(r["rule"] for r in found.collect()) == ["item_without_kind", "kind_without_item"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(exam_id#[0-9]+L, 10\)", plan) and not re.search(r"hashpartitioning\(exam_id#[0-9]+L, id", plan)
