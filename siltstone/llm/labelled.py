@@ -1,12 +1,14 @@
-"""What the trained classifiers share: which rows are held out, and the bounded training sample."""
+"""What the trained classifiers share: held-out rows, labels, the bounded training sample, order statistics, the descent."""
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, partitions
 
 #: Labelled rows that a classifier is fitted on, at most: those whose hashed doc_id is lowest.
 TRAIN_ROWS = 10_000
@@ -19,20 +21,47 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def known(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, label of all documents to learn from; of several labels of one document the largest counts."""
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return rows.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, text, label: the training sample, as a table of a few tasks.
 
     Of several labels of one document the largest counts; of several texts of one doc_id, the one
     whose hash is lowest.  Labels without a document take no part.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label")).join(docs.select("doc_id"), "doc_id", "left_semi")
-    chosen = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labels")
+    labelled = known(labels, label).join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = cut(labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labels")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `rows` ids
     found = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "t.text", "label")
     return cut(found.select("doc_id", "text", "label").repartition(TRAIN_TASKS), "sample")
 
 
+def order_statistics(values: DataFrame, ranks: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """{(m, rank): v} for the ranks asked for, from 0, among all values of m.  values: m int, v double, not null.
+
+    Equal values are counted first, then one range partitioning and its partial sums tell where a rank lies.
+    """
+    spark = values.sparkSession
+    counts = values.groupBy("m", "v").agg(F.count("*").alias("n"))
+    ranged = cut(counts.repartitionByRange(partitions(spark), "m", "v").withColumn("part", F.spark_partition_id()), "values")
+    sums: dict[int, list] = {}
+    for m, part, n in sorted(tuple(r) for r in ranged.groupBy("m", "part").agg(F.sum("n").alias("n")).collect()):  # a row or two for each range
+        sums.setdefault(m, []).append((part, n))
+    asked = []
+    for m, rank in sorted(set(ranks)):
+        before = list(accumulate((n for _, n in sums[m]), initial=0))
+        i = next(i for i in range(len(sums[m])) if before[i + 1] > rank)
+        asked.append((m, sums[m][i][0], rank, rank - before[i]))
+    wanted = F.broadcast(spark.createDataFrame(asked, "m int, part int, rank long, offset long"))
+    upto = ranged.join(wanted.select("m", "part").distinct(), ["m", "part"]).withColumn("upto", F.sum("n").over(Window.partitionBy("m", "part").orderBy("v")))
+    found = upto.join(wanted, ["m", "part"]).where((F.col("upto") > F.col("offset")) & (F.col("upto") - F.col("n") <= F.col("offset")))
+    return {(r["m"], r["rank"]): r["v"] for r in found.select("m", "rank", "v").collect()}
+
+
 def logistic(margins, size: int, steps: int = 300, rate: float = 0.05, penalty: float = 1e-4):
     """Weights that minimise a mean logistic loss.  margins(w) gives the loss's slope for weights w."""
     w, first, second = np.zeros(size), np.zeros(size), np.zeros(size)

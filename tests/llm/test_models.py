@@ -7,8 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from siltstone.llm import quality, toxicity
+from siltstone.llm import labelled, quality, toxicity
 from siltstone.llm.common import table
 
 DIR = "/root/testdata/sf0.001"
@@ -116,3 +117,34 @@ def test_toxicity_equals_a_plain_fit(rows, frames):
     assert len(got) == len(want) and kept
     for i, s in want.items():
         assert got[i]["score"] == pytest.approx(s, abs=2e-3) and got[i]["predicted"] == (got[i]["score"] >= 0.5)
+
+
+def test_quality_learns_from_all_labelled_rows(spark):
+    """Rows beyond the 10,000 of lowest hashed ids, the whole training sample once, are learnt from too."""
+    ids = spark.range(15_700).where(~labelled.held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id")
+    ids = [r["id"] for r in ids.collect()]
+    rows = [(i, "PLAIN WORDS IN A ROW" if n % 5 == 0 else "plain words in a row", int(n % 5 > 0)) for n, i in enumerate(ids[:10_000])]
+    rows += [(i, "12345 67890 12 3 456" if n % 2 else "plain words in a row", 1 - n % 2) for n, i in enumerate(ids[10_000:])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = {r["text"]: r["predicted"] for r in quality.judge(frame.select("doc_id", "text"), frame.select("doc_id", "quality")).select("doc_id", "predicted").join(frame, "doc_id").collect()}
+    assert len(rows) > 12_000 and got == {"plain words in a row": 1, "PLAIN WORDS IN A ROW": 0, "12345 67890 12 3 456": 0}
+
+
+def test_quality_steps_over_tables_equal_those_over_arrays(spark, rows, frames):
+    texts, y = training(rows, 1)
+    train = quality.training(quality.measured(frames[0]), frames[1])
+    edges = quality.quantiles(train, len(y))
+    np.testing.assert_allclose(edges, np.quantile(np.array([shares(t) for t in texts]), quality.QUANTILES, axis=0).T, atol=1e-12)
+    placed = quality.placed(train, edges)
+    at = placed.orderBy("label", "rank").collect()
+    n_good, n_bad = int(y.sum()), int((1 - y).sum())
+    assert [(r["label"], r["rank"]) for r in at] == [(0, i) for i in range(n_bad)] + [(1, i) for i in range(n_good)]
+    met = quality.pairs(placed, n_good, n_bad)
+    drawn = [(bytes(r["good"]), bytes(r["bad"])) for r in met.collect()]
+    assert len(drawn) == quality.MET * len(y)
+    for label, side in ((1, 0), (0, 1)):  # each row takes part, with those of the other class
+        sides, own = Counter(p[side] for p in drawn), Counter(bytes(r["digit"]) for r in at if r["label"] == label)
+        assert sides.keys() == own.keys() and all(sides[d] >= quality.MET * n for d, n in own.items())
+    w = np.random.default_rng(1).normal(size=edges.size)
+    good, bad = (np.frombuffer(b"".join(p[side] for p in drawn), np.uint16).reshape(len(drawn), -1).T for side in (0, 1))
+    assert (quality.descended(quality.blocks(met, len(drawn)), w) == quality.slopes(good, bad, w)).all()
