@@ -1,4 +1,4 @@
-"""What the trained classifiers share: held-out rows, labels, the bounded training sample, order statistics, the descent."""
+"""What the trained classifiers share: held-out rows, labels, training texts, order statistics, the descent."""
 
 from __future__ import annotations
 
@@ -8,13 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
-
-#: Labelled rows that a classifier is fitted on, at most: those whose hashed doc_id is lowest.
-TRAIN_ROWS = 10_000
-#: Tasks that read the sample; with the bound on rows it bounds what reaches the driver.
-TRAIN_TASKS = 8
-
+from .common import cut, partitions, small
 
 def held_out(doc_id: Column) -> Column:
     """Rows that are never learnt from: crc32 of the id's digits is divisible by 5 (a null id counts as no digits)."""
@@ -27,17 +21,15 @@ def known(labels: DataFrame, label: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, text, label: the training sample, as a table of a few tasks.
+def training(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, text, label of all documents to learn from, as a table.
 
-    Of several labels of one document the largest counts; of several texts of one doc_id, the one
-    whose hash is lowest.  Labels without a document take no part.
+    Of several texts of one doc_id the one counts whose hash is lowest.  Labels without a document take no part.
     """
-    labelled = known(labels, label).join(docs.select("doc_id"), "doc_id", "left_semi")
-    chosen = cut(labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labels")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `rows` ids
-    found = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "t.text", "label")
-    return cut(found.select("doc_id", "text", "label").repartition(TRAIN_TASKS), "sample")
+    asked = cut(known(labels, label), "labels")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(~held_out(F.col("doc_id"))).join(small(asked), "doc_id")
+    found = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return cut(found.select("doc_id", "t.text", "label"), "train", asked)
 
 
 def order_statistics(values: DataFrame, ranks: list[tuple[int, int]]) -> dict[tuple[int, int], float]:

@@ -1,9 +1,11 @@
 """Toxicity: a linear classifier on character n-grams, scaled by naive Bayes log-count ratios.
 
 Features are hashed n-grams of 3 to 6 characters of the lower-cased text, spaces included, present
-or absent.  On the training sample each has a log ratio of its shares among toxic and clean texts;
-the features that tell most (by likelihood ratio, at most KEPT) go, each times its log ratio, into
-a logistic regression.  Only hashed counts and the sample's kept features reach the driver.
+or absent.  Over all labelled texts that aren't held out, each has a log ratio of its shares among toxic
+and clean ones; the features that tell most (by likelihood ratio, at most KEPT) go, each times its log
+ratio, into a logistic regression on all these texts.  Their kept features lie in a table, and each step of the
+fit goes through all of it; a step's sums are whole numbers, so that no order of rows changes them.
+Only hashed counts and sums reach the driver, and the table itself where it has at most HELD texts.
 
 Defined cases: null and empty texts get the score of a text without features; rows without labels
 are scored like any other; with no labels, or those of one class only, every score is that
@@ -20,14 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import pieces
-from .labelled import held_out, logistic, sample, sigmoid
+from .common import cut, pieces
+from .labelled import held_out, logistic, sigmoid, training
 
 SIZES = (3, 4, 5, 6)
 BITS = 18
 KEPT = 8192
 LEAST_GAIN = 7.0  #: likelihood gain, in nats, below which a feature of 2**18 may well be chance
 TOXIC_AT = 0.5
+HELD = 10_000  #: texts up to which the driver makes the steps, on a few hundred bytes of each
+TASK_TEXTS = 4_096  #: texts that a task of a step goes through, about
+UNIT = 2.0**32  #: a step's sums count in parts of this of a text's error
 _STEP, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
@@ -53,9 +58,32 @@ def _counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(toxic[seen], pa.int64()), pa.array(clean[seen], pa.int64())], ["gram", "toxic", "clean"])
 
 
+def errors(batches, w: np.ndarray) -> np.ndarray:
+    """For each kept feature, and last for all texts, the summed error of the texts with it, in parts of UNIT, as whole numbers.  w: weights, and the bias."""
+    k = len(w) - 1
+    out = np.zeros(k + 1, np.int64)
+    for batch in batches:
+        for row in zip(*[batch.column(c) for c in ("sizes", "at", "toxic")]):
+            sizes, at, y = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.int32, np.uint16, np.uint8)))
+            at, of = at.astype(np.int64), np.repeat(np.arange(len(y)), sizes)
+            error = np.rint((sigmoid(np.bincount(of, w[at], len(y)) + w[k]) - y) * UNIT)  # sums of a block's 256 are exact in doubles
+            out[:k] += np.bincount(at, error[of], k).astype(np.int64)
+            out[k] += int(error.sum())
+    return out
+
+
+def descended(table: DataFrame, w: np.ndarray) -> np.ndarray:
+    """errors() over a table, a job; each task sends one sum for each weight."""
+
+    def run(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([errors(batches, w).tobytes()], pa.binary())], ["sums"])
+
+    return np.sum([np.frombuffer(r["sums"], np.int64) for r in table.mapInArrow(run, "sums binary").collect()], axis=0)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The weight of each hashed n-gram (most are 0), and the bias."""
-    train = sample(docs, labels, "toxic")
+    train = training(docs, labels, "toxic")
     sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     weights = np.zeros(1 << BITS, np.float32)
@@ -80,23 +108,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
     def features(batches):
         for batch in pieces(batches):
-            found = [np.unique(x[x >= 0]) for x in (place[grams(t)] for t in batch.column("text").to_pylist())]
-            offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "label", "at"])
+            found = [np.unique(x[x >= 0]).astype(np.uint16) for x in (place[grams(t)] for t in batch.column("text").to_pylist())]
+            packed = np.array([len(x) for x in found], np.int32), np.concatenate([np.zeros(0, np.uint16), *found]), batch.column("label").to_numpy().astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], ["sizes", "at", "toxic"])
 
-    got = train.mapInArrow(features, "doc_id long, label int, at array<int>").orderBy("doc_id").toArrow()  # the bounded sample
-    at = got.column("at").combine_chunks()
-    row = np.repeat(np.arange(len(got)), np.diff(at.offsets.to_numpy()))
-    col, y = at.flatten().to_numpy(), got.column("label").to_numpy().astype(float)
-    value, n, k = scale[col], len(got), len(kept)
+    n, k = pos + neg, len(kept)
+    table = cut(train.mapInArrow(features, "sizes binary, at binary, toxic binary"), "features")
+    held = table.toArrow().to_batches() if n <= HELD else None
+    table = table.coalesce(-(-n // TASK_TEXTS))
 
     def slope(w):
-        error = sigmoid(np.bincount(row, value * w[col], n) + w[k]) - y
-        out = np.empty(k + 1)
-        out[:k] = np.bincount(col, value * error[row], k) / n
-        out[k] = error.mean()
-        return out
+        scaled = np.append(w[:k] * scale, w[k])
+        sums = errors(held, scaled) if held is not None else descended(table, scaled)
+        return sums / (UNIT * n) * np.append(scale, 1.0)
 
     w = logistic(slope, k + 1, steps=600, penalty=1e-5)
     weights[kept] = w[:k] * scale

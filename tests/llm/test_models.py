@@ -148,3 +148,14 @@ def test_quality_steps_over_tables_equal_those_over_arrays(spark, rows, frames):
     w = np.random.default_rng(1).normal(size=edges.size)
     good, bad = (np.frombuffer(b"".join(p[side] for p in drawn), np.uint16).reshape(len(drawn), -1).T for side in (0, 1))
     assert (quality.descended(quality.blocks(met, len(drawn)), w) == quality.slopes(good, bad, w)).all()
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, frames, monkeypatch):
+    """Rows beyond 10,000 are learnt from too, and steps over a table equal those of the driver."""
+    many = spark.range(15_700).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.lit(1).alias("toxic"))
+    assert labelled.training(many, many, "toxic").count() == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(15_700)) > 12_000
+    monkeypatch.setattr(toxicity, "logistic", lambda slope, size, steps, penalty: labelled.logistic(slope, size, 15, penalty=penalty))
+    held = toxicity.fit(*frames)
+    monkeypatch.setattr(toxicity, "HELD", 0)
+    by_jobs = toxicity.fit(*frames)
+    assert held[0].any() and (held[0] == by_jobs[0]).all() and held[1] == by_jobs[1]
