@@ -159,3 +159,46 @@ def test_toxicity_learns_from_all_labelled_rows(spark, frames, monkeypatch):
     monkeypatch.setattr(toxicity, "HELD", 0)
     by_jobs = toxicity.fit(*frames)
     assert held[0].any() and (held[0] == by_jobs[0]).all() and held[1] == by_jobs[1]
+
+
+def test_toxicity_of_many_texts_takes_few_passes(rows, frames, monkeypatch):
+    """The least loss, no higher than that of 600 steps, in a fraction of their passes over the table."""
+    texts, y = training(rows, 2)
+    at = [np.unique(toxicity.grams(t)) for t in texts]
+    kept = {}
+
+    def loss(w, bias):
+        """The fitted loss of weights of hashed n-grams, with its penalty on what multiplies the log ratios."""
+        margins = np.array([w[a].sum() for a in at]) + bias
+        v = kept["w"]
+        return np.mean(np.logaddexp(0, margins) - y * margins) + 5e-6 * v @ v
+
+    passes = []
+    seen = toxicity.descended
+    monkeypatch.setattr(toxicity, "descended", lambda table, w: passes.append(1) or seen(table, w))
+    for name in ("logistic", "minimised"):
+        own = getattr(labelled, name)
+        monkeypatch.setattr(toxicity, name, lambda *a, own=own, **b: kept.update(w=own(*a, **b)) or kept["w"])
+    stepped = loss(*toxicity.fit(*frames))
+    monkeypatch.setattr(toxicity, "FEW", 0)
+    by_driver = toxicity.fit(*frames)
+    assert loss(*by_driver) <= stepped
+    monkeypatch.setattr(toxicity, "HELD", 0)
+    by_jobs = toxicity.fit(*frames)
+    assert (by_driver[0] == by_jobs[0]).all() and by_driver[1] == by_jobs[1] and 1 < len(passes) < 120
+
+
+def test_minimised_equals_newton():
+    draw = np.random.default_rng(5)
+    x, truth = draw.normal(size=(300, 6)) * [1, 2, 5, 0.1, 1, 1], np.array([1, -1, 0.5, 2, 0, 3.0])
+    y = draw.random(300) < labelled.sigmoid(x @ truth)
+    w = np.zeros(6)
+    for _ in range(30):
+        p = labelled.sigmoid(x @ w)
+        w = w - np.linalg.solve(x.T * (p * (1 - p)) @ x / 300 + 1e-4 * np.eye(6), x.T @ (p - y) / 300 + 1e-4 * w)
+    calls = []
+    got = labelled.minimised(lambda v: calls.append(1) or x.T @ (labelled.sigmoid(x @ v) - y) / 300, 6)
+    np.testing.assert_allclose(got, w, atol=1e-4)
+    assert len(calls) < 60
+    assert not labelled.minimised(lambda v: np.zeros(3), 3).any()
+    assert len(labelled.minimised(lambda v: v - 1e9, 1, penalty=0, most=3)) == 1
