@@ -1,10 +1,11 @@
 """Window panes with revisions: a stateful aggregation whose snapshots, one for each batch, are differenced.
 
 Rows arrive in batches.  A pane is a kind and an hour of event time; its totals are the state of a
-streaming aggregation over a RocksDB store, and the watermark forgets panes that are closed.  After
-each batch the state store's snapshot is read, written as a table, and differenced with that of the
-batch before: a pane whose totals changed after it was emitted gives a `retract` of the old and a
-`replace` by the new totals.
+streaming aggregation over a RocksDB store, and the watermark forgets panes that are closed.  The
+store's changes bring each batch's snapshot out of the one before; a snapshot is a table, and is
+differenced with that of the batch before: a pane whose totals changed after it was emitted gives a
+`retract` of the old and a `replace` by the new totals.  Changes of any number of batches are read at
+once, since each opening of a store costs an executor memory that it doesn't get back.
 What was emitted, and in which batch, is in a table of its own (lifecycle), a folder for each batch.
 Rows of closed panes are written as `late`, one by one, and never reach the state.
 
@@ -40,6 +41,7 @@ SHIFT_HOURS = 12_000 * 8_766
 RECORDS = "batch long, hour long, click_id long, n_rows long, cents long, record string, kind string"
 LIFECYCLE = "hour long, kind string, batch long"
 PANES = "hour long, kind string, n_rows long, cents long"
+CHANGES = f"own long, gone boolean, {PANES}"
 
 
 def micros(ts: Column) -> Column:
@@ -71,41 +73,60 @@ def _reached(hours: int, mark: int | None) -> Column:
 
 
 class PaneStream:
-    """A stream of batches, with its folder; advance() takes the next one."""
+    """A stream of batches, with its folder; advance() takes the next one, settle() writes the records of those since the last call."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.root, self.mark, self.turn = root, None, 0
+        self.open: list[tuple[int, int | None, int]] = []  # of batches not settled: turn, mark before it, the stream's own last batch
+        self.settled = -1  # of the stream's own batches
         # A session of its own, so that the store's provider and partitions are set for this stream alone.
         self.session = spark.newSession()
         for name, value in {
             "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
             "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # each start is a run of its own, whose stores would else stay on executors' disks
             "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+            "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",  # for settle()
             "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",  # file systems keep checksums of their own
             "spark.sql.streaming.noDataMicroBatches.enabled": "false",
             "spark.sql.shuffle.partitions": str(min(STATE_PARTITIONS, partitions(spark))),
         }.items():
             self.session.conf.set(name, value)
 
-    def advance(self, rows: DataFrame, last: bool = False) -> None:
-        """rows of this batch: click_id, kind, cents, at, hour.  Writes its records."""
+    def advance(self, rows: DataFrame) -> None:
+        """rows of this batch: click_id, kind, cents, at, hour.  Writes those that are late, and adds the others to the state."""
         feed, seen = f"{self.root}/feed", Observation()
         rows.select("kind", "cents", "at").observe(seen, F.max("at").alias("top")).write.mode("append").parquet(feed)
         self._run(feed)
-        self._snapshot().write.mode("overwrite").parquet(self._state_at(self.turn))
-        fields = [F.lit(self.turn).cast("long").alias("batch"), *[c.split()[0] for c in RECORDS.split(", ")[1:]]]
-        self._late(rows).select(*fields).write.mode("overwrite").parquet(f"{self.root}/late/of={self.turn}")
-        # There are no more records than panes: few files hold them.
-        self._records(last).select(*fields).coalesce(STATE_PARTITIONS).write.mode("overwrite").parquet(f"{self.root}/records/of={self.turn}")
-        emitted = self.session.read.schema(RECORDS).parquet(f"{self.root}/records/of={self.turn}").where("record = 'emit'")
-        emitted.select("hour", "kind", "batch").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/lifecycle/of={self.turn}")
+        self._late(rows).select(*self._fields(self.turn)).write.mode("overwrite").parquet(f"{self.root}/late/of={self.turn}")
+        self.open.append((self.turn, self.mark, self._committed()))
         top = seen.get["top"]
         self.mark = top if self.mark is None else self.mark if top is None else max(self.mark, top)
         self.turn += 1
 
+    def settle(self, last: bool = False) -> None:
+        """Writes snapshots, records and lifecycle of the batches since the last call, one after the other.  last: the stream ends with them."""
+        if not self.open:
+            return
+        changes = f"{self.root}/changes/of={self.open[-1][0]}"
+        self._changes(self.open[-1][2]).coalesce(STATE_PARTITIONS).write.mode("overwrite").parquet(changes)
+        final = self.open[-1][0]
+        for turn, mark, done in self.open:
+            own = self.session.read.schema(CHANGES).parquet(changes).where(F.col("own").between(self.settled + 1, done))
+            self._snapshot(own, turn).coalesce(STATE_PARTITIONS).write.mode("overwrite").parquet(self._state_at(turn))
+            # There are no more records than panes: few files hold them.
+            self._records(turn, mark, last and turn == final).select(*self._fields(turn)).coalesce(STATE_PARTITIONS).write.mode("overwrite").parquet(f"{self.root}/records/of={turn}")
+            emitted = self.session.read.schema(RECORDS).parquet(f"{self.root}/records/of={turn}").where("record = 'emit'")
+            emitted.select("hour", "kind", "batch").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/lifecycle/of={turn}")
+            self.settled = done
+        self.open = []
+
+    @staticmethod
+    def _fields(turn: int) -> list:
+        return [F.lit(turn).cast("long").alias("batch"), *[c.split()[0] for c in RECORDS.split(", ")[1:]]]
+
     def records(self, session: SparkSession | None = None) -> DataFrame:
-        """All records so far."""
-        paths = [f"{self.root}/{kind}/of={t}" for kind in ("late", "records") for t in range(self.turn)]
+        """All records of batches that are settled."""
+        paths = [f"{self.root}/{kind}/of={t}" for kind in ("late", "records") for t in range(self.turn - len(self.open))]
         return (session or self.session).read.schema(RECORDS).parquet(*paths)
 
     def _run(self, feed: str) -> None:
@@ -128,35 +149,48 @@ class PaneStream:
     def _checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
 
-    def _snapshot(self) -> DataFrame:
-        """The panes after the last batch that the stream has committed: hour, kind, n_rows, cents."""
+    def _committed(self) -> int:
+        """The last of the stream's own batches that it has committed, or -1."""
         jvm = self.session.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(f"{self._checkpoint}/commits")
         fs = where.getFileSystem(self.session.sparkContext._jsc.hadoopConfiguration())
-        done = [int(n) for n in (f.getPath().getName() for f in fs.listStatus(where)) if n.isdigit()] if fs.exists(where) else []
-        if not done:
-            return self.session.createDataFrame([], PANES)
-        state = self.session.read.format("statestore").option("batchId", max(done)).load(self._checkpoint)
+        return max([int(n) for n in (f.getPath().getName() for f in fs.listStatus(where)) if n.isdigit()] if fs.exists(where) else [], default=-1)
+
+    def _changes(self, done: int) -> DataFrame:
+        """What the stream's own batches after the last settled one, up to done, changed in the state."""
+        if done == self.settled:
+            return self.session.createDataFrame([], CHANGES)
+        feed = self.session.read.format("statestore").option("readChangeFeed", True)
+        state = feed.option("changeStartBatchId", self.settled + 1).option("changeEndBatchId", done).load(self._checkpoint)
         hour = F.expr(f"unix_micros(key.window.start) div {HOUR} - {SHIFT_HOURS}")
-        return state.select(hour.alias("hour"), F.col("key.kind").alias("kind"), F.col("value.count").alias("n_rows"), F.col("value.sum").alias("cents"))
+        gone = F.col("change_type") == "delete"
+        return state.select(F.col("batch_id").alias("own"), gone.alias("gone"), hour.alias("hour"), F.col("key.kind").alias("kind"), F.col("value.count").alias("n_rows"), F.col("value.sum").alias("cents"))
+
+    def _snapshot(self, changes: DataFrame, turn: int) -> DataFrame:
+        """The panes after a batch: those of the batch before, with its changes.  A pane's rows only grow in number, until it is gone."""
+        panes = changes.select("hour", "kind", "n_rows", "cents", "gone")
+        if turn:
+            panes = panes.union(self.session.read.schema(PANES).parquet(self._state_at(turn - 1)).withColumn("gone", F.lit(False)))
+        panes = panes.groupBy("hour", "kind").agg(F.max(F.struct("n_rows", "cents")).alias("total"), F.max("gone").alias("gone"))
+        return panes.where(~F.col("gone")).select("hour", "kind", "total.n_rows", "total.cents")
 
     def _state_at(self, turn: int) -> str:
         return f"{self.root}/panes/of={turn}"
 
-    def _records(self, last: bool) -> DataFrame:
+    def _records(self, turn: int, mark: int | None, last: bool) -> DataFrame:
         """The snapshots before and after this batch, and what was emitted, meet by pane in one aggregation."""
-        read, turns = self.session.read, range(self.turn)
+        read, turns = self.session.read, range(turn)
         names = {"old_rows": None, "old_cents": None, "new_rows": None, "new_cents": None, "emitted": None}
         part = lambda df, **has: df.select("hour", "kind", *[(F.col(has[n]) if n in has else F.lit(None)).cast("long").alias(n) for n in names])
-        parts = [part(read.schema(PANES).parquet(self._state_at(self.turn)), new_rows="n_rows", new_cents="cents")]
+        parts = [part(read.schema(PANES).parquet(self._state_at(turn)), new_rows="n_rows", new_cents="cents")]
         if turns:
-            parts.append(part(read.schema(PANES).parquet(self._state_at(self.turn - 1)), old_rows="n_rows", old_cents="cents"))
+            parts.append(part(read.schema(PANES).parquet(self._state_at(turn - 1)), old_rows="n_rows", old_cents="cents"))
             parts.append(part(read.schema(LIFECYCLE).parquet(*[f"{self.root}/lifecycle/of={t}" for t in turns]), emitted="batch"))
         panes = reduce(DataFrame.union, parts).groupBy("hour", "kind").agg(*[F.max(n).alias(n) for n in names])
         old, new = (F.struct(F.col(f"{w}_rows").alias("n_rows"), F.col(f"{w}_cents").alias("cents")) for w in ("old", "new"))
         total = F.when(F.col("new_rows").isNotNull(), new).otherwise(old)
         held = F.coalesce("new_rows", "old_rows").isNotNull()  # else it is closed and forgotten
-        due, out = _reached(DUE_HOURS, self.mark), F.col("emitted").isNotNull()
+        due, out = _reached(DUE_HOURS, mark), F.col("emitted").isNotNull()
         changed = out & (F.col("new_rows") > F.col("old_rows"))  # totals change with rows only
         said = [(held & ~out & due, "emit", total), (changed, "retract", old), (changed, "replace", new)]
         if last:
@@ -179,7 +213,8 @@ def revisions(clicks: DataFrame, n_batches: int = BATCHES) -> DataFrame:
     schema = "click_id long, kind string, cents long, at long, hour long, batch int"
     arrived = stream.session.read.schema(schema).parquet(f"{root}/batches")
     for turn in range(n_batches):
-        stream.advance(arrived.where(F.col("batch") == turn), turn == n_batches - 1)
+        stream.advance(arrived.where(F.col("batch") == turn))
+    stream.settle(last=True)
     return stream.records(spark)
 
 

@@ -11,10 +11,12 @@ from fractions import Fraction
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siltstone.llm import fair_mix, fair_packing, importance_draw, pane_revisions, vector_search
+from siltstone.llm.common import new_path
 
 from .test_ops import ROWS, SCHEMA
 
@@ -180,6 +182,26 @@ def test_panes_equal_brute_force(spark):
     assert pane_revisions.revisions(clicks.limit(0)).count() == 0
 
 
+def test_panes_open_their_stores_once_more_whatever_the_batches(spark, monkeypatch):
+    """Each opening of a store leaves memory behind: beside the stream's own, one read brings the changes of all batches, or of those since the last one."""
+    start, reads = datetime(2024, 1, 1), []
+    rows = [(i, start + timedelta(hours=i * 7 % 200 - 30 * (i % 3)), start + timedelta(hours=i * 7 % 200), "ab"[i % 2], 1.0) for i in range(300)]
+    clicks = spark.createDataFrame(rows, "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, kind string, value double")
+    own = DataFrameReader.format
+    monkeypatch.setattr(DataFrameReader, "format", lambda self, source: reads.append(source) or own(self, source))
+    at_once = sorted(map(tuple, pane_revisions.revisions(clicks).collect()))
+    assert reads == ["statestore"]
+    stream, arrived = pane_revisions.PaneStream(spark, new_path(spark, "panes")), pane_revisions.batches(clicks).cache()
+    for turn in range(10):
+        stream.advance(arrived.where(F.col("batch") == turn))
+        if turn % 4 == 2:
+            stream.settle()
+            assert {r["batch"] for r in stream.records().select("batch").distinct().collect()} <= set(range(turn + 1))
+    stream.settle(last=True)
+    assert sorted(map(tuple, stream.records().collect())) == at_once and {"emit", "late", "retract", "replace", "final"} == {r[5] for r in at_once}
+    assert len(reads) == 4
+
+
 def words(text):
     out, word = [], ""
     for c in text or "":
