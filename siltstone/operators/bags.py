@@ -6,6 +6,9 @@ words are numbered, each word is taken apart once, and what a text has is counte
 
 from __future__ import annotations
 
+import ctypes
+import sys
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text, and texts, whose features are counted at once; features that a task holds before it passes them on.
-BATCH_TEXT, BATCH_ROWS, HELD = 2 << 20, 1024, 4 << 20
+BATCH_TEXT, BATCH_ROWS, HELD = 2 << 20, 1024, 2 << 20
 #: Cells of a block of texts by features; items and features of a slice of queries.
-CELLS, SLICE_ITEMS, SLICE_FEATURES = 8 << 20, 256, 1 << 16
+CELLS, SLICE_ITEMS, SLICE_FEATURES = 4 << 20, 256, 1 << 16
 
 #: Between the seeds of two places of a word or a run.
 _STEP = np.array([0x9E3779B97F4A7C15], np.uint64)
@@ -60,14 +63,17 @@ def _taken_apart(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     letters = _mixed(text + (at + 8).astype(np.uint64) * _STEP)
     letters[(at == 0) | (at > size_of)] = 0
     hashes[begin] = _mixed(np.add.reduceat(letters, start)) & ~one
+    # Three letters fit into one number; a fourth is added to its hash.
     run = np.zeros(len(text), np.uint64)
-    for place in range(4):
-        run[: len(text) - place] += _mixed(text[place:] + np.uint64(place + 1) * _STEP)
-        if place >= 2:
-            whole = np.flatnonzero((at < size_of + 2 - place) & (size_of >= 3))
-            hashes[begin[of[whole]] + 1 + at[whole] + (size_of[whole] if place == 3 else 0)] = _mixed(run[whole] + np.uint64(place)) | one
+    run[: len(text) - 2] = (text[:-2] << np.uint64(42)) | (text[1:-1] << np.uint64(21)) | text[2:]
+    run = _mixed(run + _STEP)
+    longer = np.zeros(len(text), np.uint64)
+    longer[: len(text) - 3] = _mixed(run[:-3] + text[3:])
+    for hashed, n in ((run, 3), (longer, 4)):
+        whole = np.flatnonzero((at < size_of + 3 - n) & (size_of >= 3))
+        hashes[begin[of[whole]] + 1 + at[whole] + (size_of[whole] if n == 4 else 0)] = hashed[whole] | one
     coded = pa.array(hashes.view(np.int64)).dictionary_encode()
-    return coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64), begin, many
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy(), begin, many
 
 
 def counted(keys: pa.Array, counts: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,8 +105,32 @@ def counted(keys: pa.Array, counts: pa.Array | None = None) -> tuple[np.ndarray,
     return features, pair >> bits, pair & ((1 << bits) - 1), tf
 
 
+@contextmanager
+def _reused():
+    """Arrays of up to 32 MB come from memory that the worker has already, not each from the system; at the end it goes back."""
+    libc = ctypes.CDLL(None) if sys.platform == "linux" else None
+    if not hasattr(libc, "malloc_trim") or not hasattr(libc, "mallopt"):
+        yield
+        return
+    trim, mmap = -1, -3  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
+    libc.mallopt(mmap, 32 << 20)
+    libc.mallopt(trim, 512 << 20)
+    try:
+        yield
+    finally:
+        libc.mallopt(mmap, 1 << 20)
+        libc.mallopt(trim, 1 << 20)
+        libc.malloc_trim(0)
+
+
 def _pieces(batches):
     """Record batches in pieces of a few MB of text; texts without words are left out."""
+    with _reused():
+        yield from _cut(batches)
+    pa.default_memory_pool().release_unused()
+
+
+def _cut(batches):
     for batch in batches:
         size = pc.binary_length(batch.column("key")).fill_null(0).to_numpy()
         batch, size = batch.filter(pa.array(size > 0)), size[size > 0]
@@ -111,7 +141,6 @@ def _pieces(batches):
             to = min(max(to, at + 1), at + BATCH_ROWS)
             yield batch.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()
 
 
 def frequencies(batches):
