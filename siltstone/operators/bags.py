@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text, and texts, whose features are counted at once; features that a task holds before it passes them on.
-BATCH_TEXT, BATCH_ROWS, HELD = 2 << 20, 1024, 2 << 20
+BATCH_TEXT, BATCH_ROWS, HELD = 1 << 20, 1024, 2 << 20
 #: Cells of a block of texts by features; items and features of a slice of queries.
-CELLS, SLICE_ITEMS, SLICE_FEATURES = 4 << 20, 256, 1 << 16
+CELLS, SLICE_ITEMS, SLICE_FEATURES = 2 << 20, 256, 1 << 16
 
 #: Between the seeds of two places of a word or a run.
 _STEP = np.array([0x9E3779B97F4A7C15], np.uint64)
@@ -124,7 +124,7 @@ def _reused():
 
 
 def _pieces(batches):
-    """Record batches in pieces of a few MB of text; texts without words are left out."""
+    """Record batches in pieces of a MB of text; texts without words are left out."""
     with _reused():
         yield from _cut(batches)
     pa.default_memory_pool().release_unused()
